@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from . import language_id
+from . import language_id, line_dedup, mixing
 
 
 def queries() -> dict:
     return {
         "op4_language_id": language_id.query,
+        "op5_mixing": mixing.query,
+        "op7_line_dedup": line_dedup.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op5_mixing": mixing.ORACLE_SQL,
+        "op7_line_dedup": line_dedup.ORACLE_SQL,
+    }
