@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word is a run without the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -47,6 +48,8 @@ def by_batch(df: DataFrame, schema: str, f: Callable[[dict[str, list]], dict[str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = make() if make else f
         for b in batches:
+            if not b.num_rows:
+                continue
             cols = {n: (b.column(i).to_pylist() if to_py else b.column(i)) for i, n in enumerate(b.schema.names)}
             out = g(cols)
             yield pa.RecordBatch.from_arrays([_array(out[n], t) for n, t in names], names=[n for n, _ in names])
@@ -54,6 +57,36 @@ def by_batch(df: DataFrame, schema: str, f: Callable[[dict[str, list]], dict[str
     return df.mapInArrow(run, schema)
 
 
+def filtered(df: DataFrame, names: list[str], make: Callable) -> DataFrame:
+    """The rows of df, whatever their other columns, for which the function that
+    make() builds for each task says true; it gets lists of the named columns."""
+    at = [df.columns.index(n) for n in names]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = make()
+        for b in batches:
+            if b.num_rows:
+                yield b.filter(pa.array(keep(*[b.column(i).to_pylist() for i in at]), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def appended(df: DataFrame, names: list[str], schema: str, make: Callable) -> DataFrame:
+    """All columns of df and then those of schema, made by make() as in filtered()."""
+    at = [df.columns.index(n) for n in names]
+    new = [x.strip().split(" ", 1) for x in schema.split(",")]
+    whole = T.StructType([*df.schema.fields, *T._parse_datatype_string(schema).fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = make()
+        for b in batches:
+            if b.num_rows:
+                made = [_array(x, kind) for x, (_, kind) in zip(f(*[b.column(i).to_pylist() for i in at]), new)]
+                yield pa.RecordBatch.from_arrays([*b.columns, *made], names=[*b.schema.names, *[n for n, _ in new]])
+
+    return df.mapInArrow(run, whole)
+
+
 def _array(x, kind: str):
     if isinstance(x, pa.Array):
         return x
