@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import language_id, line_dedup, mixing
+from . import chat, decontamination, language_id, line_dedup, mixing, pii
 
 
 def queries() -> dict:
     return {
+        "op1_decontamination": decontamination.query,
+        "op2_pii": pii.query,
         "op4_language_id": language_id.query,
         "op5_mixing": mixing.query,
         "op7_line_dedup": line_dedup.query,
+        "op9_chat": chat.query,
     }
 
 
@@ -17,4 +20,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op5_mixing": mixing.ORACLE_SQL,
         "op7_line_dedup": line_dedup.ORACLE_SQL,
+        "op9_chat": chat.ORACLE_SQL,
     }
