@@ -102,3 +102,31 @@ ARROW = {
 def id_remainder(column: str, modulus: int) -> Column:
     """crc32 of the id written as text, modulo ``modulus``; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
+
+
+def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+    """node and component (its least node) of the nodes in links (a, b: longs).
+
+    Alternates large-star and small-star steps: every node hands its larger
+    neighbours, then its smaller ones, to the least of its neighbourhood. Each
+    step is a minimum by node and a join, which spreads a node of very many
+    links; the links go through the shared folder after each round. Links end as
+    stars around the least node of each component.
+    """
+    links = links.where("a is not null and b is not null and a != b")
+    edges = materialize(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    state = None
+    for _ in range(rounds):
+        both = edges.union(edges.select("b", "a"))
+        least = both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, F.col("a") == F.col("u")).where("b > u and b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
+        small = large.join(least, F.col("a") == F.col("u")).select(F.when(F.col("b") == F.col("m"), F.col("u")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        edges = materialize(small)
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if now == state:
+            break
+        state = now
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
+    return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
