@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, language_id, line_dedup, mixing, pii
+from . import chat, decontamination, embedding_dedup, language_id, line_dedup, mixing, pii, quality
 
 
 def queries() -> dict:
@@ -12,7 +12,9 @@ def queries() -> dict:
         "op4_language_id": language_id.query,
         "op5_mixing": mixing.query,
         "op7_line_dedup": line_dedup.query,
+        "op8_embedding_dedup": embedding_dedup.query,
         "op9_chat": chat.query,
+        "op10_quality": quality.query,
     }
 
 
@@ -20,5 +22,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op5_mixing": mixing.ORACLE_SQL,
         "op7_line_dedup": line_dedup.ORACLE_SQL,
+        "op8_embedding_dedup": embedding_dedup.ORACLE_SQL,
         "op9_chat": chat.ORACLE_SQL,
     }
