@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, embedding_dedup, language_id, line_dedup, mixing, pii, quality
+from . import chat, decontamination, embedding_dedup, language_id, line_dedup, mixing, ngram_join, pii, quality
 
 
 def queries() -> dict:
     return {
         "op1_decontamination": decontamination.query,
         "op2_pii": pii.query,
+        "op3_ngram_join": ngram_join.query,
         "op4_language_id": language_id.query,
         "op5_mixing": mixing.query,
         "op7_line_dedup": line_dedup.query,
