@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, embedding_dedup, language_id, line_dedup, mixing, ngram_join, pii, quality
+from . import chat, decontamination, embedding_dedup, language_id, line_dedup, mixing, ngram_join, pii, quality, suffix_dedup
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_ngram_join": ngram_join.query,
         "op4_language_id": language_id.query,
         "op5_mixing": mixing.query,
+        "op6_suffix_dedup": suffix_dedup.query,
         "op7_line_dedup": line_dedup.query,
         "op8_embedding_dedup": embedding_dedup.query,
         "op9_chat": chat.query,
