@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_batch, id_remainder, table
+from .common import appended, by_batch, filtered, id_remainder, table
 
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
@@ -133,22 +133,15 @@ class Scorer:
         return self.m.langs[best], float(p[best] / p.sum())
 
 
-def identify(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns keep of docs, then lang_pred and score."""
+def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """docs with lang_pred and score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    fields = [f.simpleString().split(":", 1) for f in docs.select(*keep).schema.fields]
-    schema = ", ".join(f"{n} {t.replace('bigint', 'long')}" for n, t in fields) + ", lang_pred string, score double"
 
     def make():
         scorer = Scorer(shared.value)
+        return lambda texts: list(zip(*map(scorer.score, texts)))
 
-        def f(cols):
-            found = [scorer.score(t) for t in cols.pop("__text")]
-            return cols | {"lang_pred": [x for x, _ in found], "score": [x for _, x in found]}
-
-        return f
-
-    return by_batch(docs.select(*keep, F.col(text).alias("__text")), schema, None, make)
+    return appended(docs, [text], "lang_pred string, score double", make)
 
 
 def learnable(docs: DataFrame) -> DataFrame:
@@ -158,14 +151,17 @@ def learnable(docs: DataFrame) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit(learnable(docs))
-    found = identify(docs, model, ["doc_id"])
+    found = identify(docs.select("doc_id", "text"), model)
     return found.select("doc_id", (id_remainder("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float = 0.5) -> DataFrame:
     """Keeps the documents whose language is recognised: not ``und``, and with
     a score of ``least`` or more. Returns the columns of docs."""
-    model = fit(learnable(docs))
-    columns = docs.columns
-    found = identify(docs, model, columns)
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*columns)
+    shared = spark.sparkContext.broadcast(fit(learnable(docs)))
+
+    def make():
+        scorer = Scorer(shared.value)
+        return lambda texts: [lang != UNKNOWN and score >= least for lang, score in map(scorer.score, texts)]
+
+    return filtered(docs, ["text"], make)

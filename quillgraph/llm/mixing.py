@@ -93,10 +93,14 @@ def slots(shares: DataFrame, s: DataFrame, seed: int) -> DataFrame:
     own = s.where("quota > 0").select("rank", "blocks", keys.alias("keys"))
     x = shares.join(own, "rank").withColumn("slot", F.explode(F.expr("sequence(first, first + n - 1)")))
     x = x.withColumn("pass", F.floor(F.col("slot") / F.col("blocks")).cast("int")).withColumn("block", F.col("slot") % F.col("blocks"))
-    for r in range(ROUNDS):
-        x = x.withColumn("mirror", F.pmod(F.col("keys")[F.col("pass")][r] - F.col("block"), F.col("blocks")))
-        bit = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "rank", "pass", F.lit(str(r)), F.greatest("block", "mirror")).cast("binary")), 1, 1) >= "8"
-        x = x.withColumn("block", F.when(bit, F.col("mirror")).otherwise(F.col("block")))
+
+    def swapped(block: Column, r: Column) -> Column:
+        mirror = F.pmod(F.get(F.get("keys", F.col("pass")), r) - block, F.col("blocks"))
+        bit = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "rank", "pass", r, F.greatest(block, mirror)).cast("binary")), 1, 1) >= "8"
+        return F.when(bit, mirror).otherwise(block)
+
+    # one loop over the rounds: nested columns would double the expression each time
+    x = x.withColumn("block", F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), F.col("block"), swapped))
     return x.select("rank", "shard", "slot", "block")
 
 
