@@ -1,4 +1,6 @@
 """Registered queries over the standard tables, and their SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from . import note_queries  # noqa: F401
+from .registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
