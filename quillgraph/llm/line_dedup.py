@@ -18,6 +18,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import by_batch, table
 
@@ -48,7 +49,7 @@ def windows(docs: DataFrame) -> DataFrame:
     return by_batch(rows, "d long, th long, k int, h1 long, h2 long", f)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def without(text: pd.Series, marked: pd.Series) -> pd.Series:
     """The text without the lines of the marked windows."""
     out = []
