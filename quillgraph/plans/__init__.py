@@ -1,6 +1,6 @@
 """Registered queries over the standard tables, and their SQL."""
 
-from . import graph_queries, note_queries, retrieval_queries, text_queries  # noqa: F401
+from . import graph_queries, note_queries, retrieval_queries, tag_queries, text_queries, upkeep_queries  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
