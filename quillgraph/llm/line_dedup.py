@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_batch, table
+from .common import by_batch, small_batches, table
 
 LINES = 3
 NO_ID = -(2**63)
@@ -70,15 +70,20 @@ def without(text: pd.Series, marked: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """docs with text_kept and marked, the windows that went (null: none)."""
-    found = windows(docs)
+def deduped(docs: DataFrame) -> DataFrame:
+    """docs with __kept, the text that stays, and __marked, the windows that went (null: none)."""
+    found = windows(docs.select("doc_id", "text"))
     # partial aggregation leaves one row of a hot window in each task
     first = found.groupBy("h1", "h2").agg(F.min(F.struct("d", "th", "k")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     later = found.join(first, ["h1", "h2"]).where(F.struct("d", "th", "k") > F.col("first"))
-    marks = later.groupBy("d", "th").agg(F.collect_set("k").alias("marked"))
-    key = (F.coalesce(docs["doc_id"], F.lit(NO_ID)) == F.col("d")) & (F.xxhash64(docs["text"]) == F.col("th"))
-    return docs.join(marks, key, "left").drop("d", "th").withColumn("text_kept", F.when(F.col("marked").isNull(), F.col("text")).otherwise(without("text", "marked")))
+    marks = later.groupBy(F.col("d").alias("__d"), F.col("th").alias("__th")).agg(F.collect_set("k").alias("__marked"))
+    key = (F.coalesce(docs["doc_id"], F.lit(NO_ID)) == F.col("__d")) & (F.xxhash64(docs["text"]) == F.col("__th"))
+    return docs.join(marks, key, "left").drop("__d", "__th").withColumn("__kept", F.when(F.col("__marked").isNull(), F.col("text")).otherwise(without("text", "__marked")))
+
+
+def dedup(docs: DataFrame) -> DataFrame:
+    """doc_id, text, text_kept and marked, the windows that went (null: none)."""
+    return deduped(docs).select("doc_id", "text", F.col("__kept").alias("text_kept"), F.col("__marked").alias("marked"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,8 +95,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with what line dedup leaves of their texts, without those
     of which it leaves nothing. Returns the columns of docs; n_chars is made anew."""
-    out = dedup(docs).where("marked is null or text_kept != ''").withColumn("text", F.col("text_kept"))
-    return out.withColumn("n_chars", F.when(F.col("marked").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    small_batches(spark)
+    out = deduped(docs).where("__marked is null or __kept != ''").withColumn("text", F.col("__kept"))
+    return out.withColumn("n_chars", F.when(F.col("__marked").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 ORACLE_SQL = r"""
