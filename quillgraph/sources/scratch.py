@@ -22,5 +22,5 @@ def materialize(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it again: a cut in the lineage
     that outlives any executor."""
     path = f"{shared_dir(df.sparkSession)}/quillgraph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

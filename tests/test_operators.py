@@ -115,3 +115,45 @@ def test_windows(spark, tmp_path):
     events = spark.createDataFrame([("a", 0), ("a", 60), ("b", 400)], "event_type string, s long").select("event_type", F.timestamp_seconds("s").alias("ts"))
     got = {(r.event_type, r.n) for r in changes.windowed_counts(events).collect()}
     assert got == {("a", 2), ("b", 1)}
+
+
+def test_files(spark, tmp_path):
+    import json
+
+    from quillgraph.sources import files
+
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.txt").write_text("long enough " * 10)
+    (tmp_path / "a" / "y.txt").write_text("short")
+    assert [r.path.rsplit("/", 1)[1] for r in files.full_texts(spark, f"{tmp_path}/a").collect()] == ["x.txt"]
+    unused = files.unused_assets(spark, f"{tmp_path}/a", spark.createDataFrame([("x.txt",)], "name string"))
+    assert [r.name for r in unused.collect()] == ["y.txt"]
+    (tmp_path / "terms.json").write_text(json.dumps({"spellings": ["LaTeX"], "aliases": [{"name": "Convolutional Network", "forms": ["convnet"]}]}))
+    assert files.terms_from_json(spark, f"{tmp_path}/terms.json").alias_key("a convnet") == "a convolutional network"
+    items = spark.createDataFrame([("k", "T", "A", ["X Y"]), ("l", "T", None, [])], "key string, title string, abstract string, creators array<string>")
+    texts = spark.createDataFrame([("k", 2, "second " * 10), ("k", 1, "short")], "key string, rank int, text string")
+    got = {r.key: (r.text, r.weak) for r in files.with_fallback(items, texts).collect()}
+    assert got == {"k": ("second " * 10, False), "l": ("T\n", True)}
+    files.export_outline(items.select("key"), f"{tmp_path}/out")
+    assert sorted(r.value for r in spark.read.text(f"{tmp_path}/out").collect()) == ['- {"key":"k"}', '- {"key":"l"}']
+    files.write_index(items.select("key"), f"{tmp_path}/index", "key")
+    assert spark.read.parquet(f"{tmp_path}/index").count() == 2
+
+
+def test_graph_groups(spark):
+    from quillgraph.operators import discovery
+
+    n = spark.createDataFrame([("1", "Remote sensing of fields", "images")], "id string, title string, body string")
+    t = spark.createDataFrame([("1", "Machine learning"), ("1", "Remote sensing")], "card_id string, tag string")
+    assert discovery.graph_groups(n, t, []).first().group == "Remote sensing"
+    assert discovery.graph_groups(n, t, ["Machine learning"]).first().group == "Machine learning"
+
+
+def test_evidence(spark):
+    from quillgraph.operators import discovery
+
+    t = spark.createDataFrame([("a", "Nothing here. Graph networks learn fast."), ("b", "We study graph networks.\nOther."), ("c", None)], "doc_key string, text string")
+    p = spark.createDataFrame([("a", "b"), ("a", "c")], "query string, doc_key string")
+    got = {r.doc_key: r for r in discovery.evidence(p, t).collect()}
+    assert got["b"].terms == "Graph, networks" and got["b"].current == "Graph networks learn fast." and got["b"].match == "We study graph networks."
+    assert got["c"].terms == ""
