@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,32 +9,28 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.scratch import materialize, shared_dir  # noqa: F401
+
 #: A word is a run without the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+#: Rows and bytes that a task's Python gets at once; the defaults are too much for long texts.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1_000, "spark.sql.execution.arrow.maxBytesPerBatch": 16 << 20}
+
 
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to BATCH, unless they are smaller."""
+    for key, most in BATCH.items():
+        now = int(spark.conf.get(key).rstrip("b"))
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where none is named."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="quillgraph-")
-        sc.setCheckpointDir(named)
-        named = sc.getCheckpointDir()
-    return named
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it again: a cut in the lineage
-    that outlives any executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quillgraph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder, read with small_batches()."""
+    small_batches(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def by_batch(df: DataFrame, schema: str, f: Callable[[dict[str, list]], dict[str, list]], make=None, to_py=True) -> DataFrame:

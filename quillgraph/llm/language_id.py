@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import appended, by_batch, filtered, id_remainder, table
+from .common import appended, by_batch, filtered, id_remainder, small_batches, table
 
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
@@ -98,7 +98,7 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", docs_per_lang:
 class Scorer:
     """Scores texts; remembers which n-grams stand for an unseen word, for at most room words."""
 
-    def __init__(self, model: Model, room: int = 200_000):
+    def __init__(self, model: Model, room: int = 50_000):
         self.m, self.room, self.backed = model, room, {}
 
     def back_off(self, word: str) -> list[int]:
@@ -158,6 +158,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float = 0.5) -> DataFrame:
     """Keeps the documents whose language is recognised: not ``und``, and with
     a score of ``least`` or more. Returns the columns of docs."""
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(fit(learnable(docs)))
 
     def make():
