@@ -14,13 +14,15 @@ thousandth of all documents or more hold, by hash. Few documents need any but
 the first part, and shingles that only one document holds leave at once.
 
 Candidates share a prefix shingle and pass the length filter, the positional
-filter (what can still be common, given the shingle's places) and the suffix
+filter (what can still be common, given the shingle's places and how many
+shingles before it anyone else holds) and the suffix
 filter (what can be common given how many shingles fall in each of 16 parts of
 the hash range). Each pair is then verified once, on the texts. Large groups of
-near copies don't become all their pairs: in the order of sizes a class is first
-paired with its neighbours, those further away follow only if what is linked so
-far leaves the two apart, and the last round takes all pairs that are still
-apart, so no link between components is lost.
+near copies don't become all their pairs: a class is first paired with its
+neighbours in the order of sizes and with the class of fewest shingles of its
+own; those further away and the nearest of the largest component follow only if
+what is linked so far leaves the two apart, and the last round takes all pairs
+that are still apart, so no link between components is lost.
 
 Cases: null and empty texts have empty sets; rows that share a doc_id are one
 document; a row without doc_id is named by its set and has a component_id only
@@ -40,7 +42,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, materialize, table
+from .common import components, materialize, small_batches, table
 
 WORDS = 5
 PARTS = 16
@@ -54,7 +56,7 @@ class Hashes(dict):
     """Hashes of words, forgotten when there are too many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 200_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
@@ -82,7 +84,7 @@ def prefix_size(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + 1
 
 
-def described(docs: DataFrame, chunk: int = 4_000_000) -> DataFrame:
+def described(docs: DataFrame, chunk: int = 1_500_000) -> DataFrame:
     """Rows of two kinds: each document's doc_id, set (c), size (n) and parts;
     and shingles (t) that many documents (m) of a chunk hold."""
 
@@ -138,7 +140,7 @@ def first_shingles(docs: DataFrame, hot: np.ndarray, percent: int) -> DataFrame:
                     key = xxhash.xxh3_128_digest(s.tobytes())
                     if key in seen:
                         continue
-                    if len(seen) < 200_000:
+                    if len(seen) < 100_000:
                         seen.add(key)
                     common = np.zeros(len(s), bool)
                     if len(hot):
@@ -172,32 +174,59 @@ def prefixes(docs: DataFrame, classes: DataFrame, hot: np.ndarray, percent: int)
     rows = rows.withColumn("alone", alone).withColumn("place", place)
     rows = rows.withColumn("pos", F.when(F.col("pos") < 0, F.col("alone") + F.col("place")).otherwise(F.col("pos")))
     rows = rows.where(F.col("pos") < F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
-    rows = rows.join(classes.select("c", "r"), "c").select("t", "c", "r", "n", F.col("pos").cast("int").alias("pos"))
-    return rows
+    return rows.join(classes.select("c", "r"), "c").select("t", "c", "r", "n", F.col("pos").cast("int").alias("pos"), F.col("alone").cast("int").alias("alone"))
+
+
+def shared_by_classes(first: DataFrame) -> DataFrame:
+    """Prefix shingles of two classes or more, with before: how many such ones
+    the class has ahead of this one."""
+    rows = first.join(first.groupBy("t").agg(F.count("*").alias("k")).where("k > 1").drop("k"), "t")
+    return rows.withColumn("before", F.row_number().over(Window.partitionBy("c").orderBy("pos")) - 1)
 
 
 def may_link(percent: int, a: str = "", b: str = "2") -> Column:
     """Length and positional filters for two rows of a prefix shingle."""
     na, nb, pa_, pb = F.col(f"n{a}"), F.col(f"n{b}"), F.col(f"pos{a}"), F.col(f"pos{b}")
     need = F.ceil(percent * (na + nb) / (100 + percent))
-    most = F.least(pa_, pb) + 1 + F.least(na - pa_ - 1, nb - pb - 1)
+    # common so far: what each has ahead that some other class holds at all
+    most = F.least(F.col(f"before{a}"), F.col(f"before{b}")) + 1 + F.least(na - pa_ - 1, nb - pb - 1)
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (most >= need)
 
 
+#: What a row of a prefix shingle has of its class.
+OF_CLASS = ("c", "r", "n", "pos", "before", "alone")
+
+
+def with_largest(rows: DataFrame) -> DataFrame:
+    """Rows of the shingles that classes of several components (comp) hold, with
+    the largest of these, major."""
+    sizes = rows.groupBy("t", "comp").agg(F.count("*").alias("m"))
+    largest = sizes.groupBy("t").agg(F.max_by("comp", F.struct("m", "comp")).alias("major"), F.count("*").alias("comps")).where("comps > 1").drop("comps")
+    return rows.join(largest, "t")
+
+
 def neighbours(rows: DataFrame, percent: int, distances: list[int], apart: bool) -> DataFrame:
-    """Pairs that stand so far from each other among the classes of a shingle, by size."""
-    own = Window.partitionBy("t").orderBy("n", "c")
-    parts = []
-    columns = [F.struct("c", "r", "n", "pos", *(["comp"] if apart else [])).alias("x")]
-    x = rows.select("t", "n", "c", *columns)
-    for d in distances:
-        x = x.withColumn(f"x{d}", F.lag("x", d).over(own))
-    x = x.select("x", F.explode(F.array(*[f"x{d}" for d in distances])).alias("y")).where("y is not null")
+    """Pairs that stand so far from each other among the classes of a shingle, by
+    size, and each class with the one of fewest shingles of its own, which copies
+    with other edits are likely to have in common. With apart, components (comp)
+    are known: then each class outside the shingle's largest component with the
+    nearest in it takes that one's place, and pairs within a component are out."""
+    by_size = Window.partitionBy("t").orderBy("n", "c")
+    x = (with_largest(rows) if apart else rows).withColumn("x", F.struct(*OF_CLASS, *(["comp"] if apart else [])))
+    others = [F.lag("x", d).over(by_size) for d in distances]
+    if apart:
+        major = F.when(F.col("comp") == F.col("major"), F.col("x"))
+        others.append(F.last(major, ignorenulls=True).over(by_size.rowsBetween(Window.unboundedPreceding, -1)))
+        others.append(F.last(major, ignorenulls=True).over(Window.partitionBy("t").orderBy(F.desc("n"), F.desc("c")).rowsBetween(Window.unboundedPreceding, -1)))
+    else:
+        others.append(F.first("x").over(Window.partitionBy("t").orderBy("alone", "n", "c")))
+    for k, y in enumerate(others):
+        x = x.withColumn(f"y{k}", y)
+    x = x.select("x", F.explode(F.array(*[f"y{k}" for k in range(len(others))])).alias("y")).where("y is not null")
     if apart:
         x = x.where("x.comp != y.comp")
-    x = x.select("x.*", *[F.col(f"y.{k}").alias(f"{k}2") for k in ("c", "r", "n", "pos")])
-    parts.append(x.where(may_link(percent)).where("c != c2"))
-    return pairs(parts[0])
+    x = x.select("x.*", *[F.col(f"y.{k}").alias(f"{k}2") for k in OF_CLASS])
+    return pairs(x.where(may_link(percent)).where("c != c2"))
 
 
 def pairs(x: DataFrame) -> DataFrame:
@@ -210,11 +239,9 @@ def pairs(x: DataFrame) -> DataFrame:
 def still_apart(rows: DataFrame, percent: int) -> DataFrame:
     """All pairs of a shingle's classes whose components differ: those outside
     the shingle's largest component, with all others."""
-    sizes = rows.groupBy("t", "comp").agg(F.count("*").alias("m"))
-    largest = sizes.groupBy("t").agg(F.max_by("comp", F.struct("m", "comp")).alias("major"), F.count("*").alias("comps")).where("comps > 1").drop("comps")
-    mixed = rows.join(largest, "t")
+    mixed = with_largest(rows)
     minor = mixed.where("comp != major")
-    other = mixed.select("t", *[F.col(k).alias(f"{k}2") for k in ("c", "r", "n", "pos", "comp", "major")])
+    other = mixed.select("t", *[F.col(k).alias(f"{k}2") for k in (*OF_CLASS, "comp", "major")])
     once = (F.col("comp") != F.col("comp2")) & ((F.col("comp2") == F.col("major2")) | (F.col("comp") < F.col("comp2")))
     return pairs(minor.join(other, "t").where(once & may_link(percent)))
 
@@ -234,7 +261,7 @@ def verified(found: DataFrame, classes: DataFrame, texts: DataFrame, percent: in
         def of(key: bytes, z: bytes) -> np.ndarray:
             nonlocal size
             if key not in known:
-                if size > 4_000_000:
+                if size > 1_000_000:
                     known.clear()
                     size = 0
                 known[key] = shingles(zstandard.decompress(z).decode("utf-8", "surrogatepass"), hashes)
@@ -265,7 +292,7 @@ def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     s = shingles(text, hashes)
                     key = xxhash.xxh3_128_digest(s.tobytes())
                     if len(s) and key not in seen:
-                        if len(seen) < 200_000:
+                        if len(seen) < 100_000:
                             seen.add(key)
                         c.append(key)
                         z.append(packer.compress(text.encode("utf-8", "surrogatepass")))
@@ -287,14 +314,13 @@ def near_documents(docs: DataFrame, percent: int = 80, hot_share: float = 0.001,
     nameless = F.lit(NAMELESS).bitwiseOR(F.shiftrightunsigned(F.xxhash64("c"), 2))
     classes = materialize(members.where("n > 0").groupBy("c").agg(F.coalesce(F.min("doc_id"), nameless).alias("r"), F.any_value("n").alias("n"), F.any_value("parts").alias("parts")))
     first = materialize(prefixes(docs, classes, hot, percent))
-    shared = first.join(first.groupBy("t").agg(F.count("*").alias("k")).where("k > 1"), "t").drop("k")
-    shared = materialize(shared)
+    shared = materialize(shared_by_classes(first))
     texts = materialize(texts_of(docs, shared.select("c").distinct()))
     # rows that share a doc_id are one document
     ids = members.where("doc_id is not null and n > 0").join(classes.select("c", "r"), "c").where("doc_id != r").select(F.col("doc_id").alias("ra"), F.col("r").alias("rb")).distinct()
     links = [ids]
     comps = None
-    for distances in ([1, 2], [4, 16], None):
+    for distances in ([1], [2, 4, 16], None):
         if comps is None:
             found = neighbours(shared, percent, distances, apart=False)
         else:
@@ -314,5 +340,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component: the row whose doc_id names it. Rows
     without doc_id stay, and so do rows without words. Returns the columns of docs."""
+    small_batches(spark)
     found = near_documents(docs).where("component_id != doc_id").select(F.col("doc_id").alias("__id")).distinct()
     return docs.join(found, F.col("doc_id") == F.col("__id"), "left_anti")
