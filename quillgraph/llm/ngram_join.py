@@ -14,8 +14,7 @@ thousandth of all documents or more hold, by hash. Few documents need any but
 the first part, and shingles that only one document holds leave at once.
 
 Candidates share a prefix shingle and pass the length filter, the positional
-filter (what can still be common, given the shingle's places and how many
-shingles before it anyone else holds) and the suffix
+filter (what can still be common after the first common one) and the suffix
 filter (what can be common given how many shingles fall in each of 16 parts of
 the hash range). Each pair is then verified once, on the texts. Large groups of
 near copies don't become all their pairs: a class is first paired with its
@@ -178,23 +177,22 @@ def prefixes(docs: DataFrame, classes: DataFrame, hot: np.ndarray, percent: int)
 
 
 def shared_by_classes(first: DataFrame) -> DataFrame:
-    """Prefix shingles of two classes or more, with before: how many such ones
-    the class has ahead of this one."""
-    rows = first.join(first.groupBy("t").agg(F.count("*").alias("k")).where("k > 1").drop("k"), "t")
-    return rows.withColumn("before", F.row_number().over(Window.partitionBy("c").orderBy("pos")) - 1)
+    """Prefix shingles of two classes or more."""
+    return first.join(first.groupBy("t").agg(F.count("*").alias("k")).where("k > 1").drop("k"), "t")
 
 
 def may_link(percent: int, a: str = "", b: str = "2") -> Column:
-    """Length and positional filters for two rows of a prefix shingle."""
+    """Length and positional filters for two rows of a prefix shingle, as if it
+    were the first that the two have in common: a pair that links passes there."""
     na, nb, pa_, pb = F.col(f"n{a}"), F.col(f"n{b}"), F.col(f"pos{a}"), F.col(f"pos{b}")
     need = F.ceil(percent * (na + nb) / (100 + percent))
-    # common so far: what each has ahead that some other class holds at all
-    most = F.least(F.col(f"before{a}"), F.col(f"before{b}")) + 1 + F.least(na - pa_ - 1, nb - pb - 1)
+    # at the first common shingle nothing before it is common
+    most = F.least(na - pa_, nb - pb)
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (most >= need)
 
 
 #: What a row of a prefix shingle has of its class.
-OF_CLASS = ("c", "r", "n", "pos", "before", "alone")
+OF_CLASS = ("c", "r", "n", "pos", "alone")
 
 
 def with_largest(rows: DataFrame) -> DataFrame:
