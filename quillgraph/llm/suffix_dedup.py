@@ -39,7 +39,7 @@ from .common import materialize, table
 
 LENGTH = 200
 GRAM = 32
-CHUNK = 2 << 20
+CHUNK = 1 << 19
 PLACE = np.uint64((1 << 26) - 1)
 TABLE = np.random.default_rng(11).integers(0, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93], np.uint64)
@@ -143,7 +143,7 @@ def packed(docs: DataFrame) -> DataFrame:
     """doc_id, x, size and the text, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = zstandard.ZstdCompressor(level=1)
+        packer = zstandard.ZstdCompressor(level=3)
         for b in batches:
             for at, data, begin in texts(b, 1):
                 raw = [data[i:j].tobytes() for i, j in zip(begin[:-1], begin[1:])]
@@ -277,8 +277,8 @@ def spans_of(df: DataFrame, found) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row in b.to_pylist():
-                for x, size, lo, hi in found(row):
+            for i in range(b.num_rows):  # one at a time: a row is a bucket
+                for x, size, lo, hi in found(b.slice(i, 1).to_pylist()[0]):
                     yield pa.RecordBatch.from_arrays([pa.array(x), *[pa.array(v.astype(np.int32)) for v in (size, lo, hi)]], names=["x", "size", "lo", "hi"])
 
     return df.mapInArrow(run, SPAN)
@@ -318,7 +318,8 @@ def merged(old: DataFrame, new: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
                 parts = [Suffixes.of(row[k], length) for k in ("old", "new") if row[k]]
                 if len(parts) == 2:
                     a, b = parts
@@ -332,7 +333,7 @@ def merged(old: DataFrame, new: DataFrame, length: int) -> DataFrame:
     return beside(old, new, "full").mapInArrow(run, LEVEL)
 
 
-def insert_all(pieces: DataFrame, batches: int, length: int, windows_per_bucket: int = 50_000) -> list[DataFrame]:
+def insert_all(pieces: DataFrame, batches: int, length: int, windows_per_bucket: int = 25_000) -> list[DataFrame]:
     """Puts the pieces into an index family, batch by batch; SPAN rows of all repeated windows."""
     total = pieces.agg(F.coalesce(F.sum("windows"), F.lit(0))).first()[0]
     buckets = total // windows_per_bucket + 1
@@ -367,7 +368,7 @@ def repeated(docs: DataFrame, length: int, batches: int, crowd: int) -> DataFram
     return reduce(DataFrame.union, spans).distinct()
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, batches: int = 4, crowd: int = 2_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, length: int = LENGTH, batches: int = 4, crowd: int = 250, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, kept (the bytes that stay), n_removed, and starts and
     ends of the runs removed, for each row of docs."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
