@@ -296,7 +296,7 @@ def equal_neighbours(level: DataFrame, length: int) -> DataFrame:
 
 def beside(old: DataFrame, new: DataFrame, how: str) -> DataFrame:
     two = lambda df, name: df.select("bucket", F.struct(*[k for k in df.columns if k != "bucket"]).alias(name))
-    return two(old, "old").join(two(new, "new"), "bucket", how)
+    return two(old, "old").hint("merge").join(two(new, "new"), "bucket", how)
 
 
 def merge_scan(old: DataFrame, new: DataFrame, length: int) -> DataFrame:
@@ -368,7 +368,7 @@ def repeated(docs: DataFrame, length: int, batches: int, crowd: int) -> DataFram
     return reduce(DataFrame.union, spans).distinct()
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, batches: int = 4, crowd: int = 250, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, length: int = LENGTH, batches: int = 4, crowd: int = 1_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, kept (the bytes that stay), n_removed, and starts and
     ends of the runs removed, for each row of docs."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
