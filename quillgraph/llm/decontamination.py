@@ -1,14 +1,14 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Words are runs of letters and digits, in lower case. Every three-word sequence
-of a test item is a possible seed; how often each occurs is counted over all
-documents, and an item keeps the rarest two thirds of its own (items of fewer
-than three words are one seed). A document that holds a kept seed of an item is
-aligned with it: the words around the seeds against the item's words, +2 for
-equal words, -1 for others and for gaps. The score is the share of the item's
-own best score (twice its words) that the alignment reaches; an item counts as
-leaked from ``least`` on. Passages that share too few words with the item to
-reach it are not aligned.
+of a test item is a seed, however often it occurs (items of fewer than three
+words are one seed). A document that holds a seed of an item is aligned with
+it: the words around the seeds against the item's words, +2 for equal words, -1
+for others and for gaps. The score is the share of the item's own best score
+(twice its words) that the alignment reaches; an item counts as leaked from
+``least`` on. Passages that share too few words with the item to reach it are
+not aligned. Not found: copies edited so densely that no three words in a row
+are left, though they may still score a little over one half.
 
 An item of over 384 words is cut into pieces of 256 that are aligned by
 themselves; its best piece counts. The items are read in blocks of at most ``block_bytes`` of text, each shipped
@@ -27,7 +27,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import by_batch, filtered, table
@@ -76,7 +76,8 @@ class Items:
         for i, w in enumerate(self.words):
             for k, s in enumerate(self.grams(w)):
                 self.seeds[s].append((i, k))
-        self.keep(self.seeds)
+        self.sorted = np.array(sorted(s for s in self.seeds if s >= 0), np.int64)
+        self.short = [(i, w) for i, w in enumerate(self.words) if 0 < len(w) < SEED]
 
     @staticmethod
     def grams(numbers: np.ndarray) -> list[int]:
@@ -85,17 +86,12 @@ class Items:
         a = numbers.astype(np.uint64)
         return ((a[:-2] << (SHIFT + SHIFT)) | (a[1:-1] << SHIFT) | a[2:]).astype(np.int64).tolist() if len(a) >= SEED else []
 
-    def keep(self, seeds) -> None:
-        self.kept = {s: self.seeds[s] for s in seeds}
-        self.sorted = np.array(sorted(s for s in self.kept if s >= 0), np.int64)
-        self.short = [(i, w) for i, w in enumerate(self.words) if 0 < len(w) < SEED]
-
     def read(self, text: str | None) -> np.ndarray:
         get = self.number.get
         return np.array([get(w, 0) for w in words(text)], np.int64)
 
     def hits(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places in own where a kept seed begins, and the seeds."""
+        """Places in own where a seed begins, and the seeds."""
         if len(own) < SEED or not len(self.sorted):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         at = np.flatnonzero((own[:-2] > 0) & (own[1:-1] > 0) & (own[2:] > 0))
@@ -109,7 +105,7 @@ class Items:
         own = self.read(text)
         near = defaultdict(list)
         for at, s in zip(*(x.tolist() for x in self.hits(own))):
-            for i, k in self.kept[s]:
+            for i, k in self.seeds[s]:
                 near[i].append(at - k)
         for i, w in self.short:
             n = len(w)
@@ -118,7 +114,8 @@ class Items:
         out: dict = {}
         for i, starts in near.items():
             item = self.words[i]
-            slack = len(item) // 2 + 4
+            need = least * 2 * len(item)
+            slack = math.ceil(2 * len(item) - need)  # an alignment with more gaps scores less than need
             spans = []
             for s in sorted(starts):
                 lo, hi = max(0, s - slack), min(len(own), s + len(item) + slack)
@@ -127,7 +124,6 @@ class Items:
                 else:
                     spans.append([lo, hi])
             have, best = Counter(item.tolist()), (0, 0, 0)
-            need = least * 2 * len(item)
             for lo, hi in spans:
                 part = own[lo:hi]
                 if 2 * (Counter(part[part > 0].tolist()) & have).total() < need:
@@ -153,33 +149,12 @@ def blocks(items: DataFrame, item_id: str, text: str, block_bytes: int) -> list[
             yield Items(part)
 
 
-def choose_seeds(docs: DataFrame, items: Items, text: str, share: float = 2 / 3) -> None:
-    """Keeps the rarest seeds of each item, by how often they occur in all documents."""
-    shared = docs.sparkSession.sparkContext.broadcast(items)
-
-    def f(cols):
-        got = Counter()
-        for t in cols["t"]:
-            got.update(shared.value.hits(shared.value.read(t))[1].tolist())
-        return {"seed": list(got), "n": list(got.values())}
-
-    # no more rows than the block has seeds
-    rows = by_batch(docs.select(F.col(text).alias("t")), "seed long, n long", f).groupBy("seed").agg(F.sum("n").alias("n")).collect()
-    n = {r["seed"]: r["n"] for r in rows}
-    kept = set()
-    for w in items.words:
-        own = sorted(set(items.grams(w)), key=lambda s: (n.get(s, 0), s))
-        kept.update(own[: math.ceil(len(own) * share)])
-    items.keep(kept)
-
-
 def find_leaks(docs: DataFrame, items: DataFrame, least: float = 0.5, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = 4 << 20) -> DataFrame:
     """doc_id, item_id, score, first_word and end_word for each leak."""
     spark = docs.sparkSession
     kind = dict(docs.dtypes)[doc_id].replace("bigint", "long")
     out = None
     for part in blocks(items, item_id, item_text, block_bytes):
-        choose_seeds(docs, part, text)
         shared = spark.sparkContext.broadcast(part)
 
         def f(cols, shared=shared):
@@ -194,7 +169,6 @@ def find_leaks(docs: DataFrame, items: DataFrame, least: float = 0.5, doc_id: st
 def without_leaks(docs: DataFrame, items: DataFrame, least: float = 0.5, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = 4 << 20) -> DataFrame:
     """The rows of docs that leak no item."""
     for part in blocks(items, item_id, item_text, block_bytes):
-        choose_seeds(docs, part, text)
         shared = docs.sparkSession.sparkContext.broadcast(part)
 
         docs = filtered(docs, [text], lambda shared=shared: lambda texts: [not shared.value.leaks(t, least) for t in texts])

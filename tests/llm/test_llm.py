@@ -72,6 +72,24 @@ def test_leaks(spark):
     assert sorted((r.doc_id, r.item_id) for r in blocks.collect()) == found
 
 
+def test_leaks_by_few_seeds(spark):
+    words = text(20, 30).split()
+    edited = " ".join("changed" if i % 4 == 0 else w for i, w in enumerate(words))
+    items = spark.createDataFrame([(1, " ".join(words)), (2, text(23, 8))], "item_id long, text string")
+    half = " ".join(text(23, 8).split()[:4])
+    docs = spark.createDataFrame([(0, f"{text(1)} {edited} {text(2)}"), (1, f"{text(3)} {half} {text(4)}"), (2, text(5))], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontamination.find_leaks(docs, items).collect()}
+    assert got == {(0, 1): 37 / 60, (1, 2): 0.5}
+    assert [r.doc_id for r in decontamination.without_leaks(docs, items).collect()] == [2]
+
+
+def test_leaks_over_a_long_gap():
+    item = [f"w{i}" for i in range(100)]
+    words = item[:28] + [f"x{i}" for i in range(60)] + ["y" if i % 3 == 0 else item[i] for i in range(28, 100)]
+    (got,) = decontamination.Items([(1, " ".join(item))]).leaks(" ".join(words), 0.3)
+    assert got[1] == score_by_table(item, words) / 200
+
+
 def test_leaks_of_nothing(spark):
     docs, none = awkward(spark), spark.createDataFrame([], "item_id long, text string")
     assert decontamination.find_leaks(docs, none).count() == 0
