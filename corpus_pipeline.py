@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillgraph.llm import common, decontamination, language_id, line_dedup, mixing, ngram_join
 
-#: Each takes (spark, docs, sf_dir); all but the last return the columns of documents.
+#: Each takes (spark, docs, sf_dir); all but the last return the columns of documents; the last cuts their texts into the rows of the mix.
 STAGES = [
     ("language_id", language_id.stage),
     ("line_dedup", line_dedup.stage),

@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD, materialize, table
 
+#: A word with the white space that follows, and with what stands before the first.
+TOKEN = rf"(?:\A[\x20\x09-\x0D]+)?{WORD}[\x20\x09-\x0D]*"
 WEIGHTS = (5, 2, 1)
 ROUNDS = 12
 CELLS = 4096
@@ -34,14 +36,14 @@ def hashed(*parts) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *[p if isinstance(p, Column) else F.lit(str(p)) for p in parts]).cast("binary")), 1, 15), 16, 10).cast("long")
 
 
-def sized(docs: DataFrame, seed: int, rows_per_bucket: int = 20_000, text: str = "text") -> DataFrame:
-    """doc_id, source, size, and a place (bucket, rn) that is the row's own within its source."""
-    rows = docs.select("doc_id", "source", F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+def sized(docs: DataFrame, seed: int, rows_per_bucket: int = 20_000, text: str = "text", keep=()) -> DataFrame:
+    """doc_id, source, size, the columns to keep, and a place (bucket, rn) that is the row's own within its source."""
+    rows = docs.select("doc_id", "source", *keep, F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     rows = materialize(rows)
     buckets = rows.count() // rows_per_bucket + 1
     h = hashed(seed, "place", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
     rows = rows.withColumn("h", h).withColumn("bucket", F.col("h") % buckets)
-    own = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "size")
+    own = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "size", *keep)
     rows = rows.withColumn("rn", F.row_number().over(own)).withColumn("before", F.sum("size").over(own.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     return rows.drop("h")
 
@@ -104,11 +106,12 @@ def slots(shares: DataFrame, s: DataFrame, seed: int) -> DataFrame:
     return x.select("rank", "shard", "slot", "block")
 
 
-def mix(docs: DataFrame, share: float = 1.5, block: int = 128, per_shard: int = 65_536, seed: int = 7) -> tuple[DataFrame, DataFrame]:
-    """Returns the documents (doc_id, source, size, source_size, target, taken)
-    and the mix itself (rank, shard, slot, block)."""
+def packed(docs: DataFrame, share: float, block: int, per_shard: int, seed: int, keep=()) -> tuple[DataFrame, DataFrame]:
+    """Returns the documents laid end to end and cut (a row for each block that a
+    document has words in, of documents without words one with a null block) and
+    the mix (rank, shard, slot, block)."""
     spark = docs.sparkSession
-    rows = sized(docs, seed)
+    rows = sized(docs, seed, keep=keep)
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket"))
     start = F.sum("in_bucket").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("in_bucket")
     sums = sums.select(F.col("source").alias("s2"), F.col("bucket").alias("b2"), start.alias("start"))
@@ -119,22 +122,56 @@ def mix(docs: DataFrame, share: float = 1.5, block: int = 128, per_shard: int =
     rows = rows.withColumn("lo", F.col("start") + F.col("before"))
     rows = rows.withColumn("block", F.explode_outer(F.when(F.col("size") > 0, F.sequence(F.floor(F.col("lo") / block), F.floor((F.col("lo") + F.col("size") - 1) / block)))))
     words = F.least(F.col("lo") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("lo"), F.col("block") * block)
+    return rows.withColumn("words", words), dealt
+
+
+def mix(docs: DataFrame, share: float = 1.5, block: int = 128, per_shard: int = 65_536, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+    """Returns the documents (doc_id, source, size, source_size, target, taken)
+    and the mix itself (rank, shard, slot, block)."""
+    rows, dealt = packed(docs, share, block, per_shard, seed)
     times = dealt.groupBy("rank", "block").agg(F.count("*").alias("times"))
-    found = rows.withColumn("words", words).join(times, ["rank", "block"], "left")
+    found = rows.join(times, ["rank", "block"], "left")
     out = found.groupBy("rank", "bucket", "rn", "doc_id", "source", "size", "source_size", "target").agg(F.coalesce(F.sum(F.col("words") * F.col("times")), F.lit(0)).cast("long").alias("taken"))
     return out.select("doc_id", "source", "size", "source_size", "target", "taken"), dealt
 
 
+def emitted(docs: DataFrame, share: float = 1.5, block: int = 128, per_shard: int = 65_536, seed: int = 7) -> DataFrame:
+    """The mix as text: for each slot a row for each document with words in its
+    block, text being that piece of the document with the white space that
+    follows each word (and what stands before the first). New columns, in place
+    of any of the same name: size and target (of the document, of its source),
+    taken (the row's words), shard, slot, block, and place, the first word's
+    within the block. Documents without words come once, with nulls in the last
+    four; n_chars is made anew, other columns are the document's."""
+    docs = docs.drop("size", "target", "taken", "shard", "slot", "block", "place")
+    docs = materialize(docs.withColumn("__row", F.monotonically_increasing_id()).withColumn("__tie", F.xxhash64("text")))
+    rows, dealt = packed(docs, share, block, per_shard, seed, keep=("__tie", "__row"))
+    first = F.greatest(F.col("lo"), F.col("block") * block)
+    rows = rows.select("__row", "size", "target", "rank", "block", "words", (first - F.col("lo")).alias("from"), (first - F.col("block") * block).alias("place"))
+    piece = F.struct(F.col("words").alias("taken"), "shard", "slot", "block", "place", "from")
+    # the pieces go to the texts, so that each text moves once
+    parts = rows.join(dealt, ["rank", "block"], "left").groupBy(F.col("__row").alias("__r")).agg(F.max("size").alias("size"), F.max("target").alias("target"), F.collect_list(F.when(F.col("slot").isNotNull(), piece)).alias("__pieces"))
+    parts = parts.where((F.size("__pieces") > 0) | (F.col("size") == 0))
+    names = ("taken", "shard", "slot", "block", "place")
+    tokens = F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))
+    # a list of one list: a text is cut into words once, not once for each piece
+    cut = F.transform(F.array(tokens), lambda t: F.transform("__pieces", lambda p: F.struct(F.array_join(F.slice(t, (p["from"] + 1).cast("int"), p["taken"].cast("int")), "").alias("text"), *[p[n].alias(n) for n in names])))
+    whole = F.array(F.struct(F.col("text"), F.lit(0).cast("long").alias("taken"), *[F.lit(None).cast("long").alias(n) for n in names[1:]]))
+    found = docs.join(parts, F.col("__row") == F.col("__r")).withColumn("__piece", F.explode(F.when(F.col("size") == 0, whole).otherwise(F.get(cut, F.lit(0)))))
+    made = {"text": F.col("__piece.text").alias("text")}
+    if "n_chars" in docs.columns:
+        made["n_chars"] = F.when(F.col("size") == 0, F.col("n_chars")).otherwise(F.length("__piece.text")).cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return found.select(*[made.get(n, n) for n in docs.columns if n not in ("__row", "__tie")], "size", "target", *[f"__piece.{n}" for n in names])
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))[0].drop("source")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes words of (and those without words),
-    with size, target and taken. Documents are told apart by doc_id."""
-    parts = mix(docs)[0].groupBy("doc_id").agg(F.max("size").alias("size"), F.max("target").alias("target"), F.sum("taken").alias("taken"))
-    parts = parts.withColumnRenamed("doc_id", "__id")
-    return docs.join(parts, F.col("doc_id").eqNullSafe(F.col("__id"))).where("taken > 0 or size = 0").drop("__id")
+    """The mix of the documents, as emitted() gives it: pieces of texts, those of
+    blocks dealt twice as rows of their own."""
+    return emitted(docs)
 
 
 def _oracle(share=1.5, block=128, per_shard=65_536, seed=7, rows_per_bucket=20_000) -> str:

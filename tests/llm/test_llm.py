@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+from collections import defaultdict
 
 import numpy as np
 import pytest
@@ -208,6 +209,27 @@ def test_mix_of_awkward_rows(spark):
     assert mixing.mix(docs.where("text is null"))[0].toPandas().taken.sum() == 0
 
 
+def test_mix_as_rows(spark):
+    docs = [(i, text(i % 40, 40 + 7 * (i % 50)).replace(" ", "\n ", 3), f"s{i % 3}") for i in range(60)] + [(7, "  again the same id", "s1"), (60, text(2, 4000), "s0"), (61, None, "s0"), (62, " ", None), (None, text(8), None), (None, text(9), None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    got = mixing.stage(spark, df, "").toPandas()
+    words = lambda t: re.findall(common.WORD, t or "")
+    assert all(len(words(t)) == n for t, n in zip(got.text, got.taken))
+    for _, g in got.groupby("source", dropna=False):
+        assert abs(g.taken.sum() - g.target.iloc[0]) <= 128 and g.target.nunique() == 1
+    # slots hold whole blocks, and equal blocks hold equal words
+    texts = {(d, t) for d, t, _ in docs if d is not None}
+    dealt = got[got.slot.notna()]
+    by = defaultdict(set)
+    for (source, slot), g in dealt.fillna({"source": ""}).sort_values("place").groupby(["source", "slot"]):
+        assert list(g.place) == [0, *g.taken.cumsum()[:-1]]
+        by[source, g.block.iloc[0]].add("".join(g.text + "|"))
+    assert all(len(x) == 1 for x in by.values()) and dealt.groupby("source").slot.nunique().gt(1).all()
+    assert all(any(d == i and t in (u or "") for i, u in texts) for d, t in zip(dealt.doc_id, dealt.text) if d == d)
+    assert set(got[got["size"] == 0].doc_id) == {61, 62}
+    assert mixing.stage(spark, df.limit(0), "").count() == 0 and mixing.stage(spark, awkward(spark), "").columns.count("size") == 1
+
+
 @pytest.mark.parametrize("blocks", [1, 2, 7, 64, 101])
 def test_permutations(spark, blocks):
     s = spark.createDataFrame([(1, blocks, 2 * blocks)], "rank int, blocks long, quota long")
@@ -405,6 +427,16 @@ def test_pipeline(spark, sf_dir):
     assert {r.doc_id for r in corpus_pipeline.run(spark, sf_dir).collect()} == ids
 
 
+def test_pipeline_meets_the_targets(spark, sf_dir):
+    import corpus_pipeline
+
+    got = corpus_pipeline.run(spark, sf_dir).toPandas()
+    words = got.text.map(lambda t: len(re.findall(common.WORD, t or "")))
+    for source, target in got.groupby("source").target.first().items():
+        assert abs(words[got.source == source].sum() - target) <= 128
+    assert (got.n_chars == got.text.str.len()).all()
+
+
 def test_digests(spark, sf_dir):
     got = suffix_dedup.query(spark, sf_dir).join(common.table(spark, sf_dir, "documents"), "doc_id").where("n_removed = 0").limit(5).collect()
     assert all(r.kept_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest() for r in got)
