@@ -81,7 +81,7 @@ def source_lines(s):
 
 @query("math_spans")
 def math_spans(s):
-    text = F.concat("id", F.lit(r" has $x_{"), F.col("doc_id"), F.lit(r"}$ and \[y^2\]"))
+    text = F.concat(F.coalesce("body", F.lit("")), F.lit(r" has $x_{"), F.col("doc_id"), F.lit(r"}$ and \[y^2\]"))
     return s.v_notes.select("id", text.alias("text")).lateralJoin(m.MathSpans(F.col("text").outer())).select("id", "start", "end", "latex", "display")
 
 

@@ -31,7 +31,7 @@ VIEWS = {
     # corpus: documents as title, abstract and body
     "v_corpus": """SELECT concat(lang, '/', lpad(cast(doc_id AS varchar(20)), 14, '0')) AS doc_key, doc_id, lang AS library, coalesce(split_part(text, chr(10), 1), '') AS title, coalesce(split_part(text, chr(10), 2), '') AS abstract,
       CASE WHEN strpos(text, chr(10)) > 0 AND strpos(substring(text, strpos(text, chr(10)) + 1), chr(10)) > 0 THEN substring(text, strpos(text, chr(10)) + 1 + strpos(substring(text, strpos(text, chr(10)) + 1), chr(10))) ELSE '' END AS body, n_chars < 200 AS weak, md5(text) AS hash FROM documents""",
-    "v_linktext": """SELECT lpad(cast(doc_id AS varchar(20)), 14, '0') AS id, doc_id, concat(substring(text, 1, 400), ' [[', cast((doc_id * 31 + 7) % 1000 AS varchar(20)), '|see also]] and [[note ', cast(doc_id % 13 AS varchar(20)), ']] [@key', cast(doc_id % 50 AS varchar(20)), '] https://example.org/', cast(doc_id AS varchar(20)),
+    "v_linktext": """SELECT lpad(cast(doc_id AS varchar(20)), 14, '0') AS id, doc_id, concat(text, ' [[', cast((doc_id * 31 + 7) % 1000 AS varchar(20)), '|see also]] and [[note ', cast(doc_id % 13 AS varchar(20)), ']] [@key', cast(doc_id % 50 AS varchar(20)), '] https://example.org/', cast(doc_id AS varchar(20)),
       CASE WHEN doc_id % 4 = 0 THEN ' 机器学习方法与深度学习方法' ELSE '' END) AS text FROM documents""",
     "v_changes": """SELECT cast(cast(ts AS date) AS varchar(10)) AS batch, user_id, event_type, event_id FROM events""",
     "v_tag_names": """SELECT DISTINCT p_type AS name FROM part UNION SELECT DISTINCT p_brand FROM part UNION SELECT DISTINCT lower(replace(p_type, ' ', '-')) FROM part UNION SELECT DISTINCT concat(p_brand, 's') FROM part""",

@@ -22,6 +22,14 @@ def test_runs(spark, sf_dir, name):
     df.count()
 
 
+def test_markup_follows_the_whole_text(spark, tmp_path):
+    long = "word " * 200 + "also zebrafish"
+    spark.createDataFrame([(1, long + " $z^2$", "en", "s", len(long))], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda name: QUERIES[name](spark, str(tmp_path)).toPandas()
+    assert "zebrafish" in set(run("discovery_terms").term) and "zebrafish" in run("clean_text").text[0] and "zebrafish" in run("snippet").snippet[0]
+    assert list(run("math_spans").sort_values("start").latex.str.strip()) == ["z^2", "x_{1}", "y^2"]
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
