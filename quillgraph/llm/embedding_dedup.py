@@ -2,17 +2,20 @@
 
 Vectors are scaled to length 1 and cut into halves; each half has a codebook of
 its own, fitted by k-means on a bounded sample, and the codebooks' product is a
-grid of cells. Every vector is filed in one cell. As a query it visits cells in
-the order of a lower bound of the distance: for each half, how far the query's
-half is from the region of the cell's centroid (from the plane between that
-centroid and its own), the two squared and added. The traversal goes on until
-the target recall: the bound within which that share of partners lies, measured
-on partners made at the threshold itself, where they are farthest. Beyond the
-squared distance 2 - 2 * least no cell can hold a partner; recall 1 goes so far.
+grid of cells, so many that ``per_cell`` vectors fall in one on average (as far
+as the sample can tell centroids apart). Every vector is filed in one cell. As a
+query it visits cells by the multi-sequence traversal, in the order of a lower
+bound of the distance: for each half, how far the query's half is from the region
+of the cell's centroid (from the plane between that centroid and its own), the
+two squared and added. The traversal ends at the target recall: at the bound
+within which that share of the true partners of ``probes`` vectors lies, of all
+their partners and of a probe's partners on average. These partners are found by
+comparing the probes, a stated query set of fixed size, with all vectors. Beyond
+the squared distance 2 - 2 * least no cell can hold a partner; recall 1 goes so
+far, and so does a table in which the probes have too few partners to tell.
 Cells are then verified in double precision.
 
-Equal vectors of a label are one class with a weight before anything is
-compared. Crowded cells are cut in blocks of members and of queries, so a task
+Crowded cells are cut in blocks of members and of queries, so a task
 compares two bounded blocks; a block gives each vector its number of partners
 there and one edge to its component's least member, never all pairs.
 
@@ -25,6 +28,7 @@ gives no rows. Other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import numpy as np
@@ -90,36 +94,39 @@ class Codebooks:
             out.append(np.maximum(plane, 0) ** 2)
         return out
 
-    def reach(self, sample: np.ndarray, least: float, recall: float, seed: int = 6) -> float:
-        """The bound within which the cells of the share recall of partners lie,
-        for partners at the cosine least from vectors of the sample, in any direction."""
-        rng = np.random.default_rng(seed)
-        x = sample[rng.integers(0, len(sample), 20_000)]
-        away = rng.normal(size=x.shape)
-        away -= (away * x).sum(1)[:, None] * x
-        away /= np.maximum(np.sqrt((away * away).sum(1)), 1e-300)[:, None]
-        y = least * x + np.sqrt(max(0.0, 1 - least * least)) * away
-        own = [b[np.arange(len(x)), near] for b, near in zip(self.bounds(x), self.nearest(y))]
-        return float(np.quantile(own[0] + own[1], recall)) + SLACK
-
     def visits(self, x: np.ndarray, most: float) -> tuple[np.ndarray, np.ndarray]:
-        """Multi-sequence traversal: rows of x and cells, for each row in the
-        order of the bounds' sum, up to most."""
+        """Multi-sequence traversal: rows of x and the cells they visit, for each
+        row in the order of the bounds' sum, up to most. Of each place in the
+        first sequence it keeps the next place in the second, and takes the
+        least of these sums in each step."""
         a, b = self.bounds(x)
         ia, ib = a.argsort(1, kind="stable"), b.argsort(1, kind="stable")
         a, b = np.take_along_axis(a, ia, 1), np.take_along_axis(b, ib, 1)
-        rows, cells, sums = [], [], []
-        for k in range(a.shape[1]):  # of each sequence, the part whose sum stays within most
-            going = np.flatnonzero(a[:, k] <= most)
-            if not len(going):
-                break
-            near = a[going, k][:, None] + b[going]
-            r, j = np.nonzero(near <= most)
-            rows.append(going[r])
-            cells.append(ia[going[r], k] * len(self.books[1]) + ib[going[r], j])
-            sums.append(near[r, j])
-        rows, cells, sums = map(np.concatenate, (rows, cells, sums))
-        order = np.lexsort((sums, rows))
+        going = np.arange(len(x))
+        upto = (a <= most).sum(1).max() if len(x) else 0  # beyond, a sum can't be small enough
+        a, ia = a[:, :upto], ia[:, :upto]
+        b = np.concatenate((b, np.full((len(b), 1), np.inf)), 1)
+        place = np.zeros(a.shape, np.int64)
+        front = a + b[:, :1]
+        rows, cells = [], []
+        while len(going):
+            k = front.argmin(1)
+            at = np.arange(len(going))
+            still = front[at, k] <= most
+            if not still.all():
+                going, k, front, place = going[still], k[still], front[still], place[still]
+                at = at[: len(going)]
+                if not len(going):
+                    break
+            j = place[at, k]
+            rows.append(going)
+            cells.append(ia[going, k] * len(self.books[1]) + ib[going, j])
+            place[at, k] = j + 1
+            front[at, k] = a[going, k] + b[going, j + 1]
+        if not rows:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        rows, cells = np.concatenate(rows), np.concatenate(cells)
+        order = np.argsort(rows, kind="stable")
         return rows[order], cells[order]
 
 
@@ -132,15 +139,41 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def keyed(rows: DataFrame) -> DataFrame:
-    """With h1 and h2, which are the same for equal vectors."""
-    return rows.withColumn("h1", F.xxhash64("embedding")).withColumn("h2", F.hash("embedding"))
-
-
 def classes(rows: DataFrame) -> DataFrame:
     """One row for the equal vectors of a label: c (least vec_id), n, dims, embedding."""
-    least = keyed(rows).groupBy("label", "h1", "h2").agg(F.min("vec_id").alias("c"), F.count("*").alias("n"), F.any_value("embedding").alias("embedding"))
-    return least.withColumn("dims", F.size("embedding"))
+    return rows.groupBy("label", "embedding").agg(F.min("vec_id").alias("c"), F.count("*").alias("n")).withColumn("dims", F.size("embedding"))
+
+
+def measured_reach(own: DataFrame, books: Codebooks, probes: tuple, least: float, recall: float, bins: int = 256, fewest: int = 200) -> float:
+    """The bound within which the share recall of the probes' partners in own
+    lies. probes: labels, classes and unit vectors."""
+    top = 2 - 2 * least + SLACK
+    if recall >= 1 or not len(probes[0]):
+        return top
+    shared = own.sparkSession.sparkContext.broadcast((books, probes))
+
+    def run(batches):
+        books, (labels, ids, vectors) = shared.value
+        bounds = books.bounds(vectors)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                x = units(matrix(part.column("embedding")))
+                label, c = np.array(part.column("label").to_pylist(), object), part.column("c").to_numpy()
+                q, m = np.nonzero((vectors @ x.T >= least) & (labels[:, None] == label) & (ids[:, None] != c))
+                one, two = books.nearest(x)
+                far = bounds[0][q, one[m]] + bounds[1][q, two[m]]
+                kinds, n = np.unique(np.stack((q, np.minimum(np.ceil(far / top * bins), bins).astype(np.int64)), 1), axis=0, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(kinds[:, 0]), pa.array(kinds[:, 1]), pa.array(n)], names=["probe", "bin", "n"])
+
+    # at most a row for each probe and bin
+    found = own.select("label", "c", "embedding").mapInArrow(run, "probe long, bin long, n long").groupBy("probe", "bin").agg(F.sum("n").alias("n")).toPandas()
+    if found.n.sum() < fewest:
+        return top
+    table = found.pivot_table(index="probe", columns="bin", values="n", fill_value=0).reindex(columns=range(bins + 1), fill_value=0).to_numpy(float)
+    within = table.cumsum(1)
+    share = np.minimum((within / within[:, -1:]).mean(0), within.sum(0) / table.sum())
+    return float(np.flatnonzero(share >= recall)[0] * top / bins) + SLACK
 
 
 def linked(cells: DataFrame, least: float, block: int) -> DataFrame:
@@ -161,8 +194,8 @@ def linked(cells: DataFrame, least: float, block: int) -> DataFrame:
         a, b = units(np.stack(q.embedding.values)), units(np.stack(m.embedding.values))
         qi, mi = q.c.to_numpy(), m.c.to_numpy()
         near = a @ b.T
-        for i, j in zip(*np.nonzero(np.abs(near - least) < 1e-9)):  # near the threshold, by exact sums
-            near[i, j] = cosine(a[i], b[j])
+        for i, j in zip(*np.nonzero(np.abs(near - least) < 1e-12)):  # where rounding could decide
+            near[i, j] = math.fsum(a[i] * b[j])
         hit = (near >= least) & (qi[:, None] != mi)
         n = (hit * m.n.to_numpy()).sum(1)
         some = np.flatnonzero(hit.any(1))
@@ -183,15 +216,10 @@ def linked(cells: DataFrame, least: float, block: int) -> DataFrame:
     return x.select("label", "cell", "qb", "mb", "role", "c", "n", "embedding").groupBy("label", "cell", "qb", "mb").applyInPandas(verify, "c long, n_links long, edge long")
 
 
-def cosine(a: np.ndarray, b: np.ndarray) -> float:
-    return float(np.dot(a, b))
-
-
-def near_duplicates(rows: DataFrame, least: float = 0.93, recall: float = 0.9999, sample: int = 20_000, k: int = 16, block: int = 1024) -> DataFrame:
+def near_duplicates(rows: DataFrame, least: float = 0.93, recall: float = 0.999, sample: int = 20_000, probes: int = 256, per_cell: int = 256, block: int = 1024) -> DataFrame:
     """vec_id, n_links and component_id of every row (vec_id, embedding, label).
-    The codebooks are fitted, and the reach of the traversal is set, on about
-    sample vectors, chosen by a hash; recall 1 takes the bound that holds for any
-    partner."""
+    The codebooks are fitted on about sample vectors, chosen by a hash, and the
+    reach of the traversal is measured for some of them as probes."""
     spark = rows.sparkSession
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", "label")
     rows = sound(rows)
@@ -201,10 +229,15 @@ def near_duplicates(rows: DataFrame, least: float = 0.93, recall: float = 0.9999
     for r in found.groupBy("dims").count().orderBy("dims").collect():  # usually one
         own = found.where(F.col("dims") == r["dims"]).select("label", "c", "n", "embedding")
         share = min(1.0, sample / r["count"])
-        some = own.where(F.pmod(F.xxhash64("embedding"), F.lit(1_000_003)) <= share * 1_000_003).select("embedding").limit(2 * sample).toPandas()
-        x = units(np.stack((some if len(some) else own.select("embedding").limit(k).toPandas()).embedding.values))
+        picked = own.select("label", "c", "embedding")
+        some = picked.where(F.pmod(F.xxhash64("embedding"), F.lit(1_000_003)) <= share * 1_000_003).limit(2 * sample).toPandas()
+        some = (some if len(some) else picked.limit(1).toPandas()).sort_values("c")
+        x = units(np.stack(some.embedding.values))
+        # 20 vectors of the sample for each centroid at least
+        k = int(min(max(16, (r["count"] / per_cell) ** 0.5), max(16, len(x) // 20)))
         books = Codebooks(x, k)
-        most = 2 - 2 * least + SLACK if recall >= 1 else books.reach(x, least, recall)
+        few = np.random.default_rng(3).permutation(len(x))[:probes]
+        most = measured_reach(own, books, (some.label.to_numpy(object)[few], some.c.to_numpy()[few], x[few]), least, recall)
         shared = spark.sparkContext.broadcast((books, most))
 
         def filed(batches, shared=shared):
@@ -226,9 +259,9 @@ def near_duplicates(rows: DataFrame, least: float = 0.93, recall: float = 0.9999
     links = materialize(reduce(DataFrame.union, parts))
     partners = links.groupBy("c").agg(F.sum("n_links").alias("partners"))
     comps = components(links.where("c != edge").select(F.col("c").alias("a"), F.col("edge").alias("b"))).withColumnRenamed("node", "c")
-    of = found.select("label", "h1", "h2", "c", "n").join(partners, "c", "left").join(comps, "c", "left")
-    of = of.select("label", "h1", "h2", (F.col("n") - 1 + F.coalesce("partners", F.lit(0))).alias("n_links"), F.coalesce("component", "c").alias("component_id"))
-    mine = keyed(able).select("vec_id", "label", "h1", "h2").join(of, ["label", "h1", "h2"]).select("vec_id", "n_links", "component_id")
+    of = found.select("label", "embedding", "c", "n").join(partners, "c", "left").join(comps, "c", "left")
+    of = of.select("label", "embedding", (F.col("n") - 1 + F.coalesce("partners", F.lit(0))).alias("n_links"), F.coalesce("component", "c").alias("component_id"))
+    mine = able.select("vec_id", "label", "embedding").join(of, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
     alone = rows.where(~F.col("able")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return mine.union(alone)
 

@@ -12,16 +12,18 @@ sorts first. Repeated rows are each predicted. Other columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import regex
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import appended, by_batch, filtered, id_remainder, small_batches, table
 
-LETTERS = re.compile(r"[^\W\d_]+")
+#: A word: letters with the marks that belong to them.
+LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+HALF = 0.5
 UNKNOWN = "und"
 LONGEST = 4
 
@@ -32,25 +34,53 @@ def grams(word: str, n: int) -> list[str]:
 
 
 class Model:
-    """Languages in order; one row of log probabilities for each known word or n-gram."""
-
-    def __init__(self, langs: list[str], words: dict[str, int], gram_rows: list[dict[str, int]], table: np.ndarray):
-        self.langs, self.words, self.gram_rows, self.table = langs, words, gram_rows, table
-
-
-def fit(train: DataFrame, text: str = "text", lang: str = "lang", docs_per_lang: int = 2_000, max_langs: int = 200, max_words: int = 60_000, max_grams: int = 60_000) -> Model:
-    """Learns from a sample of at most about docs_per_lang rows of each
-    language (exact copies of a text fall in or out together); keeps the
-    max_words most frequent words and max_grams n-grams of two or more uses,
-    and the max_langs languages of most rows."""
+    """Languages in order; for each kind (words, then n-grams by length) the
+    items' numbers, and base, the log probability of an item that a language's
+    sample lacks. Item i adds gain[j] for language lang[j], start[i] <= j <
+    start[i + 1], so the model grows with the items that languages have."""
+
+    def __init__(self, langs: list[str], rows: list[tuple[int, str, int, int]]):
+        """rows: kind, item, number of the language and count."""
+        self.langs = langs
+        rows.sort()
+        totals = np.zeros((LONGEST + 1, len(langs)))
+        self.items: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
+        kinds, start, before = [], [], None
+        for j, (kind, item, lang, n) in enumerate(rows):
+            totals[kind, lang] += n
+            if (kind, item) != before:
+                before = (kind, item)
+                self.items[kind][item] = len(start)
+                kinds.append(kind)
+                start.append(j)
+        self.kind, self.start = np.array(kinds, np.int64), np.array([*start, len(rows)], np.int64)
+        self.size = np.diff(self.start)
+        self.lang = np.array([r[2] for r in rows], np.int64)
+        self.gain = np.log(np.array([r[3] for r in rows], float) + HALF) - np.log(HALF)
+        distinct = np.array([len(x) for x in self.items], float)
+        self.base = np.log(HALF) - np.log(totals + HALF * distinct[:, None] + 1)
+
+    def total(self, ids: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Weighted sum of the items' log probabilities, by language."""
+        size = self.size[ids]
+        ends = np.cumsum(size)
+        j = np.repeat(self.start[ids] - ends + size, size) + np.arange(ends[-1])
+        gains = np.bincount(self.lang[j], self.gain[j] * np.repeat(weights, size), len(self.langs))
+        return gains + np.bincount(self.kind[ids], weights, LONGEST + 1) @ self.base
+
+
+def fit(train: DataFrame, text: str = "text", lang: str = "lang", docs_per_lang: int = 2_000, words_per_lang: int = 20_000, grams_per_lang: int = 20_000) -> Model:
+    """Learns every language from a sample of at most about docs_per_lang
+    distinct texts of each, and keeps of each language its words_per_lang most
+    frequent words and grams_per_lang n-grams of those that its sample has
+    twice, whatever the other languages hold."""
     train = train.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
-    sizes = {r["lang"]: r["count"] for r in train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()}
-    langs = sorted(sizes)
-    if not langs:
-        return Model([], {}, [{} for _ in range(LONGEST)], np.zeros((0, 0)))
-    share = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1.0, docs_per_lang / sizes[k])))])
+    sizes = train.groupBy("lang").agg(F.count("*").alias("rows"))
+    langs = sorted(r["lang"] for r in sizes.select("lang").collect())
+    at = {k: i for i, k in enumerate(langs)}
     u = F.pmod(F.xxhash64("text"), F.lit(1_000_003)) / 1_000_003
-    sample = train.where(F.col("lang").isin(langs)).where(u < share[F.col("lang")])
+    # one row for a language: small
+    sample = train.join(F.broadcast(sizes), "lang").where(u * F.col("rows") < docs_per_lang).select("lang", "text").dropDuplicates()
 
     def count(cols):
         by = {}
@@ -71,28 +101,10 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", docs_per_lang:
                 out["n"] += items.values()
         return out
 
-    counts = by_batch(sample, "lang string, kind int, item string, n long", count)
-    per_item = (
-        counts.groupBy("kind", "item", "lang").agg(F.sum("n").alias("n"))
-        .groupBy("kind", "item").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-        .where("total >= 2")
-    )
-    best = lambda rows, most: rows.orderBy(F.desc("total"), "kind", "item").limit(most).collect()
-    rows = best(per_item.where("kind = 0"), max_words) + best(per_item.where("kind > 0"), max_grams)
-    at = {k: i for i, k in enumerate(langs)}
-    n = np.zeros((len(rows), len(langs)))
-    for i, r in enumerate(rows):
-        for k, v in r["by"].items():
-            n[i, at[k]] = v
-    kinds = np.array([r["kind"] for r in rows], int)
-    logs = np.zeros_like(n)
-    for kind in range(LONGEST + 1):
-        if (own := kinds == kind).any():
-            m = n[own] + 0.5
-            logs[own] = np.log(m / (m.sum(0) + 1))
-    words = {r["item"]: i for i, r in enumerate(rows) if r["kind"] == 0}
-    gram_rows = [{r["item"]: i for i, r in enumerate(rows) if r["kind"] == k} for k in range(1, LONGEST + 1)]
-    return Model(langs, words, gram_rows, logs)
+    counts = by_batch(sample, "lang string, kind int, item string, n long", count).groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")).where("n >= 2")
+    place = F.row_number().over(Window.partitionBy("lang", F.col("kind") > 0).orderBy(F.desc("n"), "kind", "item"))
+    kept = counts.withColumn("place", place).where(F.col("place") <= F.when(F.col("kind") == 0, words_per_lang).otherwise(grams_per_lang))
+    return Model(langs, [(r["kind"], r["item"], at[r["lang"]], r["n"]) for r in kept.select("lang", "kind", "item", "n").collect()])
 
 
 class Scorer:
@@ -103,7 +115,7 @@ class Scorer:
 
     def back_off(self, word: str) -> list[int]:
         for n in range(LONGEST, 0, -1):
-            rows = self.m.gram_rows[n - 1]
+            rows = self.m.items[n]
             if ids := [rows[g] for g in grams(word, n) if g in rows]:
                 return ids
         return []
@@ -112,7 +124,7 @@ class Scorer:
         words = Counter(LETTERS.findall(text.lower())) if text and self.m.langs else None
         if not words:
             return UNKNOWN, 0.0
-        ids, weights, known, backed = [], [], self.m.words, self.backed
+        ids, weights, known, backed = [], [], self.m.items[0], self.backed
         for w, c in words.items():
             if (i := known.get(w)) is not None:
                 ids.append(i)
@@ -125,7 +137,7 @@ class Scorer:
             if own:
                 ids += own
                 weights += [c / len(own)] * len(own)
-        total = np.array(weights) @ self.m.table[ids] if ids else np.zeros(len(self.m.langs))
+        total = self.m.total(np.array(ids), np.array(weights, float)) if ids else np.zeros(len(self.m.langs))
         number = words.total()
         total *= min(number, 30) / number  # long texts are not that much surer
         p = np.exp(total - total.max())

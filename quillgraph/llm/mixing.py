@@ -29,6 +29,7 @@ WEIGHTS = (5, 2, 1)
 ROUNDS = 12
 CELLS = 4096
 PASSES = 2
+SLOTS_PER_TASK = 32_768
 
 
 def hashed(*parts) -> Column:
@@ -36,16 +37,17 @@ def hashed(*parts) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *[p if isinstance(p, Column) else F.lit(str(p)) for p in parts]).cast("binary")), 1, 15), 16, 10).cast("long")
 
 
-def sized(docs: DataFrame, seed: int, rows_per_bucket: int = 20_000, text: str = "text", keep=()) -> DataFrame:
+def sized(docs: DataFrame, seed: int, rows_per_bucket: int = 2_000, text: str = "text", keep=()) -> DataFrame:
     """doc_id, source, size, the columns to keep, and a place (bucket, rn) that is the row's own within its source."""
-    rows = docs.select("doc_id", "source", *keep, F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    tie = F.when(F.col("doc_id").isNull(), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))  # rows without an id are spread by their texts
+    rows = docs.select("doc_id", "source", *keep, tie.alias("tie"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     rows = materialize(rows)
     buckets = rows.count() // rows_per_bucket + 1
-    h = hashed(seed, "place", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
+    h = hashed(seed, "place", F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null"), F.col("tie"))))
     rows = rows.withColumn("h", h).withColumn("bucket", F.col("h") % buckets)
     own = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "size", *keep)
     rows = rows.withColumn("rn", F.row_number().over(own)).withColumn("before", F.sum("size").over(own.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
-    return rows.drop("h")
+    return rows.drop("h", "tie")
 
 
 def quotas(rows: DataFrame, share: float, block: int, weights=WEIGHTS, most: int = PASSES) -> DataFrame:
@@ -93,7 +95,11 @@ def slots(shares: DataFrame, s: DataFrame, seed: int) -> DataFrame:
     """rank, shard, slot, block: the block that each slot of the mix takes."""
     keys = F.array(*[F.array(*[hashed(seed, "key", F.col("rank"), p, r) % F.col("blocks") for r in range(ROUNDS)]) for p in range(PASSES)])
     own = s.where("quota > 0").select("rank", "blocks", keys.alias("keys"))
-    x = shares.join(own, "rank").withColumn("slot", F.explode(F.expr("sequence(first, first + n - 1)")))
+    # a row of shares stands for very many slots: cut it, and deal the cuts by the number of slots
+    total, most = s.agg(F.coalesce(F.sum("quota"), F.lit(0))).first()[0], SLOTS_PER_TASK // 8
+    x = shares.join(own, "rank").withColumn("end", F.col("first") + F.col("n")).withColumn("first", F.explode(F.expr(f"sequence(first, end - 1, {most}L)")))
+    x = x.repartition(total // SLOTS_PER_TASK + 1, "rank", "shard", "first")
+    x = x.withColumn("slot", F.explode(F.expr(f"sequence(first, least(end, first + {most}L) - 1)")))
     x = x.withColumn("pass", F.floor(F.col("slot") / F.col("blocks")).cast("int")).withColumn("block", F.col("slot") % F.col("blocks"))
 
     def swapped(block: Column, r: Column) -> Column:
@@ -174,7 +180,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return emitted(docs)
 
 
-def _oracle(share=1.5, block=128, per_shard=65_536, seed=7, rows_per_bucket=20_000) -> str:
+def _oracle(share=1.5, block=128, per_shard=65_536, seed=7, rows_per_bucket=2_000) -> str:
     h = lambda *parts: "('0x' || substr(md5(concat_ws(':', " + ", ".join(parts) + ")), 1, 15))::BIGINT"
     ctes = [
         f"d0 AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size, {h(f"'{seed}'", "'place'", 'CAST(doc_id AS VARCHAR)')} AS h FROM documents)",

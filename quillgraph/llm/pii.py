@@ -5,10 +5,13 @@ value found (kind and text, lower-case, and of numbers the digits alone) is a
 protected entity. The corpus then tells which terms reveal one: with p(x) the
 share of documents that hold x, a term t within ``reach`` words of the entity e
 discloses PMI(e, t) / IC(e) of it, where PMI = log(p(e, t) / (p(e) p(t))) and
-IC = -log p(e). From ``remove`` on the term is to be removed, from
-``generalise`` on to be replaced by a general word; both need ``support``
-documents that hold e and t together. Such a term becomes a span where it
-stands near that entity, and nowhere else.
+IC = -log p(e), times n / (n + 1) for n documents that hold both near each
+other: what a single document says is worth half. From ``remove`` on the term is
+to be removed, from ``generalise`` on to be replaced by a general word. Such a
+term becomes a span where it stands near that entity, and nowhere else.
+
+A term is a run of two or more letters and their marks; where words are written
+without spaces, two characters of a run at a time.
 
 Cases: a null text is empty; texts without personal data have no spans; an
 entity that all documents hold has no information to disclose; repeated rows
@@ -18,22 +21,29 @@ columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_left
 from collections import Counter
 
+import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import by_batch, materialize, table
 
 KINDS = ("email", "ip", "card", "phone", "term")
-TERMS = re.compile(r"[^\W\d_]{4,}")
+UNSPACED = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}"
+TERMS = regex.compile(rf"[{UNSPACED}]{{1,2}}|(?:(?![{UNSPACED}])\p{{L}}\p{{M}}*){{2,}}")
 AT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCALS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 NON_DIGIT = re.compile(r"[^0-9]")
+UNMARKED = regex.compile(r"[\p{L}\p{M}]")
 
 
 def luhn(digits: str) -> bool:
@@ -75,39 +85,61 @@ def named(text: str, start: int, kind: int, end: int) -> str:
     return f"{KINDS[kind]}:{text[start:end].lower() if kind < 2 else NON_DIGIT.sub('', text[start:end])}"
 
 
+def before(text: str, end: int, reach: int) -> list[tuple[int, int]]:
+    """The last reach terms that end by end, the nearest first. Looks back from
+    ever farther, at places where a run of letters begins."""
+    width = 16 * reach
+    while True:
+        lo = max(0, end - width)
+        while lo > 0 and (text[lo - 1].isalpha() or UNMARKED.match(text[lo])):
+            lo -= 1
+        found = [m.span() for m in TERMS.finditer(text, lo, end)]
+        if lo == 0 or len(found) >= reach:
+            return found[::-1][:reach]
+        width *= 4
+
+
+def after(text: str, start: int, reach: int) -> list[tuple[int, int]]:
+    out = []
+    for m in TERMS.finditer(text, start):
+        out.append(m.span())
+        if len(out) == reach:
+            break
+    return out
+
+
 def around(text: str, spans: list[tuple[int, int, int]], reach: int) -> list[tuple[str, str, int, int]]:
     """(entity, term, start, end) of the terms near each span, apart from what lies in a span."""
-    out = []
+    out, starts = [], [s for s, _, _ in spans]
+    reached, furthest = [], 0
+    for _, _, e in spans:
+        furthest = max(furthest, e)
+        reached.append(furthest)
     for start, kind, end in spans:
         entity = named(text, start, kind, end)
-        # words are short; a window that holds fewer than reach of them is doubled
-        for left in (True, False):
-            width = 16 * reach
-            while True:
-                lo, hi = (max(0, start - width), start) if left else (end, min(len(text), end + width))
-                whole = lo == 0 if left else hi == len(text)
-                found = [m.span() for m in TERMS.finditer(text, lo, hi)]
-                if not whole and found and (found[0][0] == lo if left else found[-1][1] == hi):
-                    found = found[1:] if left else found[:-1]  # may be cut
-                if whole or len(found) >= reach or width >= 64 * reach:
-                    break
-                width *= 2
-            for a, b in found[-reach:] if left else found[:reach]:
-                if not any(s < b and a < e for s, _, e in spans):
-                    out.append((entity, text[a:b].lower(), a, b))
+        for a, b in before(text, start, reach) + after(text, end, reach):
+            i = bisect_left(starts, b) - 1  # the last span that begins before the term's end
+            if i < 0 or reached[i] <= a:
+                out.append((entity, text[a:b].lower(), a, b))
     return out
 
 
+def row_key(doc_id: str, text: str) -> list[Column]:
+    """128 bits that tell rows apart; equal rows have equal spans."""
+    return [F.xxhash64(doc_id, text).alias("at"), F.xxhash64(F.lit("again"), text, doc_id).alias("at2")]
+
+
 def found_in(docs: DataFrame, reach: int, doc_id: str, text: str) -> DataFrame:
-    """A row for each row of docs: id, at (the row's key), base spans and terms around them, as parallel arrays."""
+    """A row for each row of docs: id, at and at2 (the row's key), base spans and terms around them, as parallel arrays."""
 
     def f(cols):
-        out = {k: [] for k in ("id", "at", "start", "kind", "end", "value", "entity", "term", "term_start", "term_end")}
-        for d, h, t in zip(cols["id"], cols["at"], cols["text"]):
+        out = {k: [] for k in ("id", "at", "at2", "start", "kind", "end", "value", "entity", "term", "term_start", "term_end")}
+        for d, h, h2, t in zip(cols["id"], cols["at"], cols["at2"], cols["text"]):
             spans = base_spans(t) if t else []
             near = around(t, spans, reach) if spans else []
             out["id"].append(d)
             out["at"].append(h)
+            out["at2"].append(h2)
             out["value"].append([named(t, *s) for s in spans])
             for k, v in zip(("start", "kind", "end"), zip(*spans) if spans else ([], [], [])):
                 out[k].append(list(v))
@@ -116,8 +148,8 @@ def found_in(docs: DataFrame, reach: int, doc_id: str, text: str) -> DataFrame:
         return out
 
     kind = dict(docs.dtypes)[doc_id].replace("bigint", "long")
-    rows = docs.select(F.col(doc_id).alias("id"), F.xxhash64(doc_id, text).alias("at"), F.col(text).alias("text"))
-    return by_batch(rows, f"id {kind}, at long, start array<int>, kind array<int>, end array<int>, value array<string>, entity array<string>, term array<string>, term_start array<int>, term_end array<int>", f)
+    rows = docs.select(F.col(doc_id).alias("id"), *row_key(doc_id, text), F.col(text).alias("text"))
+    return by_batch(rows, f"id {kind}, at long, at2 long, start array<int>, kind array<int>, end array<int>, value array<string>, entity array<string>, term array<string>, term_start array<int>, term_end array<int>", f)
 
 
 def term_counts(docs: DataFrame, text: str, room: int = 200_000) -> DataFrame:
@@ -138,35 +170,37 @@ def term_counts(docs: DataFrame, text: str, room: int = 200_000) -> DataFrame:
     return by_batch(docs.select(F.col(text).alias("t")), "term string, n long", f).groupBy("term").agg(F.sum("n").alias("n_term"))
 
 
-def risky_terms(found: DataFrame, docs: DataFrame, text: str, generalise: float, remove: float, support: int) -> DataFrame:
+def risky_terms(found: DataFrame, docs: DataFrame, text: str, generalise: float, remove: float) -> DataFrame:
     """entity, term, disclosure, action."""
     near = found.where("size(entity) > 0").select(F.explode(F.array_distinct(F.arrays_zip("entity", "term"))).alias("x")).select("x.entity", "x.term")
-    together = near.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
+    # n documents are worth n / (n + 1) at most, so fewer can't reach the threshold
+    fewest = math.ceil(generalise / (1 - generalise) - 1e-9) if generalise < 1 else 1 << 62
+    together = near.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= fewest)
     entities = found.where("size(value) > 0").select(F.explode(F.array_distinct("value")).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
     all_docs = found.groupBy().agg(F.count("*").alias("n_docs"))
     x = together.join(entities, "entity").join(term_counts(docs, text), "term").crossJoin(F.broadcast(all_docs))
     pmi = F.log(F.col("n_docs") * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
-    x = x.withColumn("disclosure", pmi / F.log(F.col("n_docs") / F.col("n_entity")))
+    x = x.withColumn("disclosure", pmi / F.log(F.col("n_docs") / F.col("n_entity")) * F.col("n_both") / (F.col("n_both") + 1))
     x = x.where((F.col("n_entity") < F.col("n_docs")) & (F.col("disclosure") >= generalise))
     return x.select("entity", "term", "disclosure", F.when(F.col("disclosure") >= remove, "remove").otherwise("generalise").alias("action"))
 
 
-def scan(docs: DataFrame, reach: int = 5, generalise: float = 0.6, remove: float = 0.9, support: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, at, base and spans for each row of docs: arrays of structs (start,
+def scan(docs: DataFrame, reach: int = 5, generalise: float = 0.6, remove: float = 0.9, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """id, at and at2, base and spans for each row of docs: arrays of structs (start,
     kind, end), spans with the revealing terms (kind 4) and their actions."""
     found = materialize(found_in(docs, reach, doc_id, text))
-    risky = risky_terms(found, docs, text, generalise, remove, support)
-    near = found.where("size(entity) > 0").select("at", F.explode(F.arrays_zip("entity", "term", "term_start", "term_end")).alias("x"))
-    terms = near.select("at", "x.*").join(risky, ["entity", "term"]).groupBy("at").agg(
+    risky = risky_terms(found, docs, text, generalise, remove)
+    near = found.where("size(entity) > 0").select("at", "at2", F.explode(F.arrays_zip("entity", "term", "term_start", "term_end")).alias("x"))
+    terms = near.select("at", "at2", "x.*").join(risky, ["entity", "term"]).groupBy("at", "at2").agg(
         F.collect_set(F.struct(F.col("term_start").alias("start"), F.lit(4).alias("kind"), F.col("term_end").alias("end"))).alias("terms"),
         F.collect_set(F.when(F.col("action") == "remove", F.col("term_start"))).alias("removed"),
     )
     base = F.transform(F.arrays_zip("start", "kind", "end"), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
-    rows = found.select("id", "at", base.alias("base"))
-    with_terms = rows.where("size(base) > 0").join(terms, "at", "left")
-    without = rows.where("size(base) = 0").select("id", "at", "base", F.lit(None).cast(terms.schema["terms"].dataType).alias("terms"), F.lit(None).cast("array<int>").alias("removed"))
-    both = with_terms.select("id", "at", "base", "terms", "removed").unionByName(without)
-    return both.select("id", "at", "base", F.array_sort(F.concat("base", F.coalesce("terms", F.expr("filter(base, x -> false)")))).alias("spans"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
+    rows = found.select("id", "at", "at2", base.alias("base"))
+    with_terms = rows.where("size(base) > 0").join(terms, ["at", "at2"], "left")
+    without = rows.where("size(base) = 0").select("id", "at", "at2", "base", F.lit(None).cast(terms.schema["terms"].dataType).alias("terms"), F.lit(None).cast("array<int>").alias("removed"))
+    both = with_terms.select("id", "at", "at2", "base", "terms", "removed").unionByName(without)
+    return both.select("id", "at", "at2", "base", F.array_sort(F.concat("base", F.coalesce("terms", F.expr("filter(base, x -> false)")))).alias("spans"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
 
 
 def listed(spans: str) -> Column:
@@ -175,24 +209,36 @@ def listed(spans: str) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"], x["end"])), ",")
 
 
-def sanitise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **parameters) -> DataFrame:
-    """docs with text_clean: base spans become <KIND>, revealing terms <TERM> or nothing."""
-    found = scan(docs, doc_id=doc_id, text=text, **parameters).where("size(spans) > 0").dropDuplicates(["at"]).select(F.col("at").alias("__at"), F.col("spans").alias("__spans"), F.col("removed").alias("__removed"))
-    keyed = docs.withColumn("__key", F.xxhash64(doc_id, text)).join(found, F.col("__key") == F.col("__at"), "left")
-
-    @F.udf("string")
-    def clean(t, spans, removed):
-        if not spans:
-            return t
-        out, at, removed = [], 0, set(removed)
-        for s in sorted(spans, key=lambda s: (s["start"], -s["end"])):
+def general(term: str) -> str:
+    """What a term that reveals too much is replaced by: a word for its kind."""
+    return "<NAME>" if term[:1].isupper() and not term.isupper() else "<ACRONYM>" if term.isupper() and len(term) > 1 else "<TERM>"
+
+
+@F.pandas_udf(T.StringType())
+def cleaned(texts: pd.Series, spans: pd.Series, removed: pd.Series) -> pd.Series:
+    """Texts in which base spans are <KIND>, and revealing terms a general word or nothing."""
+    out = []
+    for t, found, gone in zip(texts, spans, removed):
+        if t is None or found is None or not len(found):
+            out.append(t)
+            continue
+        parts, at, gone = [], 0, set(gone)
+        for s in sorted(found, key=lambda s: (s["start"], -s["end"])):
             if s["start"] < at:
                 continue
-            out += [t[at : s["start"]], "" if s["kind"] == 4 and s["start"] in removed else f"<{KINDS[s['kind']].upper()}>"]
+            term = s["kind"] == 4
+            parts += [t[at : s["start"]], ("" if s["start"] in gone else general(t[s["start"] : s["end"]])) if term else f"<{KINDS[s['kind']].upper()}>"]
             at = s["end"]
-        return "".join(out) + t[at:]
+        out.append("".join(parts) + t[at:])
+    return pd.Series(out, dtype=object)
 
-    return keyed.withColumn("text_clean", clean(F.col(text), "__spans", "__removed")).drop("__key", "__at", "__spans", "__removed")
+
+def sanitise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **parameters) -> DataFrame:
+    """docs with text_clean, in which what scan() finds is replaced."""
+    found = scan(docs, doc_id=doc_id, text=text, **parameters).where("size(spans) > 0").dropDuplicates(["at", "at2"]).select(F.col("at").alias("__at"), F.col("at2").alias("__at2"), F.col("spans").alias("__spans"), F.col("removed").alias("__removed"))
+    one, two = row_key(doc_id, text)
+    keyed = docs.withColumn("__one", one).withColumn("__two", two).join(found, (F.col("__one") == F.col("__at")) & (F.col("__two") == F.col("__at2")), "left")
+    return keyed.withColumn("text_clean", cleaned(F.col(text), "__spans", "__removed")).drop("__one", "__two", "__at", "__at2", "__spans", "__removed")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
