@@ -15,8 +15,9 @@ the first part, and shingles that only one document holds leave at once.
 
 Candidates share a prefix shingle and pass the length filter, the positional
 filter (what can still be common after the first common one) and the suffix
-filter (what can be common given how many shingles fall in each of 16 parts of
-the hash range). Each pair is then verified once, on the texts. Large groups of
+filter: a set's sketch says for each of 512 parts of the hash range whether an
+odd number of its shingles falls there, and where two sketches differ, so do the
+sets. Each pair is then verified once, on the texts. Large groups of
 near copies don't become all their pairs: a class is first paired with its
 neighbours in the order of sizes and with the class of fewest shingles of its
 own; those further away and the nearest of the largest component follow only if
@@ -44,7 +45,7 @@ from pyspark.sql import functions as F
 from .common import components, materialize, small_batches, table
 
 WORDS = 5
-PARTS = 16
+BITS = 512  # of a set's sketch
 COUNTED = 3  # of 8: the share of shingles whose frequency is counted
 NAMELESS = 1 << 62
 LOWER = bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))
@@ -84,7 +85,7 @@ def prefix_size(n: int, percent: int) -> int:
 
 
 def described(docs: DataFrame, chunk: int = 1_500_000) -> DataFrame:
-    """Rows of two kinds: each document's doc_id, set (c), size (n) and parts;
+    """Rows of two kinds: each document's doc_id, set (c), size (n) and sketch;
     and shingles (t) that many documents (m) of a chunk hold."""
 
     def frequent(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -92,7 +93,7 @@ def described(docs: DataFrame, chunk: int = 1_500_000) -> DataFrame:
         some = m >= max(3, len(held) // 2000)
         return t[some], m[some]
 
-    names = ["doc_id", "c", "n", "parts", "t", "m"]
+    names = ["doc_id", "c", "n", "sketch", "t", "m"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, held, total = Hashes(), [], 0
@@ -100,25 +101,26 @@ def described(docs: DataFrame, chunk: int = 1_500_000) -> DataFrame:
         def often():
             t, m = frequent(held)
             k = len(t)
-            return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.list_(pa.int32())), pa.array(t.view(np.int64)), pa.array(m.astype(np.int64))], names=names)
+            return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.list_(pa.int64())), pa.array(t.view(np.int64)), pa.array(m.astype(np.int64))], names=names)
 
         for b in batches:
-            c, n, parts = [], [], []
+            c, n, sketch = [], [], []
             for text in b.column(1).to_pylist():
                 s = shingles(text, hashes)
                 c.append(xxhash.xxh3_128_digest(s.tobytes()))
                 n.append(len(s))
-                parts.append(np.bincount((s >> np.uint64(60)).astype(np.int64), minlength=PARTS))
+                odd = np.bincount((s >> np.uint64(65 - BITS.bit_length())).astype(np.int64), minlength=BITS) & 1
+                sketch.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
                 held.append(s)
                 total += len(s)
                 if total >= chunk:
                     yield often()
                     held, total = [], 0
             k = len(c)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(c, pa.binary()), pa.array(n, pa.int32()), pa.array(parts, pa.list_(pa.int32())), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], names=names)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(c, pa.binary()), pa.array(n, pa.int32()), pa.array(sketch, pa.list_(pa.int64())), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], names=names)
         yield often()
 
-    return docs.mapInArrow(run, "doc_id long, c binary, n int, parts array<int>, t long, m long")
+    return docs.mapInArrow(run, "doc_id long, c binary, n int, sketch array<long>, t long, m long")
 
 
 def first_shingles(docs: DataFrame, hot: np.ndarray, percent: int) -> DataFrame:
@@ -234,23 +236,29 @@ def pairs(x: DataFrame) -> DataFrame:
     return x.select(pick("c", True).alias("a"), pick("c", False).alias("b"), pick("r", True).alias("ra"), pick("r", False).alias("rb")).dropDuplicates(["a", "b"])
 
 
-def still_apart(rows: DataFrame, percent: int) -> DataFrame:
+def similar_sketches(percent: int) -> Column:
+    """Suffix filter: the sets can't differ in less than their sketches do, which
+    must leave room for as much in common as a link needs."""
+    n = F.col("n") + F.col("n2")
+    differ = F.aggregate(F.zip_with("sketch", "sketch2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return differ <= n - 2 * F.ceil(percent * n / (100 + percent))
+
+
+def still_apart(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """All pairs of a shingle's classes whose components differ: those outside
     the shingle's largest component, with all others."""
-    mixed = with_largest(rows)
+    mixed = with_largest(rows).join(classes.select("c", "sketch"), "c")
     minor = mixed.where("comp != major")
-    other = mixed.select("t", *[F.col(k).alias(f"{k}2") for k in (*OF_CLASS, "comp", "major")])
+    other = mixed.select("t", *[F.col(k).alias(f"{k}2") for k in (*OF_CLASS, "comp", "major", "sketch")])
     once = (F.col("comp") != F.col("comp2")) & ((F.col("comp2") == F.col("major2")) | (F.col("comp") < F.col("comp2")))
-    return pairs(minor.join(other, "t").where(once & may_link(percent)))
+    return pairs(minor.join(other, "t").where(once & may_link(percent) & similar_sketches(percent)))
 
 
 def verified(found: DataFrame, classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """ra, rb of the pairs that do link."""
-    need = F.ceil(percent * (F.col("n") + F.col("n2")) / (100 + percent))
-    common = F.aggregate(F.zip_with("parts", "parts2", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    one = classes.select(F.col("c").alias("a"), "n", "parts")
-    two = classes.select(F.col("c").alias("b"), F.col("n").alias("n2"), F.col("parts").alias("parts2"))
-    likely = found.join(one, "a").join(two, "b").where(common >= need).select("a", "b", "ra", "rb")
+    one = classes.select(F.col("c").alias("a"), "n", "sketch")
+    two = classes.select(F.col("c").alias("b"), F.col("n").alias("n2"), F.col("sketch").alias("sketch2"))
+    likely = found.join(one, "a").join(two, "b").where(similar_sketches(percent)).select("a", "b", "ra", "rb")
     both = likely.join(texts.select(F.col("c").alias("a"), F.col("z").alias("za")), "a").join(texts.select(F.col("c").alias("b"), F.col("z").alias("zb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,13 +312,13 @@ def near_documents(docs: DataFrame, percent: int = 80, hot_share: float = 0.001,
     """doc_id, n_shingles and component_id of each row of docs."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     seen = materialize(described(docs))
-    members = seen.where("c is not null").select("doc_id", "c", "n", "parts")
+    members = seen.where("c is not null").select("doc_id", "c", "n", "sketch")
     rows = members.count()
     # at most max_hot; which they are steers the order of shingles only
     often = seen.where("t is not null").groupBy("t").agg(F.sum("m").alias("m")).where(F.col("m") >= max(3, hot_share * rows)).orderBy(F.desc("m"), "t").limit(max_hot).select("t").toPandas()["t"]
     hot = np.sort(often.to_numpy(np.int64).view(np.uint64))
     nameless = F.lit(NAMELESS).bitwiseOR(F.shiftrightunsigned(F.xxhash64("c"), 2))
-    classes = materialize(members.where("n > 0").groupBy("c").agg(F.coalesce(F.min("doc_id"), nameless).alias("r"), F.any_value("n").alias("n"), F.any_value("parts").alias("parts")))
+    classes = materialize(members.where("n > 0").groupBy("c").agg(F.coalesce(F.min("doc_id"), nameless).alias("r"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch")))
     first = materialize(prefixes(docs, classes, hot, percent))
     shared = materialize(shared_by_classes(first))
     texts = materialize(texts_of(docs, shared.select("c").distinct()))
@@ -323,7 +331,7 @@ def near_documents(docs: DataFrame, percent: int = 80, hot_share: float = 0.001,
             found = neighbours(shared, percent, distances, apart=False)
         else:
             own = shared.join(comps, F.col("r") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "r")).drop("node", "component")
-            found = neighbours(own, percent, distances, apart=True) if distances else still_apart(own, percent)
+            found = neighbours(own, percent, distances, apart=True) if distances else still_apart(own, classes, percent)
         links.append(materialize(verified(found, classes, texts, percent)))
         comps = materialize(components(reduce(DataFrame.union, links).select(F.col("ra").alias("a"), F.col("rb").alias("b"))))
     named = members.join(classes.select("c", "r"), "c", "left").join(comps, F.col("r") == F.col("node"), "left")
