@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from html.parser import HTMLParser
+from itertools import chain, pairwise, product
+from os.path import commonprefix
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -26,11 +30,6 @@ def citation_keys(text: str | Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.regexp_replace(text, CODE, " "), F.lit(r"\[@([^\[\]\s]+)\](?!\()"), F.lit(1)))
 
 
-def asset_names(text: str | Column) -> Column:
-    """Names of files under assets/ in links, images and src or href of HTML."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"""(?:\]\(|(?:src|href)=["'])assets/([^)"'\s]+)"""), F.lit(1)))
-
-
 def plain(text: str | Column) -> Column:
     """Text without the marks of Markdown."""
     x = F.regexp_replace(text, r"\[\[([^\[\]|]+\|)?([^\[\]]+)\]\]", "$2")
@@ -69,45 +68,61 @@ def source_line(creator: str | Column, year: str | Column, title: str | Column,
 
 # ---- math
 
+# What formulas may not touch (note links, citations, addresses), and code.
+OPAQUE = re.compile(r"(?i)\[\[[^\]\n]+\]\]|\[@[^\]\n]+\]|\b[a-z][a-z0-9+.-]*://[^\s<>]+|```(?s:.*?)```|`[^`\n]*`")
+#: A character with its backslash, or a run of dollars.
+MARK = re.compile(r"\\(?s:.)|\$+")
+#: Of each opening mark: whether the formula is displayed, and the pieces in which its end is looked for.
+PIECES = {
+    r"\(": (False, re.compile(r"\\(?s:.)|[{}\r\n]")),
+    r"\[": (True, re.compile(r"\\(?s:.)|[{}]")),
+    "$": (False, re.compile(r"\\(?s:.)|[{}\r\n$]")),
+    "$$": (True, re.compile(r"\\(?s:.)|[{}]|\$\$")),
+}
+CLOSING = {r"\(": r"\)", r"\[": r"\]", "$": "$", "$$": "$$"}
+
+
+def formula_end(text: str, opening: str, start: int) -> int | None:
+    """Where the mark that closes a formula stands, outside braces; None if a
+    line ends before (unless displayed) or braces close that weren't opened."""
+    open_braces = 0
+    for m in PIECES[opening][1].finditer(text, start):
+        if m[0] == CLOSING[opening] and not open_braces:
+            return m.start()
+        if m[0] in "\r\n":
+            return None
+        open_braces += {"{": 1, "}": -1}.get(m[0], 0)
+        if open_braces < 0:
+            return None
+    return None
+
 
 def math_spans(text: str | None) -> list[tuple[int, int, str, bool]]:
     r"""start, end, formula and whether it is displayed, of \(..\), \[..\], $..$
-    and $$..$$; escaped marks, code and addresses hold none."""
-    t, out, i = text or "", [], 0
-    skip = re.compile(r"```.*?```|`[^`\n]*`|https?://\S+", re.DOTALL)
-    closing = {"\\(": "\\)", "\\[": "\\]", "$$": "$$", "$": "$"}
-    while i < len(t):
-        if m := skip.match(t, i):
-            i = m.end()
+    and $$..$$. Escaped marks open nothing, formulas touch no link, citation,
+    address or code, those within a line don't leave it, and a lone dollar needs
+    text right behind it, right before its partner, and no digit after that."""
+    t, out, at = text or "", [], 0
+    opaque = [m.span() for m in OPAQUE.finditer(t)]
+    ends = [b for _, b in opaque]
+    while m := MARK.search(t, at):
+        start, at = m.span()
+        k = bisect_right(ends, start)  # the first that ends after the mark begins
+        if k < len(opaque) and opaque[k][0] <= start:
+            at = ends[k]
             continue
-        mark = next((k for k in ("\\(", "\\[", "$$", "$") if t.startswith(k, i)), None)
-        if mark is None:
-            i += 2 if t[i] == "\\" else 1
+        opening = m[0][:2]
+        if opening not in PIECES or (end := formula_end(t, opening, start + len(opening))) is None:
             continue
-        end = closing_at(t, i + len(mark), closing[mark])
-        inner = t[i + len(mark) : end] if end >= 0 else ""
-        if end < 0 or not inner.strip() or (mark == "$" and (inner[0].isspace() or inner[-1].isspace() or "\n" in inner)):
-            i += len(mark)
+        inner, close = t[start + len(opening) : end], end + len(CLOSING[opening])
+        loose = opening == "$" and (inner != inner.strip() or t[close : close + 1] == "$" or t[close : close + 1].isdecimal())
+        if not inner.strip() or loose or (k < len(opaque) and opaque[k][0] < close):
             continue
-        out.append((i, end + len(closing[mark]), inner.strip(), mark in ("\\[", "$$")))
-        i = end + len(closing[mark])
+        out.append((start, close, inner.strip(), PIECES[opening][0]))
+        at = close
     return out
 
 
-def closing_at(t: str, i: int, mark: str) -> int:
-    """Where the mark stands next outside braces, or -1."""
-    depth = 0
-    while i < len(t):
-        if depth <= 0 and t.startswith(mark, i):
-            return i
-        if t[i] == "\\":
-            i += 1
-        elif t[i] in "{}":
-            depth += 1 if t[i] == "{" else -1
-        i += 1
-    return -1
-
-
 @F.udtf(returnType=T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("latex", T.StringType()), T.StructField("display", T.BooleanType())]))
 class MathSpans:
     """A row for each formula of a text."""
@@ -192,63 +207,62 @@ def markdown_of(html: pd.Series) -> pd.Series:
 
 # ---- three-way merge of lines
 
+MOST_CELLS = 1_000_000
 
-def changes(base: list[str], other: list[str], most: int = 1_000_000) -> list[tuple[int, int, list[str]]] | None:
-    """Changed ranges of base, with what stands there instead, by a longest
-    common subsequence of lines; None if the tables would be too large."""
-    a, b = 0, 0
-    while a < min(len(base), len(other)) and base[a] == other[a]:
-        a += 1
-    while b < min(len(base), len(other)) - a and base[-1 - b] == other[-1 - b]:
-        b += 1
-    x, y = base[a : len(base) - b], other[a : len(other) - b]
-    if (len(x) + 1) * (len(y) + 1) > most:
-        return None
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(len(x) - 1, -1, -1):
-        for j in range(len(y) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if x[i] == y[j] else max(best[i + 1][j], best[i][j + 1])
+
+def common_lines(x: list[str], y: list[str]) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence. The table's rows are made as
+    wholes: the best without this line, or with it, from here to the end on."""
+    code = {line: k for k, line in enumerate({*x, *y})}
+    a, b = (np.array([code[line] for line in z], np.int64) for z in (x, y))
+    table = np.zeros((len(a) + 1, len(b) + 1), np.int32)
+    for i in reversed(range(len(a))):
+        best = np.where(b == a[i], table[i + 1, 1:] + 1, table[i + 1, :-1])
+        table[i, :-1] = np.maximum.accumulate(best[::-1])[::-1]
     out, i, j = [], 0, 0
-    while i < len(x) or j < len(y):
-        if i < len(x) and j < len(y) and x[i] == y[j]:
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            out.append((i, j))
             i, j = i + 1, j + 1
-            continue
-        start, new = i, []
-        while i < len(x) or j < len(y):
-            if i < len(x) and j < len(y) and x[i] == y[j]:
-                break
-            if j < len(y) and (i == len(x) or best[i][j + 1] >= best[i + 1][j]):
-                new.append(y[j])
-                j += 1
-            else:
-                i += 1
-        out.append((a + start, a + i, new))
+        elif table[i, j + 1] > table[i + 1, j]:
+            j += 1
+        else:
+            i += 1
     return out
 
 
+def changes(base: list[str], other: list[str]) -> list[tuple[int, int, tuple[str, ...]]] | None:
+    """Ranges of base with the lines that stand there instead: the gaps between
+    the lines in common. None if a table of MOST_CELLS can't tell."""
+    head = len(commonprefix([base, other]))
+    tail = len(commonprefix([base[head:][::-1], other[head:][::-1]]))
+    x, y = base[head : len(base) - tail], other[head : len(other) - tail]
+    if x and y and (len(x) + 1) * (len(y) + 1) > MOST_CELLS:
+        return None
+    same = [(-1, -1), *common_lines(x, y), (len(x), len(y))]
+    gaps = ((i + 1, j + 1, i2, j2) for (i, j), (i2, j2) in pairwise(same))
+    return [(head + i, head + i2, tuple(y[j:j2])) for i, j, i2, j2 in gaps if i < i2 or j < j2]
+
+
+def collide(p: tuple, q: tuple) -> bool:
+    """Whether two changes can't both be made: their ranges share a line, or one inserts where the other ends or begins."""
+    reach = 0 if p[0] == p[1] or q[0] == q[1] else 1
+    return max(p[0], q[0]) + reach <= min(p[1], q[1])
+
+
 def merge3(base: str | None, local: str | None, remote: str | None) -> str | None:
-    """Both sides' changes of base, or None if they touch each other; the same change on both sides counts once."""
+    """Both sides' changes of base, or None if any collide; the same change on both sides counts once."""
     base, local, remote = base or "", local or "", remote or ""
-    if local == remote or remote == base:
-        return local
-    if local == base:
-        return remote
-    lines = base.split("\n")
-    ours, theirs = changes(lines, local.split("\n")), changes(lines, remote.split("\n"))
-    if ours is None or theirs is None:
+    if base in (local, remote) or local == remote:
+        return local if remote == base else remote
+    old = base.split("\n")
+    ours, theirs = (changes(old, side.split("\n")) for side in (local, remote))
+    if ours is None or theirs is None or any(collide(p, q) for p, q in product(ours, {*theirs} - {*ours})):
         return None
-    merged = list(ours)
-    for t in theirs:
-        if t in ours:
-            continue
-        if any(t[0] <= o[1] and o[0] <= t[1] for o in ours):
-            return None
-        merged.append(t)
-    out, at = [], 0
-    for start, end, new in sorted(merged, key=lambda c: c[:2]):
-        out += [*lines[at:start], *new]
-        at = end
-    return "\n".join([*out, *lines[at:]])
+    made = sorted({*ours, *theirs})
+    starts, ends = [c[0] for c in made], [c[1] for c in made]
+    kept = [old[i:j] for i, j in zip([0, *ends], [*starts, len(old)])]
+    return "\n".join([*kept[0], *chain.from_iterable((*new, *rest) for (_, _, new), rest in zip(made, kept[1:]))])
 
 
 @F.pandas_udf(T.StringType())

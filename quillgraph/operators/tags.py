@@ -117,12 +117,14 @@ def format_plan(tags: DataFrame, rules: g.Exclusions = g.Exclusions()) -> DataFr
 
 
 def phrases(corpus: DataFrame, most: int = 128) -> DataFrame:
-    """doc_key, phrase and its counts in title, abstract and body: phrases in the
-    title and elsewhere, twice in the abstract or three times in the body, the best."""
-    found = [corpus.select("doc_key", F.lit(k).alias("field"), F.explode(g.phrases_of(name)).alias("phrase")) for k, name in enumerate(("title", "abstract", "body"))]
-    keyed = reduce(DataFrame.union, found).withColumn("key", g.key_of("phrase"))
+    """doc_key, phrase and its counts in title, abstract and body: specific
+    phrases in the title and elsewhere, twice in the abstract or three times in
+    the body, the best."""
+    found = [corpus.select("doc_key", F.lit(k).alias("field"), F.explode(g.phrase_candidates(name)).alias("phrase")) for k, name in enumerate(("title", "abstract", "body"))]
     n = lambda k: F.count(F.when(F.col("field") == k, 1))
-    rows = keyed.groupBy("doc_key", "key").agg(F.min_by("phrase", F.struct("field", "phrase")).alias("phrase"), n(0).alias("t"), n(1).alias("a"), n(2).alias("b"))
+    spelt = reduce(DataFrame.union, found).groupBy("doc_key", "phrase").agg(n(0).alias("t"), n(1).alias("a"), n(2).alias("b"), F.min("field").alias("field"))
+    keyed = spelt.withColumn("key", g.normal_text("phrase")).where(g.specific("phrase", "key", F.lit(False)))
+    rows = keyed.groupBy("doc_key", "key").agg(F.min_by("phrase", F.struct("field", "phrase")).alias("phrase"), *[F.sum(k).alias(k) for k in "tab"])
     bare = corpus.select("doc_key", ((F.trim("abstract") == "") & (F.trim("body") == "")).alias("bare"))
     rows = rows.join(bare, "doc_key").where(((F.col("t") > 0) & ((F.col("a") > 0) | (F.col("b") > 0) | F.col("bare"))) | (F.col("a") >= 2) | (F.col("b") >= 3))
     order = 4 * F.col("t") + 2 * F.least(F.lit(3), "a") + F.least(F.lit(4), "b")

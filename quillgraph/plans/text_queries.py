@@ -25,7 +25,7 @@ def tokens(s):
 
 @query("features")
 def features(s):
-    return s.v_corpus.select("doc_key", F.explode(t.features_of(t.clean_of("body"))).alias("feature")).groupBy("doc_key", "feature").agg(F.count("*").alias("tf"))
+    return t.clean(s.v_corpus.select("doc_key", "body"), "body", "body").select("doc_key", F.explode(t.features_of("body")).alias("feature")).groupBy("doc_key", "feature").agg(F.count("*").alias("tf"))
 
 
 @query("stem")
@@ -36,7 +36,7 @@ def stem(s):
 
 @query("clean_text")
 def clean_text(s):
-    return s.v_linktext.select("id", t.clean_of("text").alias("text"))
+    return t.clean(s.v_linktext.select("id", "text"), "text", "text")
 
 
 @query("discovery_terms", """WITH c AS (SELECT id, regexp_replace(lower(text), '(?s)```.*?```|https?://\\S+|<[^>]*>|\\[\\[[^\\]]*\\]\\]', ' ', 'g') AS t FROM v_linktext), w AS (SELECT id, unnest(regexp_extract_all(t, '\\p{Han}+|(?:\\p{N}|\\p{Latin}|\\p{M}){3,}')) AS w FROM c),

@@ -3,6 +3,7 @@ from __future__ import annotations
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quillgraph.functions import markup as m
 from quillgraph.functions import tagging as g
@@ -29,11 +30,20 @@ def test_tokens():
     assert t.features("deep nets of 机器学") == ["w:deep", "w:net", "b:deep net", "c:机器", "c:器学", "c:机器学"]
 
 
-def test_clean():
-    assert t.clean("hyphen-\nated see https://x.org/a 10.1000/xyz") == "hyphenated see    "
-    assert t.clean("same line\n" * 4 + "other") .strip() == "other"
-    assert t.clean("body text that is long enough to count here\nReferences\nx") == "body text that is long enough to count here"
-    assert t.clean(None) == ""
+def test_clean(spark):
+    lead = "body text that is long enough to count here"
+    cases = {
+        "hyphen-\nated see https://x.org/a 10.1000/xyz": "hyphenated see    ",
+        "same line\n" * 4 + "other": "other",
+        "same line\n" * 3 + "other": "same line\n" * 3 + "other",
+        f"{lead}\nReferences\nx": lead,
+        f"{lead}\n References \n": lead,
+        f"x\nReferences\n{lead}": f"x\nreferences\n{lead}",
+        "ＡＢ": "ab",
+        None: "",
+    }
+    rows = t.clean(spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, text string"), "text", "clean").collect()
+    assert {r.i: r.clean.strip() for r in rows} == {i: c.strip() for i, c in enumerate(cases.values())}
 
 
 def test_merge3():
@@ -42,6 +52,18 @@ def test_merge3():
     assert m.merge3("a", "a\nb", "a\nc") is None
     assert m.merge3("a\nb\nc", "a\nx\nc", "a\nx\nc") == "a\nx\nc"
     assert m.merge3("a", "a", "b") == "b"
+    assert m.merge3("a\nb\nc", "A\nb\nc", "a\nB\nc") == "A\nB\nc"  # neighbours don't collide
+    base = "# T\n\nFirst paragraph.\n\nSecond paragraph.\n"
+    assert m.merge3(base, base.replace("First paragraph.\n\n", ""), base.replace("Second", "Remote")) == base.replace("First paragraph.\n\n", "").replace("Second", "Remote")
+    assert m.merge3(base, base + "A", base + "B") is None and m.merge3(base, base + "New\n", base.replace("First", "Other")) == base.replace("First", "Other") + "New\n"
+    large = "\n".join(f"Line {i}" for i in range(1500))
+    assert m.merge3(large, f"L\n{large}\nL", f"R\n{large}\nR") is None
+    for i in range(30):
+        old = [f"line {j}" for j in range(20)]
+        left, right, both = list(old), list(old), list(old)
+        left[i % 10] = both[i % 10] = "left"
+        right[10 + i % 10] = both[10 + i % 10] = "right"
+        assert m.merge3("\n".join(old), "\n".join(left), "\n".join(right)) == "\n".join(both)
 
 
 lines = st.lists(st.sampled_from("abcd"), min_size=1, max_size=8).map("\n".join)
@@ -62,6 +84,11 @@ def test_math_spans():
     assert [x[2:] for x in m.math_spans(r"a $x+1$ \(y\) $$z$$ \$5 `$c$`")] == [("x+1", False), ("y", False), ("z", True)]
     assert m.math_spans(r"$x_{a$b}$")[0][2] == "x_{a$b}"
     assert m.math_spans(None) == []
+    assert m.math_spans(r"Prices $5 and $10; escaped \$20; literal \\(x\\) and \\[x\\].") == []
+    for none in (r"Broken \(x and \[x", "\\(x\ny\\)", r"\(\frac{x}{y\)", r"[[Note\(id\)]] [@Cite\(id\)] https://example.test/\(path\)", "[[a $x$ b]]", "$ x$", "$x $", "$x$5", r"\( \)"):
+        assert m.math_spans(none) == [], none
+    assert m.math_spans(r"\[\text{\]} + x\]")[0][2] == r"\text{\]} + x"
+    assert [x[2] for x in m.math_spans("\\[y\n z\\] and $$a$b$$")] == ["y\n z", "a$b"]
 
 
 def test_html():
@@ -100,6 +127,18 @@ def test_tag_format():
     assert g.formatted(g.formatted("NLP for iOS apps")) == g.formatted("NLP for iOS apps") == "NLP for iOS apps"
 
 
+def test_phrases(spark):
+    texts = ["We study graph neural networks and 3 deep models in practice. Fast image retrieval", "", None]
+    got = spark.createDataFrame([(x,) for x in texts], "t string").select(g.phrase_candidates("t").alias("p")).collect()
+    assert sorted(got[0].p) == ["3 deep", "3 deep models", "Fast image", "Fast image retrieval", "graph neural", "graph neural networks", "image retrieval", "neural networks"] and got[1].p == [] and got[2].p is None
+    names = [("graph neural networks", False), ("graph neural", False), ("models", True), ("retrieval", True), ("retrieval", False), ("GNN", False), ("AI", False), ("C++", False), ("研究方法", True), ("图神经网络", False), ("proposed method", False), ("et al data", False), ("via graphs ok", False)]
+    rows = spark.createDataFrame(names, "name string, existing boolean").withColumn("normal", g.normal_text("name"))
+    kept = {(r.name, r.existing) for r in rows.where(g.specific("name", "normal", "existing")).select("name", "existing").collect()}
+    assert kept == {("graph neural networks", False), ("retrieval", True), ("GNN", False), ("C++", False), ("图神经网络", False)}
+    counts = spark.createDataFrame([("a b a b", "a b", 2), ("a a a", "a a", 1), ("x ab", "a", 0), ("", "a", 0), ("a", "", 0), ("a", "a", 1)], "t string, p string, n int")
+    assert counts.where(g.occurrences("t", "p") != F.col("n")).count() == 0
+
+
 def test_exclusions():
     r = g.Exclusions.of("Foo Bar, tmp*\n@auto，@colored", ("Red",))
     assert r.automatic and r.colored and r.keys == {"foo bar", "red"} and r.patterns == ["^tmp.*$"]
