@@ -30,6 +30,27 @@ def citation_keys(text: str | Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.regexp_replace(text, CODE, " "), F.lit(r"\[@([^\[\]\s]+)\](?!\()"), F.lit(1)))
 
 
+LINK = r"\[\[[^\[\]]+\]\]"
+
+
+def refreshed(text: str | Column, labels: str | Column) -> Column:
+    """The text with the links [[ref]] and [[ref|label]] that labels (a map of
+    ref: struct(reference, label, old)) names written as [[reference|label]];
+    a label that a user has chosen, other than the old one, stays."""
+    text, labels = (x if isinstance(x, Column) else F.col(x) for x in (text, labels))
+    between = F.split(text, LINK)
+
+    def again(link: Column) -> Column:
+        inside = F.substring(link, F.lit(3), F.length(link) - 4)
+        ref, alias = F.trim(F.split_part(inside, F.lit("|"), F.lit(1))), F.trim(F.split_part(inside, F.lit("|"), F.lit(2)))
+        now = F.try_element_at(labels, ref)
+        own = (alias != "") & (alias != F.coalesce(now["old"], F.lit("")))
+        return F.when(now.isNull(), link).otherwise(F.concat(F.lit("[["), now["reference"], F.lit("|"), F.when(own, alias).otherwise(now["label"]), F.lit("]]")))
+
+    links = F.transform(F.regexp_extract_all(text, F.lit(LINK), F.lit(0)), again)
+    return F.array_join(F.transform(F.arrays_zip(between.alias("a"), links.alias("b")), lambda p: F.concat(p["a"], F.coalesce(p["b"], F.lit("")))), "")
+
+
 def plain(text: str | Column) -> Column:
     """Text without the marks of Markdown."""
     x = F.regexp_replace(text, r"\[\[([^\[\]|]+\|)?([^\[\]]+)\]\]", "$2")

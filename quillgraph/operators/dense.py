@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +23,18 @@ def unit(a: str | Column) -> Column:
     return F.when((n > 0) & (n < float("inf")), F.transform(col, lambda x: x.cast("double") / n))
 
 
+def fresh(vectors: DataFrame, docs: DataFrame) -> DataFrame:
+    """Vectors (key, hash, ...) made from the text that a document (key, hash) has now."""
+    return vectors.join(docs.select("key", "hash"), ["key", "hash"], "left_semi")
+
+
+def tag_similarities(candidates: DataFrame, documents: DataFrame, tags: DataFrame) -> DataFrame:
+    """query, name and similarity of candidates (query, name): the cosine of the
+    document's vector (key, vector) and the tag's (key, vector)."""
+    rows = candidates.join(documents.select(F.col("key").alias("query"), unit("vector").alias("q")), "query").join(tags.select(F.col("key").alias("name"), unit("vector").alias("t")), "name")
+    return rows.select("query", "name", dot("q", "t").alias("similarity"))
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """query, key, score and place: the k vectors (key, library, vector) nearest
     to each query (key, library, vector) in its library, of positive cosine, 1 at most."""
@@ -31,20 +45,31 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     return rows.withColumn("place", place).where(F.col("place") <= k)
 
 
-def vector_pairs(vectors: DataFrame, least: float = 0.84, dims: int = 24, shortlist: int = 48) -> DataFrame:
-    """a < b and score: pairs of (key, library, vector) of a cosine of least or
-    more, met by their largest dimensions of equal sign; each goes on with the
-    shortlist of the largest products over these."""
+def vector_pairs(vectors: DataFrame, least: float = 0.84, block: int = 2048) -> DataFrame:
+    """a < b and score: all pairs of (key, library, vector) of a cosine of least
+    or more. Meant for vocabularies: a task compares two blocks of a library,
+    and each vector is sent to as many tasks as its library has blocks."""
     rows = vectors.select("key", "library", unit("vector").alias("v")).where("v is not null")
-    parts = rows.select("key", "library", F.posexplode("v").alias("dim", "x"))
-    top = F.row_number().over(Window.partitionBy("key").orderBy(F.desc(F.abs("x")), "dim"))
-    parts = parts.withColumn("k", top).where((F.col("k") <= dims) & (F.col("x") != 0)).select("key", "library", "dim", F.signum("x").alias("sign"), "x")
-    other = parts.select(F.col("key").alias("other"), "library", "dim", "sign", F.col("x").alias("y"))
-    met = parts.join(other, ["library", "dim", "sign"]).where("key != other").groupBy("library", "key", "other").agg(F.sum(F.col("x") * F.col("y")).alias("s"))
-    short = met.withColumn("k", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("s"), "other"))).where(F.col("k") <= shortlist)
-    pairs = short.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
-    both = pairs.join(rows.select(F.col("key").alias("a"), F.col("v").alias("va")), "a").join(rows.select(F.col("key").alias("b"), F.col("v").alias("vb")), "b")
-    return both.select("a", "b", dot("va", "vb").alias("score")).where(F.col("score") >= least)
+    blocks = rows.groupBy("library").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    rows = rows.join(blocks, "library").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("library", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "v")
+    kind = dict(vectors.dtypes)["key"]
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
+        one, two = pdf[pdf.own == i], pdf[pdf.own == j]
+        if not len(one) or not len(two):
+            return pd.DataFrame({"a": [], "b": [], "score": []}).astype({"a": pdf.key.dtype, "b": pdf.key.dtype})
+        scores = np.stack(one.v.values) @ np.stack(two.v.values).T
+        x, y = one.key.to_numpy(), two.key.to_numpy()
+        p, q = np.nonzero(scores >= least)
+        found = pd.DataFrame({"a": x[p], "b": y[q], "score": scores[p, q]})
+        keep = found.a < found.b if i == j else found.a != found.b
+        found = found[keep]
+        low = found.a < found.b
+        return pd.DataFrame({"a": found.a.where(low, found.b), "b": found.b.where(low, found.a), "score": found.score})
+
+    return rows.groupBy("library", "i", "j").applyInPandas(compare, f"a {kind}, b {kind}, score double")
 
 
 def chunks(corpus: DataFrame, words: int = 120, chars: int = 1800) -> DataFrame:

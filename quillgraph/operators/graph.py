@@ -1,9 +1,8 @@
 """Hierarchies of notes and the graph of their links.
 
 parents are rows (card_id, parent_id), a null parent being the top; edges are
-rows (source, target, kind). Closures go step by step, each step a join of the
-last step's new rows that drops what was seen; steps are written to the shared
-folder, so neither the lineage nor a cycle grows without end.
+rows (source, target, kind). Closures go by rounds that double how far they
+look; rounds are written to the shared folder, so the lineage doesn't grow.
 """
 
 from __future__ import annotations
@@ -16,38 +15,40 @@ from pyspark.sql import functions as F
 from ..sources.scratch import materialize
 
 
-def ancestors(parents: DataFrame, start: DataFrame | None = None, passable: DataFrame | None = None, most: int = 1_000) -> DataFrame:
+def closure(start: DataFrame, steps: DataFrame) -> DataFrame:
+    """id, end and depth (1: the next) of all that the nodes in start (id) lead to
+    by steps (at, next). Each round takes what was found twice as far, by jumps
+    that double too, so a chain of n nodes takes log n rounds; a cycle ends it as
+    the top does, when nothing new is found."""
+    jumps = steps.select("at", "next").distinct()
+    found = materialize(start.select(F.col("id").alias("at")).distinct().join(jumps, "at").select(F.col("at").alias("id"), F.col("next").alias("end"), F.lit(1).alias("depth")).distinct())
+    reach, n = 1, found.count()
+    while n:
+        ahead = found.join(jumps, F.col("end") == F.col("at")).select("id", "next", F.col("depth") + reach)
+        found = materialize(found.union(ahead).groupBy("id", "end").agg(F.min("depth").alias("depth")))
+        m = found.count()
+        if m == n:
+            break
+        twice = jumps.select("at", F.col("next").alias("via")).join(jumps.select(F.col("at").alias("via"), "next"), "via")
+        jumps, reach, n = materialize(twice.select("at", "next").distinct()), 2 * reach, m
+    return found
+
+
+def ancestors(parents: DataFrame, start: DataFrame | None = None, passable: DataFrame | None = None) -> DataFrame:
     """id, ancestor and depth (1: the parent) of the nodes in start (id; all
     nodes if None). With passable (id) the way up ends before any other node."""
-    steps = parents.where("parent_id is not null").select(F.col("card_id").alias("at"), F.col("parent_id").alias("ancestor"))
+    steps = parents.where("parent_id is not null").select(F.col("card_id").alias("at"), F.col("parent_id").alias("next"))
     if passable is not None:
-        steps = steps.join(passable.select(F.col("id").alias("ancestor")), "ancestor", "left_semi").select("at", "ancestor")
-    first = steps if start is None else steps.join(start.select(F.col("id").alias("at")).distinct(), "at", "left_semi")
-    new = materialize(first.select(F.col("at").alias("id"), "ancestor", F.lit(1).alias("depth")).distinct())
-    found = [new]
-    for depth in range(2, most + 1):
-        ahead = new.select("id", F.col("ancestor").alias("at")).join(steps, "at").select("id", "ancestor").distinct()
-        seen = reduce(DataFrame.union, found).select("id", "ancestor")
-        new = materialize(ahead.join(seen, ["id", "ancestor"], "left_anti").select("id", "ancestor", F.lit(depth).alias("depth")))
-        if new.isEmpty():
-            break
-        found.append(new)
-    return reduce(DataFrame.union, found)
+        steps = steps.join(passable.select(F.col("id").alias("next")), "next", "left_semi").select("at", "next")
+    start = steps.select(F.col("at").alias("id")) if start is None else start
+    return closure(start, steps).select("id", F.col("end").alias("ancestor"), "depth")
 
 
-def descendants(parents: DataFrame, roots: DataFrame, most: int = 1_000) -> DataFrame:
+def descendants(parents: DataFrame, roots: DataFrame) -> DataFrame:
     """root, id and depth (0: the root itself) of everything below the roots (id)."""
-    steps = parents.where("parent_id is not null").select(F.col("parent_id").alias("at"), "card_id")
-    new = materialize(roots.select(F.col("id").alias("root"), F.col("id").alias("id"), F.lit(0).alias("depth")).distinct())
-    found = [new]
-    for depth in range(1, most + 1):
-        ahead = new.select("root", F.col("id").alias("at")).join(steps, "at").select("root", F.col("card_id").alias("id")).distinct()
-        seen = reduce(DataFrame.union, found).select("root", "id")
-        new = materialize(ahead.join(seen, ["root", "id"], "left_anti").select("root", "id", F.lit(depth).alias("depth")))
-        if new.isEmpty():
-            break
-        found.append(new)
-    return reduce(DataFrame.union, found)
+    steps = parents.where("parent_id is not null").select(F.col("parent_id").alias("at"), F.col("card_id").alias("next"))
+    below = closure(roots, steps).where("id != end").select(F.col("id").alias("root"), F.col("end").alias("id"), "depth")
+    return roots.select(F.col("id").alias("root"), "id", F.lit(0).alias("depth")).distinct().union(below)
 
 
 def cycles(parents: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import STOP_WORDS
+from ..sources.scratch import materialize
 
 FIELDS = ("title", "abstract", "body")
 WEIGHTS, LENGTH_SHARES = (4.0, 2.0, 1.0), (0.3, 0.6, 0.75)
@@ -51,7 +52,7 @@ def counts(corpus: DataFrame, features: Callable[[str], Column] | None = None) -
 
 def document_frequencies(counted: DataFrame) -> DataFrame:
     """feature and df: how many documents hold it in any field."""
-    return counted.groupBy("feature").agg(F.countDistinct("doc_key").alias("df"))
+    return counted.select("doc_key", "feature").distinct().groupBy("feature").agg(F.count("*").alias("df"))
 
 
 def field_averages(corpus: DataFrame, counted: DataFrame) -> DataFrame:
@@ -63,7 +64,9 @@ def field_averages(corpus: DataFrame, counted: DataFrame) -> DataFrame:
 
 
 def weights(corpus: DataFrame, counted: DataFrame) -> DataFrame:
-    """doc_key, feature, weight and in_title: saturated BM25F weights."""
+    """doc_key, feature, weight and in_title: saturated BM25F weights. counted is
+    read four times: it is written once before."""
+    counted = materialize(counted)
     lengths = counted.groupBy("doc_key", "field").agg(F.sum("tf").alias("len"))
     averages = F.broadcast(field_averages(corpus, counted))  # one row
     rows = counted.join(lengths, ["doc_key", "field"]).crossJoin(averages)
@@ -148,46 +151,65 @@ def simhashes(counted: DataFrame) -> DataFrame:
     return merged.groupBy("doc_key").agg(*votes, F.sum("n").alias("length")).select("doc_key", bits.cast("long").alias("simhash"), "length")
 
 
-def near_duplicates(hashes: DataFrame, signature: DataFrame, weak: DataFrame, least: float = 0.95, bits: int = 3, length: float = 100) -> DataFrame:
-    """doc_key < other pairs: long enough, not weak, simhashes that differ in few
-    bits and signatures of a cosine of least or more. Pairs meet by one of
-    bits + 1 bands of the simhash, of which one has to be equal."""
-    sound = hashes.where(F.col("length") >= length).join(weak.where("weak").select("doc_key"), "doc_key", "left_anti")
+def weak_flags(corpus: DataFrame, counted: DataFrame, least: int = 25) -> DataFrame:
+    """doc_key and weak: no body, or fewer different features than least."""
+    n = counted.select("doc_key", "feature").distinct().groupBy("doc_key").agg(F.count("*").alias("n"))
+    return corpus.select("doc_key", "body").join(n, "doc_key", "left").select("doc_key", ((F.trim("body") == "") | (F.coalesce("n", F.lit(0)) < least)).alias("weak"))
+
+
+def near_duplicates(hashes: DataFrame, signature: DataFrame, weak: DataFrame, least: float = 0.95, bits: int = 3, length: float = 100) -> tuple[DataFrame, DataFrame]:
+    """Near duplicates among documents that are long enough and not weak, whose
+    simhashes differ in few bits and whose signatures have a cosine of least or
+    more. Documents of the same simhash and signature are one class before
+    anything is compared: returns pairs doc_key < other of class representatives
+    with their cosine, and doc_key and copy_of, the representative of each
+    document. Pairs meet by one of bits + 1 bands of the simhash, of which one has
+    to be equal."""
+    own = signature.groupBy("doc_key").agg(F.md5(F.to_json(F.array_sort(F.collect_list(F.struct("feature", "weight")))).cast("binary")).alias("digest"))  # a signature has 256 features at most
+    sound = hashes.where(F.col("length") >= length).join(weak.where("weak").select("doc_key"), "doc_key", "left_anti").join(own, "doc_key")
+    least_key = sound.groupBy("simhash", "digest").agg(F.min("doc_key").alias("copy_of"))
+    members = materialize(sound.join(least_key, ["simhash", "digest"]).select("doc_key", "copy_of", "simhash"))
     width = 64 // (bits + 1)
     bands = F.array(*[F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("simhash", k * width).bitwiseAND(F.lit((1 << width) - 1)).alias("part")) for k in range(bits + 1)])
-    rows = sound.select("doc_key", "simhash", F.explode(bands).alias("b")).select("doc_key", "simhash", "b.*")
+    rows = members.where("doc_key = copy_of").select("doc_key", "simhash", F.explode(bands).alias("b")).select("doc_key", "simhash", "b.*")
     other = rows.select(F.col("doc_key").alias("other"), F.col("simhash").alias("simhash2"), "band", "part")
     near = rows.join(other, ["band", "part"]).where((F.col("doc_key") < F.col("other")) & (F.bit_count(F.col("simhash").bitwiseXOR(F.col("simhash2"))) <= bits)).select("doc_key", "other").distinct()
     cos = cosines(near.select(F.col("doc_key").alias("query"), F.col("other").alias("doc_key")), signature, "cosine").where(F.col("cosine") >= least)
-    return cos.select(F.col("query").alias("doc_key"), F.col("doc_key").alias("other"), "cosine")
+    return cos.select(F.col("query").alias("doc_key"), F.col("doc_key").alias("other"), "cosine"), members.select("doc_key", "copy_of")
 
 
-def without_copies(ranked: DataFrame, copies: DataFrame, k: int) -> DataFrame:
+def without_copies(ranked: DataFrame, copies: DataFrame, members: DataFrame, k: int) -> DataFrame:
     """ranked (query, doc_key, similarity) without copies of the query or of what
-    is ahead of them, the first k. Only pairs of a query's own list matter, of
-    which there are CANDIDATES at most."""
+    is ahead of them, the first k. copies and members are of near_duplicates();
+    each row is told by its class and the classes near it. Only pairs of a
+    query's own list matter, of which there are CANDIDATES at most."""
     pairs = copies.select(F.col("doc_key").alias("a"), F.col("other").alias("b"))
     pairs = pairs.union(pairs.select("b", "a"))
-    near = ranked.join(pairs, F.col("doc_key") == F.col("a"), "left").groupBy("query", "doc_key", "similarity").agg(F.collect_set("b").alias("like"))
+    of = members.select("doc_key", "copy_of")
+    own = lambda rows, key, name: rows.join(of.select(F.col("doc_key").alias(key), F.col("copy_of").alias(name)), key, "left").withColumn(name, F.coalesce(name, key))
+    rows = own(own(ranked, "doc_key", "class"), "query", "asked")
+    in_list = rows.select("query", F.col("class").alias("b")).union(rows.select("query", F.col("asked"))).distinct()
+    near = rows.join(pairs, F.col("class") == F.col("a"), "left").join(in_list, ["query", "b"], "left_semi").groupBy("query", "doc_key").agg(F.collect_set("b").alias("like"))
+    rows = rows.join(near, ["query", "doc_key"], "left")
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["similarity", "doc_key"], ascending=[False, True])
-        taken, seen = [], {pdf["query"].iloc[0]}
-        for key, score, like in zip(pdf.doc_key, pdf.similarity, pdf.like):
-            if len(taken) < k and not seen.intersection(like):
+        taken, seen = [], {pdf["asked"].iloc[0]}
+        for key, score, own, like in zip(pdf.doc_key, pdf.similarity, pdf["class"], pdf.like):
+            if len(taken) < k and own not in seen and (like is None or not seen.intersection(like)):
                 taken.append((pdf["query"].iloc[0], key, score, np.int32(len(taken) + 1)))
-                seen.add(key)
+                seen.add(own)
         return pd.DataFrame(taken, columns=["query", "doc_key", "similarity", "place"])
 
-    return near.groupBy("query").applyInPandas(choose, "query string, doc_key string, similarity double, place int")
+    return rows.groupBy("query").applyInPandas(choose, "query string, doc_key string, similarity double, place int")
 
 
 def similar(corpus: DataFrame, queries: DataFrame, k: int = 20, features: Callable[[str], Column] | None = None) -> DataFrame:
     """query, doc_key, similarity and place: the k most similar documents of each query (doc_key), copies left out."""
-    counted = counts(corpus, features)
+    counted = materialize(counts(corpus, features))
     signature = signatures(weights(corpus, counted))
     asked = query_terms(signature.join(queries.select("doc_key"), "doc_key", "left_semi"))
     found = candidates(asked, signature)
     fields = field_vectors(counted, document_frequencies(counted), field_averages(corpus, counted))
     ranked = similarities(found, fields, signature).where("similarity > 0")
-    return without_copies(ranked, near_duplicates(simhashes(counted), signature, corpus.select("doc_key", "weak")), k)
+    return without_copies(ranked, *near_duplicates(simhashes(counted), signature, corpus.select("doc_key", "weak")), k)

@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .graph import ancestors
+
 SORTS = {f"{k}-{d}": (c, d) for k, c in (("updated", "updated_at"), ("created", "created_at"), ("title", "title"), ("id", "id")) for d in ("asc", "desc")}
 TYPES = ("literature", "zettel", "thinking", "entity")
 RANK_ID, RANK_TITLE, RANK_BODY = 0, 1, 2
@@ -58,35 +60,60 @@ def gram_division(terms: DataFrame, keyword: str, most: int = 64) -> DataFrame:
     return terms.where(F.col("term").isin(grams)).groupBy("card_id").agg(F.count("*").alias("n")).where(F.col("n") == len(grams)).select("card_id")
 
 
-def matches(keyword: str) -> Column:
-    fields = ["title_folded", F.lower("body"), F.lower("id"), F.lower(F.coalesce("custom_key", F.lit("")))]
+def matches(keyword: str, *more: str) -> Column:
+    fields = ["title_folded", F.lower("body"), F.lower("id"), F.lower(F.coalesce("custom_key", F.lit(""))), *map(F.lower, more)]
     return reduce(lambda a, b: a | b, [F.coalesce(F.contains(F.col(f) if isinstance(f, str) else f, F.lit(keyword)), F.lit(False)) for f in fields])
 
 
-def search(notes: DataFrame, query: str = "", unavailable: DataFrame | None = None, types: list[str] | None = None, tagged: DataFrame | None = None, include: list[str] | None = None, exclude: list[str] | None = None, index: DataFrame | None = None) -> DataFrame:
+def search(notes: DataFrame, query: str = "", unavailable: DataFrame | None = None, types: list[str] | None = None, tagged: DataFrame | None = None, include: list[str] | DataFrame | None = None, exclude: list[str] | DataFrame | None = None, index: DataFrame | None = None, references: DataFrame | None = None) -> DataFrame:
     """Matching notes with search_rank: 0 for an exact id or key, 1 for a title
-    that holds the whole query, else 2 (0 without a query). With an index its
-    grams narrow the notes before the texts are looked at."""
+    that holds the whole query, else 2 (0 without a query). include and exclude
+    are ids, in a list of at most MAX_IDS or a table (id). With an index its grams
+    narrow the notes before the texts are looked at. With references (item_key,
+    reference) the reference of a note's item is looked at, too."""
     keywords = query_terms(query)
-    if include is not None and len(include) > MAX_IDS:
+    if isinstance(include, list) and len(include) > MAX_IDS:
         raise ValueError(f"at most {MAX_IDS} ids")
     rows = active(notes, unavailable) if unavailable is not None else notes
     if types:
         rows = rows.where(F.col("note_type").isin(types))
     if include is not None:
-        rows = rows.where(F.col("id").isin(include))
-    if exclude:
-        rows = rows.where(~F.col("id").isin(exclude))
+        rows = rows.where(F.col("id").isin(include)) if isinstance(include, list) else rows.join(include.select("id"), "id", "left_semi")
+    if exclude is not None:
+        rows = rows.where(~F.col("id").isin(exclude)) if isinstance(exclude, list) else rows.join(exclude.select("id"), "id", "left_anti")
+    if references is not None:
+        rows = rows.join(references.select("item_key", F.col("reference").alias("__reference")), "item_key", "left")
     if tagged is not None:
         rows = rows.join(tagged.select(F.col("card_id").alias("id")), "id", "left_semi")
     for k in keywords:
         if index is not None and len(k) >= 2:
             rows = rows.join(gram_division(index, k, 24 if len(keywords) > 1 else 64).withColumnRenamed("card_id", "id"), "id", "left_semi")
-        rows = rows.where(matches(k))
+        rows = rows.where(matches(k, *(["__reference"] if references is not None else [])))
     whole = query.strip().lower()
     exact = (F.lower("id") == whole) | (F.lower(F.coalesce("custom_key", F.lit(""))) == whole)
+    if references is not None:
+        exact = exact | F.coalesce(F.lower("__reference") == whole, F.lit(False))
     rank = F.when(exact, RANK_ID).when(F.contains("title_folded", F.lit(whole)), RANK_TITLE).otherwise(RANK_BODY) if keywords else F.lit(RANK_ID)
-    return rows.withColumn("search_rank", rank)
+    return rows.withColumn("search_rank", rank).drop("__reference")
+
+
+def lookup(notes: DataFrame, key: str, values: DataFrame) -> DataFrame:
+    """The notes whose key is one of the values (a table with that column)."""
+    return notes.join(values.select(key), key, "left_semi")
+
+
+def parents_of_targets(links: DataFrame, parents: DataFrame) -> DataFrame:
+    """source_id and parent_id: the parents of the notes that a note links to, but itself."""
+    up = parents.where("parent_id is not null").select(F.col("card_id").alias("target_id"), "parent_id")
+    return links.select("source_id", "target_id").join(up, "target_id").where("parent_id != source_id").select("source_id", "parent_id").distinct()
+
+
+def parent_rows(notes: DataFrame, parents: DataFrame, unavailable: DataFrame) -> DataFrame:
+    """Active notes with their parent, if that is active, and the number of their active children."""
+    rows = active(notes, unavailable)
+    up = parents.where("parent_id is not null").join(rows.select(F.col("id").alias("parent_id"), F.col("title").alias("parent_title")), "parent_id").select(F.col("card_id").alias("id"), "parent_id", "parent_title")
+    n = children_counts(parents, unavailable).withColumnRenamed("parent_id", "id")
+    return rows.select("id").join(up, "id", "left").join(n, "id", "left").select("id", "parent_id", "parent_title", F.coalesce("children", F.lit(0)).alias("children"))
 
 
 def page(found: DataFrame, sort: str = "updated-desc", limit: int = 100, cursor: str | None = None, scope: str = "") -> DataFrame:
@@ -244,14 +271,13 @@ def upserted(current: DataFrame, incoming: DataFrame, now: int) -> DataFrame:
 
 def deleted(notes: DataFrame, links: DataFrame, parents: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Notes, links and parents after the notes gone (id): links from them go,
-    links to them lose their target, children move to the next parent that stays
-    (one level: the gone note's own parent, none if that goes too)."""
+    links to them lose their target, children move to the next note above that stays."""
     ids = gone.select("id").distinct()
     hit = ids.select(F.col("id").alias("target_id"), F.lit(True).alias("hit"))
     kept = links.join(ids.withColumnRenamed("id", "source_id"), "source_id", "left_anti").join(hit, "target_id", "left")
     kept = kept.select("source_id", F.when(F.col("hit").isNull(), F.col("target_id")).alias("target_id"), "ref")
-    lifted = parents.join(ids.withColumnRenamed("id", "card_id"), "card_id", "left_semi").select(F.col("card_id").alias("parent_id"), F.col("parent_id").alias("above"))
-    lifted = lifted.join(ids.withColumnRenamed("id", "above").withColumn("also", F.lit(True)), "above", "left").select("parent_id", F.when(F.col("also").isNull(), F.col("above")).alias("above"), F.lit(True).alias("lift"))
+    above = ancestors(parents, ids).join(ids.withColumnRenamed("id", "ancestor"), "ancestor", "left_anti").groupBy("id").agg(F.min_by("ancestor", "depth").alias("above"))
+    lifted = ids.join(above, "id", "left").select(F.col("id").alias("parent_id"), "above", F.lit(True).alias("lift"))
     tree = parents.join(ids.withColumnRenamed("id", "card_id"), "card_id", "left_anti").join(lifted, "parent_id", "left")
     tree = tree.select("card_id", F.when(F.col("lift"), F.col("above")).otherwise(F.col("parent_id")).alias("parent_id"))
     return notes.join(ids, "id", "left_anti"), kept, tree

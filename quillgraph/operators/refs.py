@@ -42,6 +42,22 @@ def aliases(keys: DataFrame, citations: DataFrame) -> DataFrame:
     return rows.groupBy("alias").agg(F.when(F.countDistinct("id") == 1, F.min("id")).alias("id"))
 
 
+def link_targets(notes: DataFrame, alias: DataFrame, historic: DataFrame) -> DataFrame:
+    """ref (lower-case), target and priority of all that a link may say: an id, an
+    address (note/ and the id), another key (alias: note_key, card_id), a title
+    that one note has, a reference of before (historic: ref, id) that means one."""
+    titles = unique(notes.where("title_folded != ''").select(F.col("title_folded").alias("ref"), "id"), "ref")
+    told = [notes.select(F.col("id").alias("ref"), "id"), notes.select(F.concat(F.lit("note/"), "id"), "id"), alias.select(F.lower("note_key"), "card_id"), titles.select("ref", "id"), unique(historic.select(F.lower("ref").alias("ref"), "id"), "ref").select("ref", "id")]
+    rows = reduce(DataFrame.union, [x.withColumn("priority", F.lit(k)) for k, x in enumerate(told, 1)])
+    return rows.groupBy("ref").agg(F.min_by("id", "priority").alias("target"), F.min("priority").alias("priority"))
+
+
+def forward_links(links: DataFrame, new: DataFrame, alias: DataFrame) -> DataFrame:
+    """source_id, ref and target_id of links that led nowhere and now find one of the new notes."""
+    targets = link_targets(new, alias, new.select(F.col("custom_key").alias("ref"), "id").where("ref is not null")).select(F.col("ref").alias("folded"), F.col("target").alias("target_id"))
+    return links.where("target_id is null").select("source_id", "ref", F.lower("ref").alias("folded")).join(targets, "folded").select("source_id", "ref", "target_id")
+
+
 def with_references(rows: DataFrame, public: DataFrame) -> DataFrame:
     """rows with the public reference (id, reference) of each, else its id."""
     return rows.join(public.select("id", "reference"), "id", "left").withColumn("reference", F.coalesce("reference", "id"))

@@ -5,6 +5,7 @@ tags are rows (card_id, tag), neighbours (query, card_id, score).
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 import pandas as pd
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tagging as g
+from ..functions.text import nfkc_of
 from ..sources.scratch import materialize
 
 
@@ -134,7 +136,7 @@ def phrases(corpus: DataFrame, most: int = 128) -> DataFrame:
 
 def scored(evidence: DataFrame, most: int = 192) -> DataFrame:
     """Candidates (query, name, in_title, in_abstract, body_hits, vote, is_new)
-    with score and support: direct evidence of the fields, a share of the votes,
+    with score, direct and support: direct evidence of the fields, a share of the votes,
     a little less for new names."""
     best = F.greatest(F.lit(1.0), F.max(F.coalesce("vote", F.lit(0.0))).over(Window.partitionBy("query")))
     vote = F.coalesce("vote", F.lit(0.0)) / best
@@ -142,29 +144,167 @@ def scored(evidence: DataFrame, most: int = 192) -> DataFrame:
     direct = direct.when(F.col("in_abstract") > 0, 0.65 + F.least(F.lit(0.08), (F.col("in_abstract") - 1) * 0.04))
     direct = direct.when(F.col("body_hits") >= 2, 0.59 + F.least(F.lit(0.09), F.log2("body_hits") * 0.025)).otherwise(0.0)
     rows = evidence.withColumn("support", F.least(F.lit(1.0), vote)).where((F.col("in_title") > 0) | (F.col("in_abstract") > 0) | (F.col("body_hits") >= 2) | F.col("vote").isNotNull())
-    rows = rows.withColumn("score", direct + 0.08 * F.col("support") - F.when(F.col("is_new"), 0.025).otherwise(0.0))
+    rows = rows.withColumn("direct", direct).withColumn("score", F.col("direct") + 0.08 * F.col("support") - F.when(F.col("is_new"), 0.025).otherwise(0.0))
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.desc("support"), F.length("name").desc(), "name"))
     return rows.withColumn("place", place).where(F.col("place") <= most).drop("place")
 
 
-def selected(candidates: DataFrame, least: float = 0.58) -> DataFrame:
-    """query, name, place: names chosen one by one by score less redundancy with
-    those chosen (candidates: query, name, score; at most 192 a query)."""
+def indexed_hits(names: DataFrame, counted: DataFrame) -> DataFrame:
+    """doc_key, name and hits: the fewest places that one of the name's features
+    (doc_key, name, feature) has in the body (counted: doc_key, feature, tf), 0
+    if one is missing."""
+    rows = names.distinct().join(counted.groupBy("doc_key", "feature").agg(F.sum("tf").alias("tf")), ["doc_key", "feature"], "left")
+    return rows.groupBy("doc_key", "name").agg(F.min(F.coalesce("tf", F.lit(0))).alias("hits"))
+
+
+def grounded(candidates: DataFrame) -> DataFrame:
+    """Candidates (query, name, score, support, direct, in_title, in_abstract,
+    body_hits, is_new, incidental, similarity) that their evidence bears, with
+    the score that similarity lifts; similarity is null where no vectors are."""
+    c = F.col
+    similar = F.when(c("similarity").isNotNull(), F.greatest(c("similarity"), F.lit(0.0)))
+    titled = F.max(c("in_title") > 0).over(Window.partitionBy("query"))
+    passing = titled & (c("in_title") == 0) & (c("in_abstract") == 1) & (c("body_hits") < 2) & (c("support") == 0)
+    unseen = (c("direct") == 0) & ~((c("support") > 0) & F.coalesce(similar >= 0.38, F.lit(False)))
+    thin = c("is_new") & (c("in_title") == 0) & (c("in_abstract") == 0) & ~((c("body_hits") >= 3) & F.coalesce(similar >= 0.3, F.lit(True)))
+    apart = (c("in_title") == 0) & F.coalesce(similar < 0.25, F.lit(False))
+    lifted = c("score") + 0.14 * F.coalesce(similar, F.lit(0.0)) + F.when(c("direct") == 0, 0.45 + 0.22 * c("support")).otherwise(0.0)
+    rows = candidates.withColumn("__out", c("incidental") | passing | unseen | thin | apart).where("not __out").drop("__out")
+    return rows.withColumn("score", F.least(F.lit(1.0), lifted))
+
+
+def preferred(groups: DataFrame, uses: DataFrame) -> DataFrame:
+    """group and name: of its names (name, group) the one that most items hold
+    (uses: tag, items), of several the first."""
+    rows = groups.join(uses.select(F.col("tag").alias("name"), "items"), "name", "left").withColumn("items", F.coalesce("items", F.lit(0)))
+    top = rows.groupBy("group").agg(F.max("items").alias("items"))
+    return rows.join(top, ["group", "items"]).groupBy("group").agg(F.min("name").alias("name"))
+
+
+def merged_groups(groups: DataFrame, pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """name and group after groups (name, group) and single names grew together
+    along edges (a, b, score) of like vectors, best first: two merge if each name
+    of one is a duplicate (pairs: a, b) of each of the other or linked to it by an
+    edge of compatible names. Names that edges connect are looked at together."""
+    ab = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score")
+    own = groups.select(F.col("group").alias("a"), F.col("name").alias("b")).where("a != b")
+    found = blocks(ab.select("a", "b").union(own))
+    rows = [
+        ab.select("a", "b", "score", F.lit("edge").alias("kind")),
+        pairs.select("a", "b", F.lit(1.0), F.lit("pair")),
+        own.select("a", "b", F.lit(1.0), F.lit("group")),
+    ]
+    told = reduce(DataFrame.union, rows).join(found.withColumnRenamed("name", "a"), "a")
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        linked = {frozenset((a, b)) for a, b, kind in zip(pdf.a, pdf.b, pdf.kind) if kind == "pair" or (kind == "edge" and g.compatible(a, b))}
+        home: dict[str, list[str]] = {}
+        for first, name in pdf[pdf.kind == "group"][["a", "b"]].itertuples(index=False):
+            home.setdefault(first, [first]).append(name)
+        for members in list(home.values()):
+            home.update(dict.fromkeys(members, members))
+        for a, b in pdf[pdf.kind == "edge"].sort_values(["score", "a", "b"], ascending=[False, True, True])[["a", "b"]].itertuples(index=False):
+            x, y = home.get(a, [a]), home.get(b, [b])
+            if x is not y and all(frozenset((p, q)) in linked for p in x for q in y):
+                home.update(dict.fromkeys([*x, *y], [*x, *y]))
+        return pd.DataFrame([(n, min(members)) for n, members in home.items()], columns=["name", "group"])
+
+    return told.groupBy("block").applyInPandas(merge, "name string, group string")
+
+
+def added(tags: DataFrame, card_ids: DataFrame, names: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """tags with each name given to each card, and the names (name) refused:
+    empty, over 255 characters, with control characters, or not known (tag)."""
+    bad = (F.trim("name") == "") | (F.length("name") > 255) | F.col("name").rlike(r"[\x00-\x1f\x7f]")
+    rows = names.select("name").distinct()
+    rows = rows.withColumn("known", F.lit(True)) if known is None else rows.join(known.select(F.col("tag").alias("name"), F.lit(True).alias("known")).distinct(), "name", "left")
+    rows = rows.withColumn("bad", F.coalesce(bad, F.lit(True)) | F.col("known").isNull())
+    # a list that somebody has chosen, for cards that somebody has chosen
+    given = card_ids.select("card_id").distinct().join(rows.where("not bad").select(F.col("name").alias("tag")), F.lit(True))
+    return tags.select("card_id", "tag").union(given).distinct(), rows.where("bad").select("name")
+
+
+def applied(tags: DataFrame, plan: DataFrame, now: DataFrame) -> DataFrame:
+    """tags after a plan (tag, to, status, items) was carried out where making it
+    now gives the same row; what has changed in between stays as it is."""
+    same = plan.where("status = 'change'").join(now.select(*[F.col(k).alias(f"{k}2") for k in ("tag", "to", "status", "items")]), F.col("tag") == F.col("tag2"))
+    good = same.where("to = to2 and status = status2 and items = items2").select("tag", "to")
+    return tags.join(good, "tag", "left").select("card_id", F.coalesce("to", "tag").alias("tag")).distinct()
+
+
+def vocabulary(tags: DataFrame, notes: DataFrame, rules: g.Exclusions = g.Exclusions()) -> DataFrame:
+    """library and its visible tags."""
+    return tags.join(notes.select(F.col("id").alias("card_id"), "library"), "card_id").where(~excluded("tag", rules)).select("library", "tag").distinct()
+
+
+def searched(names: DataFrame, text: str, groups: DataFrame | None = None) -> DataFrame:
+    """Names (tag) that hold the text as written or by their parted words; with
+    groups (name, group) all names of a group of which one does."""
+    low = g.words(text)
+    want, key = unicodedata.normalize("NFKC", text).strip().lower(), " ".join(low).lower()
+    hit = F.contains(F.lower(nfkc_of("tag")), F.lit(want)) | F.contains(g.key_of("tag"), F.lit(key))
+    found = names.where(hit).select("tag")
+    if groups is None:
+        return found
+    whole = groups.join(groups.join(found.withColumnRenamed("tag", "name"), "name", "left_semi").select("group").distinct(), "group", "left_semi")
+    return found.union(whole.select(F.col("name").alias("tag"))).distinct()
+
+
+def ordered(uses: DataFrame, by: str = "count", down: bool | None = None) -> DataFrame:
+    """Tags (tag, items, group) by name, count or group; counts go down unless said otherwise."""
+    column = {"name": "tag", "count": "items", "group": "group"}[by]
+    down = by == "count" if down is None else down
+    return uses.orderBy(F.desc(column) if down else F.asc(column), "tag")
+
+
+def covered(name: str, parts: list[str]) -> bool:
+    """Whether two or more other names stand in this one and leave no word of it over."""
+    words = g.words(name.lower())
+    inside = [p for p in (g.words(x.lower()) for x in parts) if f" {' '.join(p)} " in f" {' '.join(words)} "]
+    return len(inside) >= 2 and set(words) <= {w for p in inside for w in p}
+
+
+def pruned(rows: list[tuple[str, float, bool]], semantic: dict) -> list[tuple[str, float, bool]]:
+    """Candidates (name, score, is_new) without new spellings of what there is,
+    new ones made of existing parts, fragments of others that score alike, and
+    new ones too close to what there is."""
+    close = lambda a, b: semantic.get(frozenset((a, b)), 0.0)
+    have = [n for n, _, new in rows if not new]
+    same = lambda a, b: g.duplicate_reason(g.key(a), g.key(b)) or (g.compatible(a, b) and close(a, b) >= 0.86)
+    reused = [r for r in rows if not r[2] or not (any(same(r[0], x) for x in have) or covered(r[0], have))]
+    inside = lambda a, b: a != b and f" {a} " in f" {b} "
+    whole = [r for r in reused if not any(inside(g.key(r[0]), g.key(o[0])) and o[1] >= r[1] - 0.08 and g.compatible(r[0], o[0]) for o in reused)]
+    kept = [n for n, _, new in whole if not new]
+    return [r for r in whole if not r[2] or all(max(g.affinity(r[0], x), close(r[0], x)) < 0.86 for x in kept)]
+
+
+def selected(candidates: DataFrame, edges: DataFrame | None = None, least: float = 0.58) -> DataFrame:
+    """query, name, place: of the candidates (query, name, score, is_new) that
+    pruned() leaves, names chosen one by one by score less redundancy with those
+    chosen; at most 192 a query. edges (a, b, score) tell like names by vectors."""
+    if edges is not None:
+        near = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score")
+        names = candidates.select("query", "name")
+        near = near.join(names.withColumnRenamed("name", "a"), "a").join(names.withColumnRenamed("name", "b"), ["query", "b"])
+        near = near.groupBy("query").agg(F.collect_list(F.struct("a", "b", "score")).alias("near"))
+        candidates = candidates.join(near, "query", "left")
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pool = sorted(zip(pdf.score, pdf.name), key=lambda x: (-x[0], x[1]))
+        told = pdf["near"].iloc[0] if edges is not None else None
+        semantic = {frozenset((x["a"], x["b"])): x["score"] for x in (told if told is not None else ())}
+        pool = pruned(sorted(zip(pdf.name, pdf.score, pdf.is_new), key=lambda x: (-x[1], -len(x[0]), x[0])), semantic)
+        redundancy = dict.fromkeys((n for n, _, _ in pool), 0.0)
         taken: list[str] = []
         while pool:
-            best = None
-            for score, name in pool:
-                redundancy = max((g.affinity(name, t) for t in taken), default=0.0)
-                gain = score - 0.48 * redundancy - (0.14 + 0.12 * len(taken) if taken else 0.0)
-                if score >= least and redundancy < 0.86 and gain > 0 and (best is None or gain > best[0]):
-                    best = (gain, score, name)
-            if best is None:
+            cost = 0.14 + 0.12 * len(taken)
+            gains = [(score - 0.48 * redundancy[n] - cost, -i) for i, (n, score, _) in enumerate(pool) if score >= least and redundancy[n] < 0.86]
+            gain, i = max(gains, default=(0.0, 0))
+            if gain <= 0:
                 break
-            taken.append(best[2])
-            pool.remove(best[1:])
+            name = pool.pop(-i)[0]
+            taken.append(name)
+            for n, _, _ in pool:
+                redundancy[n] = max(redundancy[n], g.affinity(n, name), semantic.get(frozenset((n, name)), 0.0))
         return pd.DataFrame([(pdf["query"].iloc[0], n, i + 1) for i, n in enumerate(taken)], columns=["query", "name", "place"])
 
     return candidates.groupBy("query").applyInPandas(choose, "query string, name string, place int")

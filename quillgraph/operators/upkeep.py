@@ -64,3 +64,37 @@ def fresh(cache: DataFrame, epoch: int, revision: int) -> DataFrame:
 def epoch_due(n_docs: int, changes: int, has_epoch: bool = True) -> bool:
     """Whether the frozen statistics have to be made anew: at 5 % of changes, 50 at least and 500 at most."""
     return not has_epoch or changes >= min(500, max(50, -(-n_docs // 20)))
+
+
+SEARCHED = ("title", "body", "custom_key")
+
+
+def dirty(changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """card_id of the notes whose index has to be made again after changes
+    (card_id, op, field, at), and of those that go from it: what was inserted, or
+    updated in a field that is searched, unless the last change deletes it."""
+    last = changes.groupBy("card_id").agg(F.max_by("op", "at").alias("last"))
+    gone = last.where("last = 'delete'").select("card_id")
+    touched = changes.where((F.col("op") == "insert") | ((F.col("op") == "update") & F.col("field").isin(*SEARCHED)) | ((F.col("op") == "delete") & F.col("field").isin(*SEARCHED)))
+    return touched.select("card_id").distinct().join(gone, "card_id", "left_anti"), gone
+
+
+def next_batch(queue: DataFrame, notes: DataFrame, most: int = 50) -> DataFrame:
+    """The next notes of the queue (id), the first by id."""
+    return notes.join(queue.select("id"), "id", "left_semi").orderBy("id").limit(most)
+
+
+def upserted(rows: DataFrame, new: DataFrame, removed: DataFrame, key: str) -> DataFrame:
+    """rows with new ones in place of those of the same key, without the keys removed."""
+    kept = rows.join(new.select(key), key, "left_anti").unionByName(new)
+    return kept.join(removed.select(key), key, "left_anti")
+
+
+def quarantined(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (key, payload: JSON, value: a number of 0 or more, as text) that can
+    be read, and those that can't, with the first reason."""
+    number = F.expr("try_cast(value as double)")
+    broken = F.col("payload").isNull() | F.expr("try_parse_json(payload)").isNull()
+    reason = F.when(broken, "payload").when(number.isNull() | ~(number >= 0), "value")
+    told = rows.withColumn("reason", reason)
+    return told.where("reason is null").drop("reason"), told.where("reason is not null")

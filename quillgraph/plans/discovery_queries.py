@@ -4,37 +4,55 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import DISCOVERY_STOP_WORDS
 from ..operators import discovery as d
 from ..operators import notes as n
 from .registry import query
 
-TITLE_GRAMS = "g AS (SELECT DISTINCT id AS card_id, unnest(list_transform(range(1, length(title)), lambda i: substring(title_folded, i, 2))) AS term FROM v_notes)"
+#: A note's searched text, and its pairs of characters.
+TEXTS = "tx AS (SELECT id, doc_id, title, body, lower(concat_ws(chr(10), title, body, id, custom_key)) AS text FROM v_notes)"
+GRAMS = f"{TEXTS}, g AS (SELECT DISTINCT id AS card_id, unnest(list_transform(range(1, length(text)), lambda i: substring(text, i, 2))) AS term FROM tx)"
+WORDS = """SELECT DISTINCT id, w, unnest(CASE WHEN regexp_matches(x, '^\\p{Han}') THEN list_transform(range(1, length(x)), lambda i: substring(x, i, 2)) ELSE [x] END) AS term
+    FROM (SELECT id, w, unnest(regexp_extract_all(regexp_replace(lower(t), '(?s)```.*?```|https?://\\S+|<[^>]*>|\\[\\[[^\\]]*\\]\\]', ' ', 'g'), '\\p{Han}+|(?:\\p{N}|\\p{Latin}|\\p{M}){3,}')) AS x FROM parts)"""
+KEYS = f"""parts AS (SELECT id, 3 AS w, title AS t FROM tx WHERE doc_id % 100 = 0 UNION ALL SELECT id, 1, substring(body, 1, 12000) FROM tx WHERE doc_id % 100 = 0),
+  kt AS (SELECT id AS query, term FROM (SELECT id, term, row_number() OVER (PARTITION BY id ORDER BY sum(w) DESC, term) AS place FROM ({WORDS}) WHERE length(term) <= 64 AND term NOT IN ({', '.join(f"'{w}'" for w in DISCOVERY_STOP_WORDS)}) GROUP BY id, term) WHERE place <= 16),
+  q AS (SELECT DISTINCT query, unnest(list_transform(range(1, length(term)), lambda i: substring(term, i, 2))) AS term FROM kt)"""
 
 
 def index(s):
-    return n.search_terms(s.v_notes, "title")
+    """Pairs of characters of everything that is searched: title, body, id and key."""
+    return n.search_terms(s.v_notes.select("id", F.concat_ws("\n", "title", "body", "id", "custom_key").alias("body")))
 
 
 def asked(s):
     return s.v_notes.where("doc_id % 100 = 0")
 
 
-@query("gram_idf_candidates", f"""WITH {TITLE_GRAMS}, f AS (SELECT term, count(*) AS n FROM g GROUP BY term), q AS (SELECT card_id AS query, term FROM g JOIN v_notes ON id = card_id WHERE doc_id % 100 = 0)
+def asked_grams(s):
+    """Pairs of characters of the asked notes' heaviest words."""
+    return d.key_terms(asked(s)).select("query", F.explode(n.bigrams("term")).alias("term")).distinct()
+
+
+@query("gram_idf_candidates", f"""WITH {GRAMS}, {KEYS}, f AS (SELECT term, count(*) AS n FROM g GROUP BY term)
   SELECT query, card_id, round(weight, 6) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(weight, 9) DESC, card_id) AS place FROM (SELECT query, g.card_id, sum(1.0::DOUBLE / n) AS weight FROM q JOIN f USING (term) JOIN g USING (term) WHERE g.card_id <> query GROUP BY ALL)) WHERE place <= 100""")
 def gram_idf_candidates(s):
-    grams = index(s)
-    mine = grams.join(asked(s).select(F.col("id").alias("card_id")), "card_id", "left_semi").withColumnRenamed("card_id", "query")
-    return d.gram_candidates(grams, mine).select("query", "card_id", F.round("weight", 6).alias("weight"))
+    return d.gram_candidates(index(s), asked_grams(s)).select("query", "card_id", F.round("weight", 6).alias("weight"))
 
 
 @query("note_candidates")
 def note_candidates(s):
-    grams = index(s)
-    mine = grams.join(asked(s).select(F.col("id").alias("card_id")), "card_id", "left_semi").withColumnRenamed("card_id", "query")
-    found = d.seeds(asked(s), s.v_links, s.v_parents, s.v_tags, grams, mine)
+    found = d.seeds(asked(s), s.v_links, s.v_parents, s.v_tags, index(s), asked_grams(s))
     return d.ranked(n.active(found, s.v_unavailable, "card_id"), s.v_notes, d.key_terms(asked(s)))
 
 
+@query("parent_candidates")
+def parent_candidates(s):
+    """Without the asked notes themselves and what is below them."""
+    found = d.seeds(asked(s), s.v_links, s.v_parents, s.v_tags, index(s), asked_grams(s))
+    possible = d.as_parents(n.active(found, s.v_unavailable, "card_id"), s.v_parents, asked(s))
+    return d.ranked(possible, s.v_notes, d.key_terms(asked(s)))
+
+
 @query("graph_group")
 def graph_group(s):
     return d.graph_groups(s.v_notes, s.v_tags, ["q0", "q1"])
@@ -77,7 +95,7 @@ def draft_links(s):
     from ..operators.refs import resolve
 
     found = s.v_linktext.select("id", F.explode(links("text")).alias("l")).select("id", F.col("l.ref").alias("ref"))
-    known = resolve(found.select("ref").distinct(), s.v_notes, s.v_card_notes.where("false")).select("ref", "target")
+    known = resolve(found.select("ref").distinct(), s.v_notes, s.v_card_notes).select("ref", "target")
     return found.join(known, "ref", "left").select("id", "ref", "target")
 
 

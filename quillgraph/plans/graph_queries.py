@@ -38,12 +38,13 @@ def hierarchy_cycles(s):
     return g.cycles(turned)
 
 
-@query("move_check", """WITH RECURSIVE m AS (SELECT lpad(CAST(doc_id AS VARCHAR), 14, '0') AS card_id, lpad(CAST((doc_id * 37) % 300 AS VARCHAR), 14, '0') AS parent_id FROM v_notes WHERE doc_id < 60),
+@query("move_check", """WITH RECURSIVE m AS (SELECT lpad(CAST(doc_id AS VARCHAR), 14, '0') AS card_id, lpad(CAST((doc_id * 37) % (SELECT count(*) FROM v_notes) AS VARCHAR), 14, '0') AS parent_id FROM v_notes),
   r(id, spot) AS (SELECT parent_id, parent_id FROM m UNION SELECT r.id, p.parent_id FROM r JOIN v_parents p ON p.card_id = r.spot WHERE p.parent_id IS NOT NULL)
   SELECT card_id, parent_id, EXISTS (SELECT 1 FROM r WHERE r.id = m.parent_id AND r.spot = m.card_id) AS cycle FROM m""")
 def move_check(s):
     pad = lambda c: F.lpad(c.cast("string"), 14, "0")
-    return g.would_cycle(s.v_parents, s.v_notes.where("doc_id < 60").select(pad(F.col("doc_id")).alias("card_id"), pad(F.col("doc_id") * 37 % 300).alias("parent_id")))
+    size = s.v_notes.agg(F.count("*").alias("n"))  # one row
+    return g.would_cycle(s.v_parents, s.v_notes.crossJoin(size).select(pad(F.col("doc_id")).alias("card_id"), pad(F.col("doc_id") * 37 % F.col("n")).alias("parent_id")))
 
 
 @query("inherited_tags", """WITH RECURSIVE f AS (SELECT id FROM v_notes z WHERE NOT EXISTS (SELECT 1 FROM v_unavailable u WHERE u.card_id = z.id)), r(id, holder, depth) AS (SELECT id, id, 0 FROM f

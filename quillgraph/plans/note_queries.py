@@ -66,9 +66,10 @@ def search_by_tag(s):
     return n.search(s.v_notes, "the", s.v_unavailable, tagged=s.v_tags.where("tag in ('en', 'src1')")).select("id", "title", "search_rank")
 
 
-@query("search_include_exclude", f"SELECT id FROM v_notes z WHERE {ACTIVE} AND {holds('the')} AND id <= '00000000000300' AND id NOT IN ('00000000000010', '00000000000011')")
+@query("search_include_exclude", f"SELECT id FROM v_notes z WHERE {ACTIVE} AND {holds('the')} AND id IN (SELECT source_id FROM v_links WHERE target_id IS NOT NULL) AND id NOT IN (SELECT card_id FROM v_tags WHERE tag = 'q0')")
 def search_include_exclude(s):
-    return n.search(s.v_notes.where("id <= '00000000000300'"), "the", s.v_unavailable, exclude=["00000000000010", "00000000000011"]).select("id")
+    include = s.v_links.where("target_id is not null").select(F.col("source_id").alias("id"))
+    return n.search(s.v_notes, "the", s.v_unavailable, include=include, exclude=s.v_tags.where("tag = 'q0'").select(F.col("card_id").alias("id"))).select("id")
 
 
 @query("search_indexed", f"SELECT id, {rank(QUERY)} AS search_rank FROM v_notes z WHERE {ACTIVE} AND {holds('the', 'tion')}")
@@ -115,12 +116,12 @@ def gram_division(s):
     return n.gram_division(n.search_terms(s.v_notes), "erati")
 
 
-@query("index_delta", """WITH o AS (SELECT DISTINCT id AS card_id, unnest(list_transform(range(1, length(title)), lambda i: substring(title_folded, i, 2))) AS term FROM v_notes),
-  w AS (SELECT DISTINCT id AS card_id, unnest(list_transform(range(1, length(title) - CASE WHEN doc_id % 7 = 0 THEN 10 ELSE 0 END), lambda i: substring(title_folded, i, 2))) AS term FROM v_notes)
+@query("index_delta", """WITH o AS (SELECT DISTINCT id AS card_id, unnest(list_transform(range(1, length(body)), lambda i: substring(lower(body), i, 2))) AS term FROM v_notes),
+  w AS (SELECT DISTINCT id AS card_id, unnest(list_transform(range(1, length(body) - CASE WHEN doc_id % 7 = 0 THEN 10 ELSE 0 END), lambda i: substring(lower(body), i, 2))) AS term FROM v_notes)
   SELECT term, card_id, 'removed' AS change FROM (SELECT * FROM o EXCEPT SELECT * FROM w) UNION ALL SELECT term, card_id, 'added' FROM (SELECT * FROM w EXCEPT SELECT * FROM o)""")
 def index_delta(s):
-    after = s.v_notes.withColumn("title", F.when(F.col("doc_id") % 7 == 0, F.expr("substring(title, 1, length(title) - 10)")).otherwise(F.col("title")))
-    return n.delta(n.search_terms(s.v_notes, "title"), n.search_terms(after, "title"))
+    after = s.v_notes.withColumn("body", F.when(F.col("doc_id") % 7 == 0, F.expr("substring(body, 1, length(body) - 10)")).otherwise(F.col("body")))
+    return n.delta(n.search_terms(s.v_notes), n.search_terms(after))
 
 
 @query("note_counts", f"""WITH a AS (SELECT note_type FROM v_notes z WHERE {ACTIVE}) SELECT t.note_type, count(a.note_type) AS n FROM (SELECT unnest(['literature', 'zettel', 'thinking', 'entity']) AS note_type) t LEFT JOIN a USING (note_type) GROUP BY ALL

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.text import STOP_WORDS
 from ..operators import dense as d
 from ..operators import lexical as x
+from ..sources.scratch import materialize
 from .registry import query
 
 STOP = "[" + ", ".join(f"'{w}'" for w in sorted(STOP_WORDS)) + "]"
@@ -90,15 +91,13 @@ def simhash(s):
     return x.simhashes(x.counts(s.v_corpus))
 
 
-@query("near_duplicates", f"""WITH {SIGNATURE}, k AS (SELECT doc_key FROM v_corpus JOIN (SELECT doc_key, sum(tf * [4.0::DOUBLE, 2.0, 1.0][field + 1]) AS len FROM c GROUP BY doc_key) USING (doc_key) WHERE NOT weak AND len >= 100),
-  e AS (SELECT DISTINCT a.doc_key, b.doc_key AS other FROM v_corpus a JOIN v_corpus b ON a.hash = b.hash AND a.doc_key < b.doc_key WHERE a.doc_key IN (SELECT doc_key FROM k) AND b.doc_key IN (SELECT doc_key FROM k)) SELECT doc_key, other FROM e""")
+@query("near_duplicates")
 def near_duplicates(s):
-    """Equal texts among the near duplicates; the others depend on the hash and are held against brute force in the tests."""
-    counted = x.counts(s.v_corpus)
+    """Pairs of class representatives, and the members of each class under its representative."""
+    counted = materialize(x.counts(s.v_corpus))
     sig = x.signatures(x.weights(s.v_corpus, counted))
-    found = x.near_duplicates(x.simhashes(counted), sig, s.v_corpus.select("doc_key", "weak"))
-    texts = s.v_corpus.select("doc_key", "hash")
-    return found.join(texts, "doc_key").join(texts.select(F.col("doc_key").alias("other"), F.col("hash").alias("hash2")), "other").where("hash = hash2").select("doc_key", "other")
+    pairs, members = x.near_duplicates(x.simhashes(counted), sig, s.v_corpus.select("doc_key", "weak"))
+    return pairs.withColumn("member", F.lit(False)).union(members.where("doc_key != copy_of").select("copy_of", "doc_key", F.lit(1.0), F.lit(True)))
 
 
 @query("similar_items")
@@ -128,9 +127,9 @@ def semantic_preview(s):
     return d.fused(ranked, 2, 100).select("query", F.col("doc_key").alias("key"), F.round("fused", 6).alias("fused"))
 
 
-@query("vector_pairs")
+@query("vector_pairs", f"WITH {VECTORS} SELECT a.key AS a, b.key AS b, round(list_cosine_similarity(a.v, b.v), 5) AS score FROM v a JOIN v b ON a.library = b.library AND a.key < b.key AND list_cosine_similarity(a.v, b.v) >= 0.5")
 def vector_pairs(s):
-    return d.vector_pairs(vectors(s))
+    return d.vector_pairs(vectors(s), 0.5).select("a", "b", F.round("score", 5).alias("score"))
 
 
 @query("vector_norms", f"WITH {VECTORS} SELECT key, round(sqrt(list_dot_product(v, v)), 5) AS norm FROM v")
@@ -153,7 +152,19 @@ def pooled_embedding(s):
     return d.pooled(parts).select("key", F.round(F.array_max("vector"), 5).alias("top"), F.round(F.array_min("vector"), 5).alias("low"))
 
 
-RANKS = "r AS (SELECT *, row_number() OVER (PARTITION BY query, channel ORDER BY score DESC, doc_key) - 1 AS r FROM v_rankings)"
+def rankings(s):
+    """Each asked document's first hundred by shared features (channel 0) and by vectors (1)."""
+    sig = signature(s)
+    one = x.candidates(x.query_terms(sig.join(asked(s).select("doc_key"), "doc_key", "left_semi")), sig, 100).select(F.lit(0).alias("channel"), "query", "doc_key", F.round("score", 6).alias("score"))
+    v = s.v_corpus.join(s.embeddings, F.col("doc_id") == F.col("vec_id")).select(F.col("doc_key").alias("key"), "library", F.col("embedding").alias("vector"), "doc_id")
+    two = d.nearest(v, v.where("doc_id % 100 = 0"), 100).select(F.lit(1), "query", F.col("key").alias("doc_key"), F.round("score", 6).alias("score"))
+    return one.union(two)
+
+
+RANKINGS = f"""{FOUND}, dv AS (SELECT doc_key, doc_id, library, list_transform(embedding, lambda e: e::DOUBLE) AS v FROM v_corpus JOIN embeddings ON vec_id = doc_id),
+  rk AS (SELECT 0 AS channel, query, doc_key, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_key) AS k FROM f) WHERE k <= 100
+    UNION ALL SELECT 1, query, doc_key, round(score, 6) FROM (SELECT q.doc_key AS query, v.doc_key, least(1.0, list_cosine_similarity(q.v, v.v)) AS score, row_number() OVER (PARTITION BY q.doc_key ORDER BY list_cosine_similarity(q.v, v.v) DESC, v.doc_key) AS k FROM dv q JOIN dv v ON v.library = q.library WHERE q.doc_id % 100 = 0 AND v.doc_key <> q.doc_key AND list_cosine_similarity(q.v, v.v) > 0) WHERE k <= 100)"""
+RANKS = "r AS (SELECT *, row_number() OVER (PARTITION BY query, channel ORDER BY score DESC, doc_key) - 1 AS r FROM rk)"
 FUSED = "SELECT query, doc_key, sum(1.0 / (61 + r)) / (2 / 61.0::DOUBLE) AS fused, max(score) FILTER (WHERE channel = 0) AS lexical_score, max(score) FILTER (WHERE channel = 1) AS semantic_score FROM {0} WHERE r < 100 GROUP BY ALL"
 PLACED = "SELECT query, doc_key, round(fused, 6) AS fused, round(lexical_score, 6) AS lexical_score, round(semantic_score, 6) AS semantic_score, place FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY fused DESC, doc_key) AS place FROM ({0})) WHERE place <= 50"
 
@@ -162,21 +173,23 @@ def shown(rows):
     return rows.select("query", "doc_key", *[F.round(c, 6).alias(c) for c in ("fused", "lexical_score", "semantic_score")], F.col("place").cast("long").alias("place"))
 
 
-@query("rrf_fusion", f"WITH {RANKS} {PLACED.format(FUSED.format('r'))}")
+@query("rrf_fusion", f"WITH {RANKINGS}, {RANKS} {PLACED.format(FUSED.format('r'))}")
 def rrf_fusion(s):
-    return shown(d.fused(s.v_rankings, 2))
+    return shown(d.fused(rankings(s), 2))
 
 
-@query("relevance_floor", """SELECT query, channel, doc_key, round(score, 6) AS score FROM (SELECT *, max(score) OVER (PARTITION BY query, channel) AS best FROM v_rankings WHERE score > 0) WHERE score >= CASE channel WHEN 0 THEN greatest(0.05, 0.2 * best) ELSE greatest(0.4, 0.7 * best) END""")
+@query("relevance_floor", f"""WITH {RANKINGS} SELECT query, channel, doc_key, round(score, 6) AS score FROM (SELECT *, max(score) OVER (PARTITION BY query, channel) AS best FROM rk WHERE score > 0) WHERE score >= CASE channel WHEN 0 THEN greatest(0.05, 0.2 * best) ELSE greatest(0.4, 0.7 * best) END""")
 def relevance_floor(s):
-    one, two = s.v_rankings.where("channel = 0"), s.v_rankings.where("channel = 1")
+    rows = materialize(rankings(s))
+    one, two = rows.where("channel = 0"), rows.where("channel = 1")
     return d.relevant(one, "text").union(d.relevant(two, "semantic")).select("query", "channel", "doc_key", F.round("score", 6).alias("score"))
 
 
-@query("hybrid_recommend", f"""WITH k AS (SELECT * FROM (SELECT *, max(score) OVER (PARTITION BY query, channel) AS best FROM v_rankings WHERE score > 0) WHERE score >= CASE channel WHEN 0 THEN greatest(0.05, 0.2 * best) ELSE greatest(0.4, 0.7 * best) END),
+@query("hybrid_recommend", f"""WITH {RANKINGS}, k AS (SELECT * FROM (SELECT *, max(score) OVER (PARTITION BY query, channel) AS best FROM rk WHERE score > 0) WHERE score >= CASE channel WHEN 0 THEN greatest(0.05, 0.2 * best) ELSE greatest(0.4, 0.7 * best) END),
   r AS (SELECT *, row_number() OVER (PARTITION BY query, channel ORDER BY score DESC, doc_key) - 1 AS r FROM k) {PLACED.format(FUSED.format('r'))}""")
 def hybrid_recommend(s):
-    of = lambda c: s.v_rankings.where(F.col("channel") == c).select("query", "doc_key", "score")
+    rows = materialize(rankings(s))
+    of = lambda c: rows.where(F.col("channel") == c).select("query", "doc_key", "score")
     return shown(d.hybrid(of(0), of(1)))
 
 

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import tagging as t
+from ..operators import dense as d
+from ..operators import lexical as x
 from ..operators import tags as g
 from .registry import query
+from .retrieval_queries import COUNTS
 
 RULES = t.Exclusions.of("src1*, q0")
 #: A tag's key, for ASCII names.
@@ -78,9 +81,53 @@ def remove_tags(s):
     return g.merged(s.v_tags, ["en", "de"], None)
 
 
-@query("format_plan", "SELECT tag, concat(upper(left(tag, 1)), lower(substring(tag, 2))) AS \"to\", CASE WHEN concat(upper(left(tag, 1)), lower(substring(tag, 2))) = tag THEN 'unchanged' WHEN left(tag, 1) = 'u' THEN 'protected' ELSE 'change' END AS status, count(DISTINCT card_id) AS items FROM v_tags WHERE regexp_matches(tag, '^[a-z]{2,}$') GROUP BY tag")
+FIRST = "regexp_extract(tag, '[\\p{L}\\p{M}\\p{N}]+(?:[''’][\\p{L}\\p{M}]+)?[+#]*')"
+#: Sentence case of a tag that has no capitals but in words of mixed case: only its first word can change.
+SENTENCE = f"CASE WHEN {FIRST} <> '' AND regexp_matches({FIRST}, '^[a-z]+(?:[''’][a-z]+)?$') AND (length({FIRST}) > 1 OR {FIRST} = 'a') THEN concat(left(tag, strpos(tag, {FIRST}) - 1), upper(left({FIRST}, 1)), substring(tag, strpos(tag, {FIRST}) + 1)) ELSE tag END"
+PLAN = f"""t AS (SELECT tag, count(DISTINCT card_id) AS items FROM v_tags GROUP BY tag), f AS (SELECT tag, items, CASE WHEN regexp_matches(tag, '[:/\\\\_]|^\\s*##') THEN tag ELSE {SENTENCE} END AS "to" FROM t),
+  plan AS (SELECT tag, "to", CASE WHEN regexp_matches(tag, '[:/\\\\_]|^\\s*##') THEN 'structured' WHEN tag = "to" THEN 'unchanged' WHEN regexp_matches({KEY.format('"to"')}, '^u') THEN 'protected' WHEN "to" IN (SELECT tag FROM t) OR count(*) OVER (PARTITION BY "to") > 1 THEN 'collision' ELSE 'change' END AS status, items FROM f)"""
+
+
+@query("format_plan", f'WITH {PLAN} SELECT tag, "to", status, items FROM plan')
 def format_plan(s):
-    return g.format_plan(s.v_tags.where("tag rlike '^[a-z]{2,}$'"), t.Exclusions.of("u*"))
+    return g.format_plan(s.v_tags, t.Exclusions.of("u*"))
+
+
+@query("applied_plan", f"""WITH {PLAN} SELECT DISTINCT card_id, CASE WHEN status = 'change' AND items % 3 <> 0 THEN "to" ELSE v.tag END AS tag FROM v_tags v JOIN plan p ON p.tag = v.tag""")
+def applied_plan(s):
+    """A plan of before, by which some tags had another number of items."""
+    now = g.format_plan(s.v_tags, t.Exclusions.of("u*"))
+    before = now.withColumn("items", F.when(F.col("items") % 3 == 0, F.col("items") + 1).otherwise(F.col("items")))
+    return g.applied(s.v_tags, before, now)
+
+
+@query("added_tags", "SELECT DISTINCT card_id, tag FROM v_tags UNION SELECT id, name FROM v_notes, (SELECT 'to read' AS name UNION SELECT 'src2') WHERE doc_id % 10 = 0")
+def added_tags(s):
+    names = s.spark.createDataFrame([("to read",), ("src2",), (" ",), ("x" * 256,), ("a\nb",)], "name string")
+    return g.added(s.v_tags, s.v_notes.where("doc_id % 10 = 0").select(F.col("id").alias("card_id")), names)[0]
+
+
+@query("tag_vocabulary", f"SELECT DISTINCT library, tag FROM v_tags JOIN v_notes ON id = card_id WHERE {VISIBLE}")
+def tag_vocabulary(s):
+    return g.vocabulary(s.v_tags, s.v_notes, RULES)
+
+
+@query("tag_search", "SELECT DISTINCT tag FROM v_tags WHERE contains(lower(tag), 'src1')")
+def tag_search(s):
+    return g.searched(s.v_tags.select("tag").distinct(), "Src1")
+
+
+@query("tag_list", "SELECT tag, count(DISTINCT card_id) AS items, left(tag, 1) AS \"group\" FROM v_tags GROUP BY tag ORDER BY items DESC, tag")
+def tag_list(s):
+    return g.ordered(g.usage(s.v_tags).withColumn("group", F.substring("tag", 1, 1)))
+
+
+@query("preferred_names", f"""WITH n AS (SELECT name, {KEY.format('name')} AS k FROM v_tag_names), u AS (SELECT p_brand AS name, count(*) AS items FROM part GROUP BY ALL UNION ALL SELECT p_type, count(*) FROM part GROUP BY ALL),
+  r AS (SELECT k, name, coalesce(items, 0) AS items, row_number() OVER (PARTITION BY k ORDER BY coalesce(items, 0) DESC, name) AS place FROM n LEFT JOIN u USING (name)) SELECT k AS "group", name FROM r WHERE place = 1""")
+def preferred_names(s):
+    groups = s.v_tag_names.select("name", t.key_of("name").alias("group"))
+    uses = s.part.select(F.explode(F.array("p_brand", "p_type")).alias("tag")).groupBy("tag").agg(F.count("*").alias("items"))
+    return g.preferred(groups, uses).select("group", "name")
 
 
 @query("format_tag")
@@ -94,21 +141,80 @@ def phrases(s):
 
 
 EVIDENCE = "SELECT id AS query, tag AS name, CASE WHEN strpos(title_folded, tag) > 0 THEN 1 ELSE 0 END AS in_title, doc_id % 3 AS in_abstract, CASE WHEN strpos(lower(body), tag) > 0 THEN 2 ELSE 0 END AS body_hits, CASE WHEN doc_id % 2 = 0 THEN (doc_id % 10) / 4.0e0 END AS vote, doc_id % 5 = 0 AS is_new FROM v_notes JOIN v_tags ON card_id = id"
+SCORED = f"""e AS ({EVIDENCE}), d AS (SELECT *, coalesce(vote, 0) / greatest(1.0, max(coalesce(vote, 0)) OVER (PARTITION BY query)) AS support,
+    CASE WHEN in_title > 0 THEN 0.84 + CASE WHEN in_abstract > 0 THEN 0.04 ELSE 0 END + CASE WHEN body_hits > 0 THEN 0.02 ELSE 0 END WHEN in_abstract > 0 THEN 0.65 + least(0.08, (in_abstract - 1) * 0.04) WHEN body_hits >= 2 THEN 0.59 + least(0.09, log2(body_hits) * 0.025) ELSE 0 END AS direct FROM e),
+  sc AS (SELECT *, direct + 0.08 * support - CASE WHEN is_new THEN 0.025 ELSE 0 END AS score FROM d WHERE in_title > 0 OR in_abstract > 0 OR body_hits >= 2 OR vote IS NOT NULL)"""
 
 
-@query("tag_scores", f"""WITH e AS ({EVIDENCE}), d AS (SELECT *, coalesce(vote, 0) / greatest(1.0, max(coalesce(vote, 0)) OVER (PARTITION BY query)) AS support FROM e)
-  SELECT query, name, round(CASE WHEN in_title > 0 THEN 0.84 + CASE WHEN in_abstract > 0 THEN 0.04 ELSE 0 END + CASE WHEN body_hits > 0 THEN 0.02 ELSE 0 END WHEN in_abstract > 0 THEN 0.65 + least(0.08, (in_abstract - 1) * 0.04) WHEN body_hits >= 2 THEN 0.59 + least(0.09, log2(body_hits) * 0.025) ELSE 0 END
-    + 0.08 * support - CASE WHEN is_new THEN 0.025 ELSE 0 END, 6) AS score FROM d WHERE in_title > 0 OR in_abstract > 0 OR body_hits >= 2 OR vote IS NOT NULL""")
-def tag_scores(s):
+def scored(s):
     own = s.v_notes.join(s.v_tags, F.col("card_id") == F.col("id"))
     evidence = own.select(
         F.col("id").alias("query"), F.col("tag").alias("name"), F.when(F.contains("title_folded", "tag"), 1).otherwise(0).alias("in_title"), (F.col("doc_id") % 3).alias("in_abstract"),
         F.when(F.contains(F.lower("body"), F.col("tag")), 2).otherwise(0).alias("body_hits"), F.when(F.col("doc_id") % 2 == 0, F.col("doc_id") % 10 / 4.0).alias("vote"), (F.col("doc_id") % 5 == 0).alias("is_new"),
     )
-    return g.scored(evidence).select("query", "name", F.round("score", 6).alias("score"))
+    return g.scored(evidence)
+
+
+@query("tag_scores", f"WITH {SCORED} SELECT query, name, round(score, 6) AS score FROM sc")
+def tag_scores(s):
+    return scored(s).select("query", "name", F.round("score", 6).alias("score"))
+
+
+@query("indexed_hits", f"""WITH {COUNTS}, b AS (SELECT doc_key, feature, sum(tf) AS tf FROM c WHERE field = 2 GROUP BY ALL), n AS (SELECT DISTINCT doc_key, feature AS name FROM c WHERE field = 0 AND feature LIKE 'b:%'),
+  p AS (SELECT doc_key, name, unnest([name, concat('w:', split_part(substring(name, 3), ' ', 1)), concat('w:', split_part(substring(name, 3), ' ', 2))]) AS feature FROM n) SELECT doc_key, substring(name, 3) AS name, min(coalesce(tf, 0))::BIGINT AS hits FROM p LEFT JOIN b USING (doc_key, feature) GROUP BY ALL""")
+def indexed_hits(s):
+    """Pairs of a title's words, by their own feature and those of both words."""
+    counted = x.counts(s.v_corpus)
+    pair = counted.where("field = 0 and startswith(feature, 'b:')").select("doc_key", F.substring("feature", 3, 1000).alias("name")).distinct()
+    w = lambda k: F.concat(F.lit("w:"), F.split_part("name", F.lit(" "), F.lit(k)))
+    names = pair.select("doc_key", "name", F.explode(F.array(F.concat(F.lit("b:"), "name"), w(1), w(2))).alias("feature"))
+    return g.indexed_hits(names, counted.where("field = 2")).select("doc_key", "name", F.col("hits").cast("long").alias("hits"))
+
+
+GROUNDED = f"""{SCORED}, m AS (SELECT *, CASE WHEN length(name) % 4 > 0 THEN length(name) % 10 / 10.0::DOUBLE END AS similarity, max(in_title > 0) OVER (PARTITION BY query) AS titled FROM sc),
+  k AS (SELECT *, greatest(similarity, 0) AS sim FROM m WHERE NOT (titled AND in_title = 0 AND in_abstract = 1 AND body_hits < 2 AND support = 0) AND NOT (direct = 0 AND NOT (support > 0 AND coalesce(similarity >= 0.38, FALSE)))
+    AND NOT (is_new AND in_title = 0 AND in_abstract = 0 AND NOT (body_hits >= 3 AND coalesce(similarity >= 0.3, TRUE))) AND NOT (in_title = 0 AND coalesce(similarity < 0.25, FALSE)))"""
+
+
+@query("grounded_tags", f"WITH {GROUNDED} SELECT query, name, round(least(1.0, score + 0.14 * coalesce(sim, 0) + CASE WHEN direct = 0 THEN 0.45 + 0.22 * support ELSE 0 END), 6) AS score FROM k")
+def grounded_tags(s):
+    rows = scored(s).withColumn("similarity", F.when(F.length("name") % 4 > 0, F.length("name") % 10 / 10.0))
+    return g.grounded(rows.withColumn("incidental", F.lit(False))).select("query", "name", F.round("score", 6).alias("score"))
+
+
+def mined(s):
+    """Phrases of each document as candidates: known ones are those that two documents or more have."""
+    found = g.phrases(s.v_corpus)
+    known = found.groupBy("phrase").agg(F.count("*").alias("docs"))
+    rows = found.select(F.col("doc_key").alias("query"), F.col("phrase").alias("name"), F.col("t").alias("in_title"), F.col("a").alias("in_abstract"), F.col("b").alias("body_hits"), F.lit(None).cast("double").alias("vote"), "phrase")
+    return g.scored(rows.join(known, "phrase").withColumn("is_new", F.col("docs") < 2).drop("docs", "phrase"))
 
 
 @query("tag_selection")
 def tag_selection(s):
-    found = g.phrases(s.v_corpus, 24)
-    return g.selected(found.select(F.col("doc_key").alias("query"), F.col("phrase").alias("name"), F.least(F.lit(1.0), 0.6 + 0.04 * F.col("t") + 0.02 * F.col("a") + 0.01 * F.col("b")).alias("score")))
+    rows = mined(s).withColumn("similarity", F.lit(None).cast("double")).withColumn("incidental", F.lit(False))
+    return g.selected(g.grounded(rows).select("query", "name", "score", "is_new"))
+
+
+def tag_vectors(s):
+    """key and vector: the mean of the vectors of the notes that have a tag."""
+    own = s.v_tags.join(s.v_notes.select(F.col("id").alias("card_id"), "doc_id"), "card_id").join(s.embeddings, F.col("doc_id") == F.col("vec_id"))
+    return d.pooled(own.select(F.col("tag").alias("key"), F.lit(1).alias("chunk"), F.col("embedding").alias("vector")))
+
+
+TAG_VECTORS = """tp AS (SELECT tag, unnest(list_transform(embedding, lambda e: e::DOUBLE)) AS x, unnest(range(len(embedding))) AS dim FROM v_tags JOIN v_notes ON id = card_id JOIN embeddings ON vec_id = doc_id), tm AS (SELECT tag, dim, sum(x) AS x FROM tp GROUP BY ALL),
+  tv AS (SELECT tag, list(x ORDER BY dim) AS v FROM tm GROUP BY tag)"""
+
+
+@query("tag_similarity", f"WITH {TAG_VECTORS} SELECT id AS query, v_tags.tag AS name, round(list_cosine_similarity(list_transform(embedding, lambda e: e::DOUBLE), tv.v), 5) AS similarity FROM v_tags JOIN v_notes ON id = card_id JOIN embeddings ON vec_id = doc_id JOIN tv ON tv.tag = v_tags.tag")
+def tag_similarity(s):
+    docs = s.v_notes.join(s.embeddings, F.col("doc_id") == F.col("vec_id")).select(F.col("id").alias("key"), F.col("embedding").alias("vector"))
+    found = d.tag_similarities(s.v_tags.select(F.col("card_id").alias("query"), F.col("tag").alias("name")), docs, tag_vectors(s))
+    return found.select("query", "name", F.round("similarity", 5).alias("similarity"))
+
+
+@query("merged_tag_groups")
+def merged_tag_groups(s):
+    names = s.v_tags.select(F.col("tag").alias("name")).distinct()
+    pairs = g.duplicate_pairs(names)
+    return g.merged_groups(g.duplicate_groups(names, pairs), pairs, d.vector_pairs(tag_vectors(s).withColumn("library", F.lit(0))))

@@ -36,7 +36,6 @@ VIEWS = {
     "v_changes": """SELECT cast(cast(ts AS date) AS varchar(10)) AS batch, user_id, event_type, event_id FROM events""",
     "v_tag_names": """SELECT DISTINCT p_type AS name FROM part UNION SELECT DISTINCT p_brand FROM part UNION SELECT DISTINCT lower(replace(p_type, ' ', '-')) FROM part UNION SELECT DISTINCT concat(p_brand, 's') FROM part""",
     "v_usage": """SELECT l_partkey AS tag, l_orderkey AS item FROM lineitem""",
-    "v_rankings": """SELECT 0 AS channel, doc_id % 50 AS query, lpad(cast(doc_id AS varchar(20)), 14, '0') AS doc_key, ((doc_id * 7919) % 1000) / 1000.0e0 AS score FROM documents UNION ALL SELECT 1, doc_id % 50, lpad(cast(doc_id AS varchar(20)), 14, '0'), ((doc_id * 104729) % 1000) / 1000.0e0 FROM documents WHERE doc_id % 3 <> 0""",
 }
 
 
