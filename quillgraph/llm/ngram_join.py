@@ -80,20 +80,24 @@ def shingles(text: str | None, hashes: Hashes) -> np.ndarray:
     return np.unique(h)
 
 
+def text_key(text: str | None) -> bytes:
+    return xxhash.xxh3_128_digest((text or "").encode("utf-8", "surrogatepass"))
+
+
 def prefix_size(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + 1
 
 
 def described(docs: DataFrame, chunk: int = 1_500_000) -> DataFrame:
-    """Rows of two kinds: each document's doc_id, set (c), size (n) and sketch;
-    and shingles (t) that many documents (m) of a chunk hold."""
+    """Rows of two kinds: each document's doc_id, text (x), set (c), size (n) and
+    sketch; and shingles (t) that many documents (m) of a chunk hold."""
 
     def frequent(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         t, m = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, int))
         some = m >= max(3, len(held) // 2000)
         return t[some], m[some]
 
-    names = ["doc_id", "c", "n", "sketch", "t", "m"]
+    names = ["doc_id", "x", "c", "n", "sketch", "t", "m"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, held, total = Hashes(), [], 0
@@ -101,12 +105,13 @@ def described(docs: DataFrame, chunk: int = 1_500_000) -> DataFrame:
         def often():
             t, m = frequent(held)
             k = len(t)
-            return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.list_(pa.int64())), pa.array(t.view(np.int64)), pa.array(m.astype(np.int64))], names=names)
+            return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.list_(pa.int64())), pa.array(t.view(np.int64)), pa.array(m.astype(np.int64))], names=names)
 
         for b in batches:
-            c, n, sketch = [], [], []
+            x, c, n, sketch = [], [], [], []
             for text in b.column(1).to_pylist():
                 s = shingles(text, hashes)
+                x.append(text_key(text))
                 c.append(xxhash.xxh3_128_digest(s.tobytes()))
                 n.append(len(s))
                 odd = np.bincount((s >> np.uint64(65 - BITS.bit_length())).astype(np.int64), minlength=BITS) & 1
@@ -117,10 +122,10 @@ def described(docs: DataFrame, chunk: int = 1_500_000) -> DataFrame:
                     yield often()
                     held, total = [], 0
             k = len(c)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(c, pa.binary()), pa.array(n, pa.int32()), pa.array(sketch, pa.list_(pa.int64())), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], names=names)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.binary()), pa.array(c, pa.binary()), pa.array(n, pa.int32()), pa.array(sketch, pa.list_(pa.int64())), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], names=names)
         yield often()
 
-    return docs.mapInArrow(run, "doc_id long, c binary, n int, sketch array<long>, t long, m long")
+    return docs.mapInArrow(run, "doc_id long, x binary, c binary, n int, sketch array<long>, t long, m long")
 
 
 def first_shingles(docs: DataFrame, hot: np.ndarray, percent: int) -> DataFrame:
@@ -287,41 +292,41 @@ def verified(found: DataFrame, classes: DataFrame, texts: DataFrame, percent: in
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """c and z, a packed text, of the wanted classes (c)."""
+    """c and z, a packed text of each of the wanted classes (c, x: one of its texts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen, packer = Hashes(), set(), zstandard.ZstdCompressor(level=3)
+        packer, seen = zstandard.ZstdCompressor(level=3), set()
         for b in batches:
             for at in range(0, b.num_rows, 500):
-                c, z = [], []
+                x, z = [], []
                 for text in b.column(1).slice(at, 500).to_pylist():
-                    s = shingles(text, hashes)
-                    key = xxhash.xxh3_128_digest(s.tobytes())
-                    if len(s) and key not in seen:
+                    raw = (text or "").encode("utf-8", "surrogatepass")
+                    key = xxhash.xxh3_128_digest(raw)
+                    if key not in seen:
                         if len(seen) < 100_000:
                             seen.add(key)
-                        c.append(key)
-                        z.append(packer.compress(text.encode("utf-8", "surrogatepass")))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()), pa.array(z, pa.binary())], names=["c", "z"])
+                        x.append(key)
+                        z.append(packer.compress(raw))
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(z, pa.binary())], names=["x", "z"])
 
-    packed = docs.mapInArrow(run, "c binary, z binary")
-    return packed.join(wanted.hint("shuffle_hash"), "c", "left_semi").dropDuplicates(["c"])
+    packed = docs.mapInArrow(run, "x binary, z binary")
+    return packed.join(wanted.hint("shuffle_hash"), "x").select("c", "z").dropDuplicates(["c"])
 
 
 def near_documents(docs: DataFrame, percent: int = 80, hot_share: float = 0.001, max_hot: int = 500_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of each row of docs."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     seen = materialize(described(docs))
-    members = seen.where("c is not null").select("doc_id", "c", "n", "sketch")
+    members = seen.where("c is not null").select("doc_id", "x", "c", "n", "sketch")
     rows = members.count()
     # at most max_hot; which they are steers the order of shingles only
     often = seen.where("t is not null").groupBy("t").agg(F.sum("m").alias("m")).where(F.col("m") >= max(3, hot_share * rows)).orderBy(F.desc("m"), "t").limit(max_hot).select("t").toPandas()["t"]
     hot = np.sort(often.to_numpy(np.int64).view(np.uint64))
     nameless = F.lit(NAMELESS).bitwiseOR(F.shiftrightunsigned(F.xxhash64("c"), 2))
-    classes = materialize(members.where("n > 0").groupBy("c").agg(F.coalesce(F.min("doc_id"), nameless).alias("r"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch")))
+    classes = materialize(members.where("n > 0").groupBy("c").agg(F.coalesce(F.min("doc_id"), nameless).alias("r"), F.any_value("n").alias("n"), F.any_value("x").alias("x"), F.any_value("sketch").alias("sketch")))
     first = materialize(prefixes(docs, classes, hot, percent))
     shared = materialize(shared_by_classes(first))
-    texts = materialize(texts_of(docs, shared.select("c").distinct()))
+    texts = materialize(texts_of(docs, shared.select("c").distinct().join(classes.select("c", "x"), "c")))
     # rows that share a doc_id are one document
     ids = members.where("doc_id is not null and n > 0").join(classes.select("c", "r"), "c").where("doc_id != r").select(F.col("doc_id").alias("ra"), F.col("r").alias("rb")).distinct()
     links = [ids]
