@@ -4,15 +4,22 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders that materialize() has written in the scopes that are open.
+_open_scopes: list[list[str]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where none is named."""
+    """The cluster's shared folder; one of our own only on a single machine, where none is named."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors see")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="quillgraph-"))
         named = sc.getCheckpointDir()
     return named
@@ -23,4 +30,21 @@ def materialize(df: DataFrame) -> DataFrame:
     that outlives any executor."""
     path = f"{shared_dir(df.sparkSession)}/quillgraph-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    for scope in _open_scopes:
+        scope.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[list[str]]:
+    """Removes, at its end, the folders that materialize() wrote in it. Take those
+    that are still needed out of the list."""
+    paths: list[str] = []
+    _open_scopes.append(paths)
+    try:
+        yield paths
+    finally:
+        _open_scopes.remove(paths)
+        for p in paths:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
