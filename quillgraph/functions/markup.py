@@ -30,6 +30,11 @@ def citation_keys(text: str | Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.regexp_replace(text, CODE, " "), F.lit(r"\[@([^\[\]\s]+)\](?!\()"), F.lit(1)))
 
 
+def asset_names(text: str | Column) -> Column:
+    """Names of files under assets/ that links, images, and src or href of HTML lead to, each once."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"""(?:\]\(|(?:src|href)=["'])assets/([^)"'\s]+)"""), F.lit(1)))
+
+
 LINK = r"\[\[[^\[\]]+\]\]"
 
 

@@ -35,9 +35,17 @@ def tag_similarities(candidates: DataFrame, documents: DataFrame, tags: DataFram
     return rows.select("query", "name", dot("q", "t").alias("similarity"))
 
 
+def checked(k: int, most: int = 100) -> int:
+    """k, if that many results may be asked for."""
+    if not 1 <= k <= most:
+        raise ValueError(f"1 to {most} results")
+    return k
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """query, key, score and place: the k vectors (key, library, vector) nearest
     to each query (key, library, vector) in its library, of positive cosine, 1 at most."""
+    checked(k)
     v = vectors.select("key", "library", unit("vector").alias("v")).where("v is not null")
     q = queries.select(F.col("key").alias("query"), "library", unit("vector").alias("q")).where("q is not null")
     rows = v.join(q, "library").where("key != query").select("query", "key", F.least(F.lit(1.0), dot("v", "q")).alias("score")).where("score > 0")

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import STOP_WORDS
 from ..sources.scratch import materialize
+from .dense import checked
 
 FIELDS = ("title", "abstract", "body")
 WEIGHTS, LENGTH_SHARES = (4.0, 2.0, 1.0), (0.3, 0.6, 0.75)
@@ -206,6 +207,7 @@ def without_copies(ranked: DataFrame, copies: DataFrame, members: DataFrame, k:
 
 def similar(corpus: DataFrame, queries: DataFrame, k: int = 20, features: Callable[[str], Column] | None = None) -> DataFrame:
     """query, doc_key, similarity and place: the k most similar documents of each query (doc_key), copies left out."""
+    checked(k)
     counted = materialize(counts(corpus, features))
     signature = signatures(weights(corpus, counted))
     asked = query_terms(signature.join(queries.select("doc_key"), "doc_key", "left_semi"))

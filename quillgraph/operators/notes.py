@@ -283,6 +283,19 @@ def deleted(notes: DataFrame, links: DataFrame, parents: DataFrame, gone: DataFr
     return notes.join(ids, "id", "left_anti"), kept, tree
 
 
+def inserted(current: DataFrame, incoming: DataFrame, key: str = "id", replace: bool = False) -> DataFrame:
+    """current with the incoming rows of the same columns: those of a known key
+    are ignored, or replace the known ones. Incoming keys are unique."""
+    old, new = (current.join(incoming.select(key), key, "left_anti"), incoming) if replace else (current, incoming.join(current.select(key), key, "left_anti"))
+    return old.unionByName(new)
+
+
+def tag_input(notes: DataFrame, card_notes: DataFrame, parents: DataFrame, unavailable: DataFrame) -> DataFrame:
+    """What the tag index reads of each active note: id, note_key and parent_id."""
+    rows = active(notes, unavailable).select("id").join(card_notes.select(F.col("card_id").alias("id"), "note_key"), "id", "left")
+    return rows.join(parents.select(F.col("card_id").alias("id"), "parent_id"), "id", "left")
+
+
 def violations(notes: DataFrame, links: DataFrame, parents: DataFrame) -> DataFrame:
     """rule and key of each row that breaks a constraint."""
     rule = lambda name, rows, key: rows.select(F.lit(name).alias("rule"), F.col(key).cast("string").alias("key"))

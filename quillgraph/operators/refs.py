@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Order in which a reference is looked up; the first that finds one note wins.
-ID, ALIAS, CITATION, HISTORIC, TITLE, FOLDED = range(1, 7)
+ADDRESS, ID, ALIAS, CITATION, HISTORIC, TITLE, FOLDED = range(7)
 
 
 def unique(rows: DataFrame, key: str, target: str = "id") -> DataFrame:
@@ -16,11 +16,13 @@ def unique(rows: DataFrame, key: str, target: str = "id") -> DataFrame:
     return rows.groupBy(key).agg(F.min(target).alias(target), F.countDistinct(target).alias("n")).where("n = 1").drop("n")
 
 
-def resolve(refs: DataFrame, notes: DataFrame, alias: DataFrame, citations: DataFrame | None = None, historic: DataFrame | None = None) -> DataFrame:
-    """ref, target and priority of each ref: by id, alias (note_key, card_id),
+def resolve(refs: DataFrame, notes: DataFrame, alias: DataFrame, citations: DataFrame | None = None, historic: DataFrame | None = None, addresses: DataFrame | None = None) -> DataFrame:
+    """ref, target and priority of each ref: by address (ref, id), id, alias (note_key, card_id),
     citation alias (alias, id), historic reference (ref, id), exact and folded title."""
     plain = refs.where("not startswith(ref, '@')")
     found = [refs.join(notes.select(F.col("id").alias("ref"), F.col("id").alias("target")), "ref").withColumn("priority", F.lit(ID)), refs.join(alias.select(F.col("note_key").alias("ref"), F.col("card_id").alias("target")), "ref").withColumn("priority", F.lit(ALIAS))]
+    if addresses is not None:
+        found.append(refs.join(addresses.select("ref", F.col("id").alias("target")), "ref").withColumn("priority", F.lit(ADDRESS)))
     if citations is not None:
         found.append(refs.join(citations.where("id is not null").select(F.col("alias").alias("ref"), F.col("id").alias("target")), "ref").withColumn("priority", F.lit(CITATION)))
     if historic is not None:

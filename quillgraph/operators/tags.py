@@ -279,10 +279,12 @@ def pruned(rows: list[tuple[str, float, bool]], semantic: dict) -> list[tuple[st
 
 
 def selected(candidates: DataFrame, edges: DataFrame | None = None, least: float = 0.58) -> DataFrame:
-    """query, name, place: of the candidates (query, name, score, is_new) that
+    """query, name, place: of the candidates (query, name, score, is_new: no if left out) that
     pruned() leaves, names chosen one by one by score less redundancy with those
     chosen; at most 192 a query. edges (a, b, score) tell like names by vectors."""
-    if edges is not None:
+    if "is_new" not in candidates.columns:
+        candidates = candidates.withColumn("is_new", F.lit(False))
+    if has_edges := edges is not None:
         near = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score")
         names = candidates.select("query", "name")
         near = near.join(names.withColumnRenamed("name", "a"), "a").join(names.withColumnRenamed("name", "b"), ["query", "b"])
@@ -290,7 +292,7 @@ def selected(candidates: DataFrame, edges: DataFrame | None = None, least: float
         candidates = candidates.join(near, "query", "left")
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        told = pdf["near"].iloc[0] if edges is not None else None
+        told = pdf["near"].iloc[0] if has_edges else None
         semantic = {frozenset((x["a"], x["b"])): x["score"] for x in (told if told is not None else ())}
         pool = pruned(sorted(zip(pdf.name, pdf.score, pdf.is_new), key=lambda x: (-x[1], -len(x[0]), x[0])), semantic)
         redundancy = dict.fromkeys((n for n, _, _ in pool), 0.0)

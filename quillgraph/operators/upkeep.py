@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -56,9 +56,13 @@ def evicted(cache: DataFrame, keep: int = 1_000) -> DataFrame:
     return cache.join(last, ["cache_key", "computed_at"], "left_semi")
 
 
-def fresh(cache: DataFrame, epoch: int, revision: int) -> DataFrame:
-    """Entries of the present epoch and revision."""
-    return cache.where((F.col("epoch") == epoch) & (F.col("revision") == revision))
+def fresh(cache: DataFrame, epoch: int, revision: int, **more) -> DataFrame:
+    """Entries of the present epoch and revision, and of the present value of
+    whatever else they depend on (query_hash, vector_state, threshold, ...)."""
+    rows = cache.where((F.col("epoch") == epoch) & (F.col("revision") == revision))
+    for name, value in more.items():
+        rows = rows.where(F.col(name).eqNullSafe(value if isinstance(value, Column) else F.lit(value)))
+    return rows
 
 
 def epoch_due(n_docs: int, changes: int, has_epoch: bool = True) -> bool:

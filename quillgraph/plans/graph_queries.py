@@ -130,3 +130,10 @@ def graph_stats(s):
 @query("group_anchors", "SELECT library AS grp, round(180 * cos(2 * pi() * (row_number() OVER (ORDER BY library) - 1) / count(*) OVER ()), 6) + 0.0 AS x, round(180 * sin(2 * pi() * (row_number() OVER (ORDER BY library) - 1) / count(*) OVER ()), 6) + 0.0 AS y FROM (SELECT DISTINCT library FROM v_notes)")
 def group_anchors(s):
     return g.group_anchors(s.v_notes.select(F.col("library").alias("group"))).select(F.col("group").alias("grp"), (F.round("x", 6) + 0.0).alias("x"), (F.round("y", 6) + 0.0).alias("y"))
+
+
+@query("scoped_edges", """WITH k AS (SELECT id FROM v_notes z WHERE NOT EXISTS (SELECT 1 FROM v_unavailable u WHERE u.card_id = z.id) AND note_type IN ('zettel', 'entity')) SELECT parent_id AS source, card_id AS target FROM v_parents WHERE parent_id IN (SELECT id FROM k) AND card_id IN (SELECT id FROM k)""")
+def scoped_edges(s):
+    kinds = s.v_notes.select("id", "note_type")
+    nodes = g.nodes(s.v_notes, s.v_links, s.v_unavailable).join(kinds, "id", "left")
+    return g.scoped(nodes, g.edges(s.v_notes, s.v_links, s.v_parents, s.v_unavailable), ["zettel", "entity"], "hierarchy").select("source", "target")

@@ -283,3 +283,67 @@ def key_validation(s):
 @query("tags_of_notes", "SELECT note_key, string_agg(DISTINCT tag, '|' ORDER BY tag) AS tags FROM v_card_notes JOIN v_tags USING (card_id) GROUP BY note_key")
 def tags_of_notes(s):
     return s.v_card_notes.join(s.v_tags, "card_id").groupBy("note_key").agg(F.array_join(F.array_sort(F.collect_set("tag")), "|").alias("tags"))
+
+
+@query("resolve_all", """WITH w AS (SELECT DISTINCT ref FROM v_links UNION SELECT concat('@', custom_key) FROM v_notes WHERE custom_key IS NOT NULL UNION SELECT concat('@', item_key) FROM v_notes WHERE item_key IS NOT NULL UNION SELECT concat('note://', note_key) FROM v_card_notes UNION SELECT concat('was ', doc_id % 70) FROM v_notes),
+  k AS (SELECT concat('@', custom_key) AS alias, id FROM v_notes WHERE custom_key IS NOT NULL UNION ALL SELECT concat('@', item_key), id FROM v_notes WHERE item_key IS NOT NULL), h AS (SELECT concat('was ', doc_id % 70) AS ref, id FROM v_notes WHERE doc_id % 7 = 0 OR doc_id < 70),
+  c AS (SELECT concat('note://', note_key) AS ref, card_id AS id, 0 AS p FROM v_card_notes UNION ALL SELECT id, id, 1 FROM v_notes UNION ALL SELECT note_key, card_id, 2 FROM v_card_notes UNION ALL SELECT alias, min(id), 3 FROM k GROUP BY alias HAVING count(DISTINCT id) = 1 UNION ALL SELECT ref, min(id), 4 FROM h GROUP BY ref HAVING count(DISTINCT id) = 1
+    UNION ALL SELECT title, min(id), 5 FROM v_notes WHERE NOT starts_with(title, '@') GROUP BY title HAVING count(DISTINCT id) = 1)
+  SELECT w.ref, arg_min(c.id, p) AS target, min(p) AS priority FROM w LEFT JOIN c ON c.ref = w.ref GROUP BY w.ref""")
+def resolve_all(s):
+    """By addresses, citation keys and references of before, too."""
+    z = s.v_notes
+    own = lambda key: z.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), "id")
+    was = F.concat(F.lit("was "), (F.col("doc_id") % 70).cast("string"))
+    wanted = s.v_links.select("ref").union(own("custom_key").select(F.concat(F.lit("@"), "key"))).union(own("item_key").select(F.concat(F.lit("@"), "key"))).union(s.v_card_notes.select(F.concat(F.lit("note://"), "note_key"))).union(z.select(was)).distinct()
+    citations = r.aliases(own("custom_key"), own("item_key"))
+    addresses = s.v_card_notes.select(F.concat(F.lit("note://"), "note_key").alias("ref"), F.col("card_id").alias("id"))
+    return r.resolve(wanted, z, s.v_card_notes.select("note_key", "card_id"), citations, z.where("doc_id % 7 = 0 or doc_id < 70").select(was.alias("ref"), "id"), addresses)
+
+
+@query("search_by_inherited_tag", f"""WITH RECURSIVE f AS (SELECT id FROM v_notes z WHERE {ACTIVE}), up(id, holder) AS (SELECT id, id FROM f UNION SELECT up.id, p.parent_id FROM up JOIN v_parents p ON p.card_id = holder WHERE p.parent_id IN (SELECT id FROM f))
+  SELECT id FROM v_notes z WHERE {ACTIVE} AND {holds('er')} AND id IN (SELECT up.id FROM up JOIN v_tags ON card_id = holder WHERE tag IN ('src1', 'q1'))""")
+def search_by_inherited_tag(s):
+    from ..operators import graph as g
+
+    free = n.active(s.v_notes, s.v_unavailable).select("id")
+    held = g.inherited_tags(s.v_parents, s.v_tags, free).where("tag in ('src1', 'q1')")
+    return n.search(s.v_notes, "er", s.v_unavailable, tagged=held.select(F.col("id").alias("card_id"))).select("id")
+
+
+@query("sort_orders", "SELECT o AS sort, id, place FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS o, id, row_number() OVER (ORDER BY {c} {d}, id {d}) AS place FROM v_notes" for k, (c, d) in n.SORTS.items()) + ") WHERE place <= 20")
+def sort_orders(s):
+    """The first page of twenty in each order."""
+    from functools import reduce
+
+    from pyspark.sql import DataFrame, Window
+
+    found = n.search(s.v_notes)
+    own = Window.partitionBy(F.lit(0))
+    pages = []
+    for k, (c, way) in n.SORTS.items():
+        order = [F.desc(c), F.desc("id")] if way == "desc" else [F.asc(c), F.asc("id")]
+        pages.append(n.page(found, k, 20).select(F.lit(k).alias("sort"), "id", F.row_number().over(own.orderBy(*order)).cast("long").alias("place")))
+    return reduce(DataFrame.union, pages)
+
+
+@query("family_rows", "SELECT p.card_id AS id, c.title, p.parent_id, u.title AS parent_title FROM v_parents p JOIN v_notes c ON c.id = p.card_id JOIN v_notes u ON u.id = p.parent_id WHERE p.card_id NOT IN (SELECT card_id FROM v_unavailable)")
+def family_rows(s):
+    return n.family(s.v_notes, s.v_parents, s.v_unavailable).where("parent_id is not null").select("id", "title", "parent_id", "parent_title")
+
+
+@query("tag_index_input", "SELECT id, note_key, parent_id FROM v_notes z LEFT JOIN v_card_notes k ON k.card_id = id LEFT JOIN v_parents p ON p.card_id = id WHERE id NOT IN (SELECT card_id FROM v_unavailable)")
+def tag_index_input(s):
+    return n.tag_input(s.v_notes, s.v_card_notes, s.v_parents, s.v_unavailable)
+
+
+@query("insert_or_ignore", "SELECT id, title FROM v_notes WHERE doc_id % 3 <> 0 UNION ALL SELECT id, 'again' FROM v_notes WHERE doc_id % 6 = 0")
+def insert_or_ignore(s):
+    known = s.v_notes.where("doc_id % 3 != 0").select("id", "title")
+    return n.inserted(known, s.v_notes.where("doc_id % 2 = 0").select("id", F.lit("again").alias("title")))
+
+
+@query("insert_or_replace", "SELECT id, title FROM v_notes WHERE doc_id % 3 <> 0 AND doc_id % 2 = 1 UNION ALL SELECT id, 'again' FROM v_notes WHERE doc_id % 2 = 0")
+def insert_or_replace(s):
+    known = s.v_notes.where("doc_id % 3 != 0").select("id", "title")
+    return n.inserted(known, s.v_notes.where("doc_id % 2 = 0").select("id", F.lit("again").alias("title")), replace=True)

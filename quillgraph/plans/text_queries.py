@@ -105,3 +105,25 @@ def outline_export(s):
 @query("timestamp_ids", "SELECT event_id, strftime(ts, '%Y%m%d%H%M%S') AS id FROM events")
 def timestamp_ids(s):
     return s.events.select("event_id", F.date_format("ts", "yyyyMMddHHmmss").alias("id"))
+
+
+@query("label_refresh", """SELECT l.id, replace(l.text, concat('[[note ', l.doc_id % 13, ']]'), concat('[[', n.id, '|', n.title, ']]')) AS text FROM v_linktext l JOIN v_notes n ON n.doc_id = l.doc_id % 13""")
+def label_refresh(s):
+    """Links [[note k]] written with the id and the title of the note they mean."""
+    names = s.v_notes.where("doc_id = doc_id % 13").select(F.concat(F.lit("note "), F.col("doc_id").cast("string")).alias("ref"), F.struct(F.col("id").alias("reference"), F.col("title").alias("label"), F.lit("").alias("old")).alias("now"))
+    found = s.v_linktext.select("id", F.explode(m.links("text")).alias("l")).select("id", "l.ref").join(names, "ref").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("ref", "now"))).alias("labels"))
+    return s.v_linktext.join(found, "id").select("id", m.refreshed("text", "labels").alias("text"))
+
+
+@query("asset_names", "SELECT id, concat('img', doc_id % 7, '.png') AS name FROM v_linktext UNION ALL SELECT id, concat('b', doc_id % 3, '.pdf') FROM v_linktext")
+def asset_names(s):
+    """In an image, a link and an attribute, one of them twice."""
+    k = lambda m: (F.col("doc_id") % m).cast("string")
+    text = F.concat("text", F.lit(" ![x](assets/img"), k(7), F.lit(".png) [f](assets/b"), k(3), F.lit(".pdf) <img src=\"assets/img"), k(7), F.lit(".png\"> [no](other/c.png)"))
+    return s.v_linktext.select("id", F.explode(m.asset_names(text)).alias("name"))
+
+
+@query("link_contexts", """SELECT DISTINCT id, p AS context FROM (SELECT id, unnest(regexp_split_to_array(text, '\\n\\s*\\n')) AS p, concat('[[note ', doc_id % 13, ']]') AS ref FROM v_linktext) WHERE contains(p, ref)""")
+def link_contexts(s):
+    rows = s.v_linktext.select("id", "text", F.concat(F.lit("[[note "), (F.col("doc_id") % 13).cast("string"), F.lit("]]")).alias("ref"))
+    return rows.select("id", F.explode(m.contexts("text", "ref")).alias("context"))

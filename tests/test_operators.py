@@ -157,3 +157,137 @@ def test_evidence(spark):
     got = {r.doc_key: r for r in discovery.evidence(p, t).collect()}
     assert got["b"].terms == "Graph, networks" and got["b"].current == "Graph networks learn fast." and got["b"].match == "We study graph networks."
     assert got["c"].terms == ""
+
+
+def test_long_chains_and_cycles(spark):
+    from quillgraph.operators import graph
+
+    chain = spark.range(1500).selectExpr("lpad(id, 5, '0') AS card_id", "CASE WHEN id > 0 THEN lpad(id - 1, 5, '0') END AS parent_id")
+    up = graph.ancestors(chain, spark.createDataFrame([("01499",)], "id string"))
+    assert up.count() == 1499 and up.where("ancestor = '00000'").first().depth == 1499
+    assert graph.descendants(chain, spark.createDataFrame([("00000",)], "id string")).count() == 1500
+    ring = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "a")], "card_id string, parent_id string")
+    got = {(r.id, r.ancestor): r.depth for r in graph.ancestors(ring).collect()}
+    assert got == {("a", "b"): 1, ("a", "c"): 2, ("a", "a"): 3, ("b", "c"): 1, ("b", "a"): 2, ("b", "b"): 3, ("c", "a"): 1, ("c", "b"): 2, ("c", "c"): 3, ("d", "a"): 1, ("d", "b"): 2, ("d", "c"): 3}
+
+
+def test_deleted_in_a_row(spark):
+    n = spark.createDataFrame([(x,) for x in "abcde"], "id string")
+    parents = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("d", "c"), ("e", "d")], "card_id string, parent_id string")
+    links = spark.createDataFrame([], "source_id string, target_id string, ref string")
+    tree = notes.deleted(n, links, parents, spark.createDataFrame([("b",), ("c",)], "id string"))[2]
+    assert {(r.card_id, r.parent_id) for r in tree.collect()} == {("a", None), ("d", "a"), ("e", "d")}
+
+
+def test_free_seconds(spark):
+    from quillgraph.operators import library
+
+    wanted = [(1, 10), (2, 10), (3, 11), (4, 20), (5, 9), (6, 10)]
+    taken = {10, 12, 13, 20}
+    given, want = set(taken), {}
+    for i, t in sorted(wanted, key=lambda x: (x[1], x[0])):
+        while t in given:
+            t += 1
+        given.add(t)
+        want[i] = t
+    got = library.free_seconds(spark.createDataFrame(wanted, "id int, second long"), spark.createDataFrame([(t,) for t in taken], "second long"))
+    assert {r.id: r.second for r in got.collect()} == want
+
+
+def test_vector_pairs(spark):
+    import numpy as np
+
+    from quillgraph.operators import dense
+
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(12, 16))
+    rows = [(f"k{i:03}", i % 2, (base[i % 12] + rng.normal(size=16) * 0.3).tolist()) for i in range(150)] + [("none", 0, [0.0] * 16)]
+    unit = {k: (lib, np.array(v) / np.linalg.norm(v)) for k, lib, v in rows if any(v)}
+    want = {(a, b) for a in unit for b in unit if a < b and unit[a][0] == unit[b][0] and unit[a][1] @ unit[b][1] >= 0.84}
+    df = spark.createDataFrame(rows, "key string, library int, vector array<double>")
+    for block in (2048, 17):
+        got = dense.vector_pairs(df, block=block).collect()
+        assert {(r.a, r.b) for r in got} == want and len(got) == len(want) > 50
+
+
+def test_near_duplicates(spark):
+    from quillgraph.operators import lexical
+
+    words = [f"word{i}" for i in range(300)]
+    texts = {}
+    for k in range(6):
+        own = [words[(i * (k + 2) + k) % 300] for i in range(200)]
+        for j in range(4):
+            edited = list(own)
+            if j == 3:
+                edited[5] = "other"
+            texts[f"{k}{j}"] = " ".join(edited)
+    corpus = spark.createDataFrame([(k, "en", k == "00", "", "", t) for k, t in texts.items()], "doc_key string, library string, weak boolean, title string, abstract string, body string")
+    counted = lexical.counts(corpus)
+    signature = lexical.signatures(lexical.weights(corpus, counted))
+    pairs, members = lexical.near_duplicates(lexical.simhashes(counted), signature, corpus.select("doc_key", "weak"))
+    vectors = {}
+    for r in signature.collect():
+        vectors.setdefault(r.doc_key, {})[r.feature] = r.weight
+    bits = {r.doc_key: r.simhash for r in lexical.simhashes(counted).collect()}
+    sound = sorted(set(texts) - {"00"})
+    like = {(a, b) for a in sound for b in sound if a < b and bin((bits[a] ^ bits[b]) & (2**64 - 1)).count("1") <= 3 and sum(w * vectors[b].get(f, 0) for f, w in vectors[a].items()) >= 0.95}
+    of = {r.doc_key: r.copy_of for r in members.collect()}
+    found = {(r.doc_key, r.other) for r in pairs.collect()}
+    near = lambda a, b: of[a] == of[b] or (min(of[a], of[b]), max(of[a], of[b])) in found
+    assert set(of) == set(sound) and {(a, b) for a in sound for b in sound if a < b and near(a, b)} == like and len(like) >= 15
+    assert of["13"] != of["10"] == of["11"] == "10"
+
+
+def test_tag_selection(spark):
+    from quillgraph.operators import tags
+
+    def chosen(rows, edges=None):
+        df = spark.createDataFrame([("q", n, s, new) for n, s, new in rows], "query string, name string, score double, is_new boolean")
+        return {r.name for r in tags.selected(df, edges).collect()}
+
+    assert chosen([("Combinatorial optimization", 0.94, False), ("Combinatorial adjoint matching", 0.94, True), ("Adjoint matching", 0.94, False), ("Optimization", 0.94, False)]) == {"Combinatorial adjoint matching", "Combinatorial optimization"}
+    assert chosen([("MIMO", 0.9, False), ("Channel estimation", 0.9, False), ("MIMO channel estimation", 0.91, True), ("Unrelated field", 0.2, False)]) == {"Channel estimation", "MIMO"}
+    names = ["Image classification", "Image categorization", "Visual categorization"]
+    edges = spark.createDataFrame([(a, b, 0.9) for a in names for b in names if a < b], "a string, b string, score double")
+    assert len(chosen([(n, 0.9, False) for n in names], edges)) == 1
+
+
+def test_merged_tag_groups(spark):
+    from quillgraph.operators import tags
+
+    names = ["Deep Learning", "deep-learning", "Representation nets", "Robot control", "GPT-2", "GPT-3"]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    pairs = tags.duplicate_pairs(df)
+    edges = [("Deep Learning", "Representation nets", 0.95), ("deep-learning", "Representation nets", 0.9), ("Deep Learning", "Robot control", 0.86), ("GPT-2", "GPT-3", 0.99)]
+    got = tags.merged_groups(tags.duplicate_groups(df, pairs), pairs, spark.createDataFrame(edges, "a string, b string, score double"))
+    groups = {}
+    for r in got.collect():
+        groups.setdefault(r.group, set()).add(r.name)
+    # each pair of names has to be linked, and numbers keep names apart
+    assert {frozenset(x) for x in groups.values() if len(x) > 1} == {frozenset(names[:3])}
+
+
+def test_changed_links(spark):
+    from pyspark.sql import functions as F
+
+    from quillgraph.functions import markup
+
+    rows = spark.createDataFrame([("see [[Old]] and [[Old|mine]] or [[Old|Before]], [[else]].",), ("none",), (None,)], "text string")
+    labels = F.create_map(F.lit("Old"), F.struct(F.lit("2026").alias("reference"), F.lit("New").alias("label"), F.lit("Before").alias("old")))
+    got = [r.x for r in rows.select(markup.refreshed("text", labels).alias("x")).collect()]
+    assert got == ["see [[2026|New]] and [[2026|mine]] or [[2026|New]], [[else]].", "none", None]
+
+
+def test_scopes(spark):
+    import glob
+
+    from quillgraph.sources import scratch
+
+    root = scratch.shared_dir(spark).removeprefix("file://")
+    before = set(glob.glob(f"{root}/*"))
+    with scratch.scope(spark) as paths:
+        kept = scratch.materialize(spark.range(3))
+        paths.remove(own := paths[0])
+        scratch.materialize(spark.range(4))
+    assert {f"file://{p}" for p in set(glob.glob(f"{root}/*")) - before} == {own} and kept.count() == 3

@@ -7,15 +7,15 @@ from compare import assert_same, duck
 
 from quillgraph.plans import ORACLE, QUERIES
 
-SLOW = {"similar_items", "similarity", "near_duplicates", "phrases", "tag_selection"}
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) & set(ORACLE) - SLOW))
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) & set(ORACLE)))
 def test_same_as_sql(spark, sf_dir, name):
     assert_same(QUERIES[name](spark, sf_dir).toPandas(), duck(ORACLE[name], sf_dir))
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_runs(spark, sf_dir, name):
     df = QUERIES[name](spark, sf_dir)
     assert df.columns
