@@ -7,12 +7,14 @@ it: the words around the seeds against the item's words, +2 for equal words, -1
 for others and for gaps. The score is the share of the item's own best score
 (twice its words) that the alignment reaches; an item counts as leaked from
 ``least`` on. Passages that share too few words with the item to reach it are
-not aligned. Not found: copies edited so densely that no three words in a row
-are left, though they may still score a little over one half.
+not aligned; items are aligned as wholes, however long. Not found: copies edited
+so densely that no three words in a row are left, though they may still score a
+little over one half.
 
-An item of over 384 words is cut into pieces of 256 that are aligned by
-themselves; its best piece counts. The items are read in blocks of at most ``block_bytes`` of text, each shipped
-to the tasks; benchmarks beyond that take several passes over the documents.
+Documents don't move: the seeds of the items, sorted, are sent to the tasks in
+blocks of at most ``block_bytes`` of text (16 bytes for each of a block's words),
+and each document's seeds are looked up there. A benchmark beyond a block takes
+another pass over the documents for each.
 
 Cases: null or empty texts, and texts without words, match nothing, on either
 side; repeated rows are each reported; items with the same words are each
@@ -24,7 +26,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -34,8 +36,7 @@ from .common import by_batch, filtered, table
 
 WORDS = re.compile(r"[^\W_]+")
 SEED = 3
-PIECE = 256
-SHIFT = np.uint64(21)
+FACTORS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
 def words(text: str | None) -> list[str]:
@@ -64,60 +65,66 @@ class Items:
     """A block of test items, as numbers of their own words, and where their seeds are."""
 
     def __init__(self, rows: list[tuple[int, str]]):
-        self.ids, self.words = [], []
         self.number: dict[str, int] = {}
+        self.ids, self.words = [], []
         for i, t in rows:
-            own = np.array([self.number.setdefault(w, len(self.number) + 1) for w in words(t)], np.int64)
-            cuts = range(PIECE, len(own) - PIECE // 2, PIECE)
-            for piece in np.split(own, cuts):
-                self.ids.append(i)
-                self.words.append(piece)
-        self.seeds = defaultdict(list)
-        for i, w in enumerate(self.words):
-            for k, s in enumerate(self.grams(w)):
-                self.seeds[s].append((i, k))
-        self.sorted = np.array(sorted(s for s in self.seeds if s >= 0), np.int64)
+            self.ids.append(i)
+            self.words.append(np.array([self.number.setdefault(w, len(self.number) + 1) for w in words(t)], np.int64))
+        made = [self.seeds_of(w) for w in self.words]
+        size = [len(x) for x in made]
+        seeds = np.concatenate([*made, np.zeros(0, np.uint64)])
+        order = np.argsort(seeds, kind="stable")
+        #: Seeds in order, and the item and the place in it of each.
+        self.seeds, self.item = seeds[order], np.repeat(np.arange(len(made), dtype=np.int32), size)[order]
+        self.place = np.concatenate([*(np.arange(n, dtype=np.int32) for n in size), np.zeros(0, np.int32)])[order]
         self.short = [(i, w) for i, w in enumerate(self.words) if 0 < len(w) < SEED]
 
     @staticmethod
-    def grams(numbers: np.ndarray) -> list[int]:
-        if 0 < len(numbers) < SEED:  # a whole short item, which no longer sequence equals
-            return [-hash(tuple(numbers.tolist())) % (1 << 62) - (1 << 62)]
-        a = numbers.astype(np.uint64)
-        return ((a[:-2] << (SHIFT + SHIFT)) | (a[1:-1] << SHIFT) | a[2:]).astype(np.int64).tolist() if len(a) >= SEED else []
+    def seeds_of(numbers: np.ndarray) -> np.ndarray:
+        """A hash for each three words in a row; unequal ones that meet cost an alignment."""
+        w = numbers.astype(np.uint64)
+        n = max(0, len(w) - SEED + 1)
+        h = w[:n] * FACTORS[0]
+        for k in range(1, SEED):
+            h = (h ^ (h >> np.uint64(29))) * FACTORS[k] + w[k : k + n]
+        return h
 
     def read(self, text: str | None) -> np.ndarray:
         get = self.number.get
         return np.array([get(w, 0) for w in words(text)], np.int64)
 
     def hits(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places in own where a seed begins, and the seeds."""
-        if len(own) < SEED or not len(self.sorted):
+        """Items whose seeds own holds, and where each of them would begin by that, in order."""
+        if len(own) < SEED or not len(self.seeds):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at = np.flatnonzero((own[:-2] > 0) & (own[1:-1] > 0) & (own[2:] > 0))
-        s = (own[at] << int(SHIFT * 2)) | (own[at + 1] << int(SHIFT)) | own[at + 2]
-        k = np.minimum(np.searchsorted(self.sorted, s), len(self.sorted) - 1)
-        found = self.sorted[k] == s
-        return at[found], s[found]
+        known = own > 0
+        at = np.flatnonzero(known[:-2] & known[1:-1] & known[2:])
+        s = self.seeds_of(own)[at]
+        left, right = np.searchsorted(self.seeds, s, "left"), np.searchsorted(self.seeds, s, "right")
+        n = right - left
+        j = np.repeat(left - np.cumsum(n) + n, n) + np.arange(n.sum())
+        item, start = self.item[j].astype(np.int64), np.repeat(at, n) - self.place[j]
+        order = np.lexsort((start, item))
+        return item[order], start[order]
 
     def leaks(self, text: str | None, least: float) -> list[tuple[int, float, int, int]]:
         """(item, score, first word, word after the last) of each item that the text leaks."""
         own = self.read(text)
-        near = defaultdict(list)
-        for at, s in zip(*(x.tolist() for x in self.hits(own))):
-            for i, k in self.seeds[s]:
-                near[i].append(at - k)
+        found, starts = self.hits(own)
+        ends = np.flatnonzero(np.r_[found[1:] != found[:-1], True]) + 1 if len(found) else []
+        near = {int(found[b - 1]): starts[a:b].tolist() for a, b in zip([0, *ends[:-1]], ends)} if len(found) else {}
         for i, w in self.short:
             n = len(w)
             same = np.flatnonzero(np.all([own[j : len(own) - n + 1 + j] == w[j] for j in range(n)], axis=0)) if len(own) >= n else []
-            near[i].extend(int(x) for x in same[:1])
+            if len(same):
+                near[i] = [int(same[0])]
         out: dict = {}
         for i, starts in near.items():
             item = self.words[i]
             need = least * 2 * len(item)
             slack = math.ceil(2 * len(item) - need)  # an alignment with more gaps scores less than need
             spans = []
-            for s in sorted(starts):
+            for s in starts:
                 lo, hi = max(0, s - slack), min(len(own), s + len(item) + slack)
                 if spans and lo <= spans[-1][1] and hi - spans[-1][0] <= 4 * len(item) + 4 * slack:
                     spans[-1][1] = max(hi, spans[-1][1])
@@ -132,9 +139,8 @@ class Items:
                 if score > best[0]:
                     best = (score, lo + a, lo + b)
             if best[0] >= need:
-                found = (best[0] / (2 * len(item)), best[1], best[2])
-                key = self.ids[i]
-                out[key] = max(out.get(key, found), found)
+                hit = (best[0] / (2 * len(item)), best[1], best[2])
+                out[self.ids[i]] = max(out.get(self.ids[i], hit), hit)
         return [(i, *x) for i, x in out.items()]
 
 
@@ -149,7 +155,7 @@ def blocks(items: DataFrame, item_id: str, text: str, block_bytes: int) -> list[
             yield Items(part)
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, least: float = 0.5, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = 4 << 20) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, least: float = 0.5, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = 32 << 20) -> DataFrame:
     """doc_id, item_id, score, first_word and end_word for each leak."""
     spark = docs.sparkSession
     kind = dict(docs.dtypes)[doc_id].replace("bigint", "long")
@@ -166,7 +172,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, least: float = 0.5, doc_id: st
     return out if out is not None else spark.createDataFrame([], f"doc_id {kind}, item_id long, score double, first_word long, end_word long")
 
 
-def without_leaks(docs: DataFrame, items: DataFrame, least: float = 0.5, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = 4 << 20) -> DataFrame:
+def without_leaks(docs: DataFrame, items: DataFrame, least: float = 0.5, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = 32 << 20) -> DataFrame:
     """The rows of docs that leak no item."""
     for part in blocks(items, item_id, item_text, block_bytes):
         shared = docs.sparkSession.sparkContext.broadcast(part)

@@ -94,9 +94,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with what line dedup leaves of their texts, without those
-    of which it leaves nothing. Returns the columns of docs; n_chars is made anew."""
+    of which it leaves nothing. Returns the columns of docs; n_chars, if there, is made anew."""
     small_batches(spark)
     out = deduped(docs).where("__marked is null or __kept != ''").withColumn("text", F.col("__kept"))
+    if "n_chars" not in docs.columns:
+        return out.select(*docs.columns)
     return out.withColumn("n_chars", F.when(F.col("__marked").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 

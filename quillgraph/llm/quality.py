@@ -10,7 +10,9 @@ weighted by the lines' lengths, through a logistic curve fitted on the same
 sample.
 
 The field is fitted on about ``docs_per_class`` labelled documents of each
-class, chosen by a hash of their ids.
+class, chosen by a hash of their ids; of one with more than ``RUNS * RUN`` lines,
+on RUNS runs of RUN lines spread over all of it. So what the driver gets is
+bounded by the number of documents, however long they are.
 
 Cases: null and empty texts have no line to weigh and get the curve's value at
 the sample's mean; without labels of both classes every score is 0.5; documents
@@ -36,6 +38,7 @@ SHARES = np.array([0.0, 0.01, 0.03, 0.08, 0.2, 0.4, 0.7])
 BINS = 18
 N_FEATURES = 9
 SLOTS = 3 * N_FEATURES
+RUNS, RUN = 16, 32
 
 
 def line_codes(data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -193,6 +196,14 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, begin - begin[0] if len(x) else np.zeros(1, np.int64)
 
 
+def spread(n: int) -> np.ndarray:
+    """Places of at most RUNS * RUN of n lines: all, or runs of RUN in equal distances from the first to the last."""
+    if n <= RUNS * RUN:
+        return np.arange(n)
+    starts = np.linspace(0, n - RUN, RUNS).astype(np.int64)
+    return np.unique(starts[:, None] + np.arange(RUN))
+
+
 def fit(docs: DataFrame, labels: DataFrame, docs_per_class: int = 2_000) -> Model:
     """From docs (doc_id, text) and labels (doc_id, quality)."""
     own = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
@@ -207,8 +218,8 @@ def fit(docs: DataFrame, labels: DataFrame, docs_per_class: int = 2_000) -> Mode
     def f(cols):
         data, begin = buffers(cols["text"])
         codes, size, first = line_codes(data, begin)
-        cuts = first[1:]
-        return {"doc_id": cols["doc_id"], "codes": [x.tobytes() for x in np.split(codes, cuts)], "size": [x.astype(np.int64).tobytes() for x in np.split(size, cuts)], "quality": cols["quality"]}
+        kept = [a + spread(b - a) for a, b in zip(first, [*first[1:], len(codes)])]
+        return {"doc_id": cols["doc_id"], "codes": [codes[k].tobytes() for k in kept], "size": [size[k].astype(np.int64).tobytes() for k in kept], "quality": cols["quality"]}
 
     rows = by_batch(picked, "doc_id long, codes binary, size binary, quality int", f).orderBy("doc_id", "size").collect()
     if len({r["quality"] for r in rows}) < 2:

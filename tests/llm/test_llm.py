@@ -91,6 +91,38 @@ def test_leaks_over_a_long_gap():
     assert got[1] == score_by_table(item, words) / 200
 
 
+def test_leaks_against_all_pairs(spark):
+    rng = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(40)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([1, 2, 5, 9, 14, 30])))) for i in range(30)] + [(30, " ".join(rng.choice(vocabulary) for _ in range(400)))]
+    docs = []
+    for d in range(40):
+        w = [rng.choice(vocabulary) for _ in range(rng.randrange(30))]
+        copy = items[rng.randrange(len(items))][1].split()
+        for _ in range(rng.randrange(1 + len(copy) // 3)):
+            copy[rng.randrange(len(copy))] = rng.choice([*vocabulary, "other"])
+        docs.append((d, " ".join([*w, *copy[rng.randrange(len(copy)) if d % 4 == 0 else 0 :], *w[::-1]])))
+    number = {w: i + 1 for i, w in enumerate([*vocabulary, "other"])}
+    coded = lambda t: [number[w] for w in t.split()]
+    want = {}
+    for d, t in docs:
+        for i, u in items:
+            a, b = coded(u), coded(t)
+            n = min(3, len(a))
+            if {tuple(a[k : k + n]) for k in range(len(a) - n + 1)} & {tuple(b[k : k + n]) for k in range(len(b) - n + 1)} and (s := score_by_table(a, b)) >= len(a):
+                want[d, i] = s / (2 * len(a))
+    got = {(r.doc_id, r.item_id): r.score for r in decontamination.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == want and len(want) > 40
+
+
+@pytest.mark.parametrize("n", [384, 385, 700, 3000])
+def test_leaks_of_long_items(n):
+    item = [f"w{i}" for i in range(n)]
+    leaks = lambda k: decontamination.Items([(1, " ".join(item))]).leaks(" ".join(["a"] * 50 + item[:k] + ["b"] * 50), 0.5)
+    half = -(-n // 2)
+    assert leaks(half) == [(1, half / n, 50, 50 + half)] and leaks(half - 1) == []
+
+
 def test_leaks_of_nothing(spark):
     docs, none = awkward(spark), spark.createDataFrame([], "item_id long, text string")
     assert decontamination.find_leaks(docs, none).count() == 0
@@ -512,6 +544,30 @@ def test_lines_of_texts():
     assert sizes[1].tolist() == [2, 0, 2, 0, 1, 0, 0, 0, 1, 0] and sizes[2].tolist() == [0, 3, 4, 5, 6, 8]
 
 
+def test_gradient_against_differences():
+    rng = np.random.default_rng(2)
+    codes, first = rng.integers(0, quality.BINS, (12, quality.N_FEATURES)).astype(np.uint8), np.array([0, 5, 9])
+    s, chains, good = quality.slots(codes, first), quality.Chains(first, 12), rng.random(12) > 0.5
+    model = quality.Model()
+    model.w, model.follow = rng.normal(size=model.w.shape) * 0.1, rng.normal(size=(2, 2)) * 0.1
+
+    def likelihood() -> float:
+        score = model.w[s].sum(1)
+        own = score[np.arange(12), good.astype(int)].sum() + sum(model.follow[int(good[i - 1]), int(good[i])] for i in range(12) if i not in first)
+        return own - chains.marginals(score, model.follow)[2]
+
+    before, start = likelihood(), (model.w.copy(), model.follow.copy())
+    quality.climb(model, s, chains, good, 0.0, 1, rate=1e-4)
+    for theta, old in ((model.w, start[0]), (model.follow, start[1])):
+        for at in rng.permutation([*np.ndindex(*theta.shape)])[:20]:
+            at, step = tuple(at), theta[tuple(at)] - old[tuple(at)]
+            model.w, model.follow = start[0].copy(), start[1].copy()
+            (model.w if theta.shape == model.w.shape else model.follow)[at] += 1e-5
+            slope = (likelihood() - before) / 1e-5
+            assert abs(slope) < 1e-6 or step * slope > 0
+    assert [len(quality.spread(n)) for n in (0, 512, 513, 10**6)] == [0, 512, 512, 512] and quality.spread(10**6)[-1] == 10**6 - 1
+
+
 def test_quality(spark):
     d = "/root/testdata/sf0.01"
     got = quality.query(spark, d).join(common.table(spark, d, "labels"), "doc_id").where("held_out").toPandas()
