@@ -21,7 +21,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents; what each returns is written as Parquet and read by the next."""
-    docs = common.table(spark, sf_dir, "documents")
+    docs, before = common.table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
-        docs = common.materialize(stage(spark, docs, sf_dir))
+        with common.scope(spark) as written:  # what a stage wrote on its way goes when its result is there
+            docs = common.materialize(stage(spark, docs, sf_dir))
+            own = written.pop()
+            written += [before] if before else []
+        before = own
     return docs
