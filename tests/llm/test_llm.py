@@ -584,6 +584,48 @@ def test_quality_of_awkward_rows(spark):
     assert quality.score(docs.limit(0), quality.Model()).count() == 0
 
 
+# ---- texts beyond every buffer's size
+
+
+@pytest.fixture(scope="module")
+def long_docs(spark):
+    """A text of 1.3 MB, its copy, one with an edit, and a short one; longer than a chunk of op6."""
+    long = "\n".join(text(k % 30, 900) + f" end{k}" for k in range(250))
+    assert len(long) > 2 * suffix_dedup.CHUNK
+    rows = [(0, long), (1, long), (2, long.replace("end100", "other")), (3, "a short text of seven words only " + "x" * 20)]
+    return common.materialize(spark.createDataFrame([(d, t, "en", f"s{d % 2}", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long"))
+
+
+def test_long_texts(spark, long_docs):
+    texts = {r.doc_id: r.text for r in long_docs.collect()}
+    words = {d: len(t.split()) for d, t in texts.items()}
+    near = {r.doc_id: r.component_id for r in ngram_join.near_documents(long_docs).collect()}
+    assert near == {0: 0, 1: 0, 2: 0, 3: 3}
+    mixed = {r.doc_id: r for r in mixing.mix(long_docs)[0].collect()}
+    assert {d: r.size for d, r in mixed.items()} == words and all(r.taken <= 2 * r.size for r in mixed.values())
+    kept = {r.doc_id: r for r in suffix_dedup.dedup(long_docs).collect()}
+    assert kept[0].kept == kept[1].kept == b"" and kept[3].n_removed == 0 and 0 < len(kept[2].kept) < 600
+    lines = {r.doc_id: r.text_kept for r in line_dedup.dedup(long_docs).collect()}
+    assert lines[0] == texts[0] and lines[1] == "" and lines[2].count("\n") == 0 and "other" in lines[2]
+    item = " ".join(texts[0].split()[150_000:150_040])
+    leaks = decontamination.find_leaks(long_docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert {r.doc_id for r in leaks} == {0, 1, 2} and all(r.score == 1.0 for r in leaks)
+    langs = {r.doc_id: r.lang_pred for r in language_id.identify(long_docs, language_id.fit(long_docs)).collect()}
+    assert set(langs.values()) == {"en"}
+    spotted = {r.id: len(r.base) for r in pii.scan(long_docs.withColumn("text", F.concat("text", F.lit(" mail me@example.org now")))).collect()}
+    assert spotted == dict.fromkeys(texts, 1)
+    scores = quality.score(long_docs, quality.fit(long_docs, spark.createDataFrame([(0, 1), (2, 1), (3, 0)], "doc_id long, quality int"))).collect()
+    assert len(scores) == 4 and all(0 <= r.score <= 1 for r in scores)
+    talk = chat.format_chats(long_docs.select(F.col("doc_id").alias("conv_id"), F.lit(0).alias("turn"), F.lit("user").alias("role"), "text")).collect()
+    assert {r.conv_id: chat.parse(r.formatted) for r in talk} == {d: [("user", t)] for d, t in texts.items()}
+
+
+def test_sanitised_awkward_rows(spark):
+    docs = awkward(spark)
+    clean = pii.sanitise(docs)
+    assert clean.columns == [*docs.columns, "text_clean"] and clean.count() == docs.count() and clean.where("not text_clean <=> text").count() == 0
+
+
 # ---- the pipeline
 
 
