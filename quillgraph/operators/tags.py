@@ -8,6 +8,7 @@ from __future__ import annotations
 import unicodedata
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -257,31 +258,65 @@ def ordered(uses: DataFrame, by: str = "count", down: bool | None = None) -> Dat
     return uses.orderBy(F.desc(column) if down else F.asc(column), "tag")
 
 
-def covered(name: str, parts: list[str]) -> bool:
-    """Whether two or more other names stand in this one and leave no word of it over."""
-    words = g.words(name.lower())
-    inside = [p for p in (g.words(x.lower()) for x in parts) if f" {' '.join(p)} " in f" {' '.join(words)} "]
-    return len(inside) >= 2 and set(words) <= {w for p in inside for w in p}
-
-
-def pruned(rows: list[tuple[str, float, bool]], semantic: dict) -> list[tuple[str, float, bool]]:
-    """Candidates (name, score, is_new) without new spellings of what there is,
-    new ones made of existing parts, fragments of others that score alike, and
-    new ones too close to what there is."""
-    close = lambda a, b: semantic.get(frozenset((a, b)), 0.0)
-    have = [n for n, _, new in rows if not new]
-    same = lambda a, b: g.duplicate_reason(g.key(a), g.key(b)) or (g.compatible(a, b) and close(a, b) >= 0.86)
-    reused = [r for r in rows if not r[2] or not (any(same(r[0], x) for x in have) or covered(r[0], have))]
-    inside = lambda a, b: a != b and f" {a} " in f" {b} "
-    whole = [r for r in reused if not any(inside(g.key(r[0]), g.key(o[0])) and o[1] >= r[1] - 0.08 and g.compatible(r[0], o[0]) for o in reused)]
-    kept = [n for n, _, new in whole if not new]
-    return [r for r in whole if not r[2] or all(max(g.affinity(r[0], x), close(r[0], x)) < 0.86 for x in kept)]
+class Relations:
+    """How the names of one list relate, as tables over all pairs: within (one
+    stands in the other, as whole words), alike (they may mean the same), same
+    (duplicates), near (by vectors) and affinity, from 0 to 1."""
+
+    def __init__(self, names: list[str], near: dict[frozenset, float]):
+        n, at = len(names), {name: i for i, name in enumerate(names)}
+        self.keys = [g.key(name) for name in names]
+        padded = [f" {k} " for k in self.keys]
+        self.within = np.array([[a != b and a in b for b in padded] for a in padded], bool).reshape(n, n)
+        kinds: dict = {}
+        profile = np.array([kinds.setdefault(tuple(frozenset(c.items()) for c in g.profile(k)), len(kinds)) for k in self.keys], int)
+        free = ~np.array([g.structured(name) for name in names], bool)
+        symbols = np.array([bool({"+", "#"} & set(k)) for k in self.keys], bool)
+        apart = (symbols[:, None] | symbols) & np.array([[a != b for b in padded] for a in padded], bool).reshape(n, n)
+        self.alike = (profile[:, None] == profile) & free[:, None] & free & ~apart
+        self.same = np.zeros((n, n), bool)
+        by_mark: dict[str, list[int]] = {}
+        for i, k in enumerate(self.keys):
+            for mark in g.signatures(k):
+                for j in by_mark.setdefault(mark, []):
+                    self.same[i, j] = self.same[j, i] = self.same[i, j] or g.duplicate_reason(k, self.keys[j]) is not None
+                by_mark[mark].append(i)
+        self.near = np.zeros((n, n))
+        for pair, score in near.items():
+            i, j = (at.get(x, -1) for x in sorted(pair))
+            if min(i, j) >= 0:
+                self.near[i, j] = self.near[j, i] = score
+        stems = [set(g.tokens(k)) for k in self.keys]
+        place = {w: j for j, w in enumerate(sorted(set().union(*stems)))}
+        held = np.zeros((n, len(place)))
+        for i, own in enumerate(stems):
+            held[i, [place[w] for w in own]] = 1
+        size = held.sum(1)
+        overlap = held @ held.T / np.sqrt(np.maximum(size[:, None] * size, 1))
+        inside = self.within | self.within.T
+        self.affinity = np.maximum(np.where(self.same | (self.alike & inside), 1.0, np.where(self.alike, overlap, 0.0)), self.near)
+        np.fill_diagonal(self.same, False)
+        np.fill_diagonal(self.affinity, 0.0)
+
+    def needed(self, score: np.ndarray, new: np.ndarray) -> np.ndarray:
+        """Which names others don't make needless. New ones go if an existing one
+        means the same, or two or more existing ones that stand in them leave no
+        word over; of what is left, names that stand in another of about their
+        score or more; of the rest, new ones close to an existing one."""
+        same = self.same | (self.alike & (self.near >= 0.86))
+        spoken = [{w for i in np.flatnonzero(self.within[:, j] & ~new) for w in self.keys[i].split(" ")} for j in range(len(new))]
+        whole = np.array([set(k.split(" ")) <= w for k, w in zip(self.keys, spoken)], bool).reshape(len(new))
+        made = whole & ((self.within & ~new[:, None]).sum(0) >= 2)
+        stays = ~(new & ((same & ~new).any(1) | made))
+        stays &= ~(self.within & self.alike & (score >= score[:, None] - 0.08) & stays).any(1)
+        return stays & ~(new & ((self.affinity >= 0.86) & (stays & ~new)).any(1))
 
 
 def selected(candidates: DataFrame, edges: DataFrame | None = None, least: float = 0.58) -> DataFrame:
-    """query, name, place: of the candidates (query, name, score, is_new: no if left out) that
-    pruned() leaves, names chosen one by one by score less redundancy with those
-    chosen; at most 192 a query. edges (a, b, score) tell like names by vectors."""
+    """query, name, place: of the candidates (query, name, score, is_new: no if
+    left out) that are needed, names chosen one by one by score less redundancy
+    with those chosen; at most 192 a query. edges (a, b, score) tell like names by
+    vectors."""
     if "is_new" not in candidates.columns:
         candidates = candidates.withColumn("is_new", F.lit(False))
     if has_edges := edges is not None:
@@ -293,20 +328,18 @@ def selected(candidates: DataFrame, edges: DataFrame | None = None, least: float
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         told = pdf["near"].iloc[0] if has_edges else None
-        semantic = {frozenset((x["a"], x["b"])): x["score"] for x in (told if told is not None else ())}
-        pool = pruned(sorted(zip(pdf.name, pdf.score, pdf.is_new), key=lambda x: (-x[1], -len(x[0]), x[0])), semantic)
-        redundancy = dict.fromkeys((n for n, _, _ in pool), 0.0)
-        taken: list[str] = []
-        while pool:
-            cost = 0.14 + 0.12 * len(taken)
-            gains = [(score - 0.48 * redundancy[n] - cost, -i) for i, (n, score, _) in enumerate(pool) if score >= least and redundancy[n] < 0.86]
-            gain, i = max(gains, default=(0.0, 0))
-            if gain <= 0:
+        rows = pdf.assign(long=-pdf.name.str.len()).sort_values(["score", "long", "name"], ascending=[False, True, True]).drop_duplicates("name")
+        names, score = rows.name.tolist(), rows.score.to_numpy(float)
+        of = Relations(names, {frozenset((x["a"], x["b"])): x["score"] for x in (told if told is not None else ())})
+        open_ = of.needed(score, rows.is_new.to_numpy(bool)) & (score >= least)
+        redundancy, taken = np.zeros(len(names)), []
+        while True:
+            gain = np.where(open_ & (redundancy < 0.86), score - 0.48 * redundancy - (0.14 + 0.12 * len(taken)), 0.0)
+            if not len(gain) or gain.max() <= 0:
                 break
-            name = pool.pop(-i)[0]
-            taken.append(name)
-            for n, _, _ in pool:
-                redundancy[n] = max(redundancy[n], g.affinity(n, name), semantic.get(frozenset((n, name)), 0.0))
-        return pd.DataFrame([(pdf["query"].iloc[0], n, i + 1) for i, n in enumerate(taken)], columns=["query", "name", "place"])
+            taken.append(int(gain.argmax()))
+            open_[taken[-1]] = False
+            redundancy = np.maximum(redundancy, of.affinity[:, taken[-1]])
+        return pd.DataFrame([(pdf["query"].iloc[0], names[i], place) for place, i in enumerate(taken, 1)], columns=["query", "name", "place"])
 
     return candidates.groupBy("query").applyInPandas(choose, "query string, name string, place int")
