@@ -16,7 +16,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 #: Rows and bytes that a task's Python gets at once; the defaults are too much for long texts.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1_000, "spark.sql.execution.arrow.maxBytesPerBatch": 16 << 20}
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 500, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
 
 
 def small_batches(spark: SparkSession) -> None:
