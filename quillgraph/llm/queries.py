@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, embedding_dedup, language_id, line_dedup, mixing, ngram_join, pii, quality, suffix_dedup
+from . import bpe_automaton, chat, decontamination, embedding_dedup, language_id, line_dedup, mixing, ngram_join, pii, quality, suffix_dedup
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_embedding_dedup": embedding_dedup.query,
         "op9_chat": chat.query,
         "op10_quality": quality.query,
+        "op13_bpe": bpe_automaton.query,
     }
 
 
