@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_automaton, chat, decontamination, embedding_dedup, language_id, line_dedup, mixing, ngram_join, pii, quality, suffix_dedup
+from . import alignment, bpe_automaton, chat, decontamination, embedding_dedup, language_id, line_dedup, merkle, mixing, ngram_join, pii, quality, suffix_dedup
 
 
 def queries() -> dict:
@@ -17,6 +17,8 @@ def queries() -> dict:
         "op8_embedding_dedup": embedding_dedup.query,
         "op9_chat": chat.query,
         "op10_quality": quality.query,
+        "op11_merkle": merkle.query,
+        "op12_alignment": alignment.query,
         "op13_bpe": bpe_automaton.query,
     }
 
@@ -27,4 +29,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_line_dedup": line_dedup.ORACLE_SQL,
         "op8_embedding_dedup": embedding_dedup.ORACLE_SQL,
         "op9_chat": chat.ORACLE_SQL,
+        "op11_merkle": merkle.ORACLE_SQL,
     }
