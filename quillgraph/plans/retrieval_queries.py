@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.text import STOP_WORDS
+from ..operators import bounds
 from ..operators import dense as d
 from ..operators import lexical as x
 from ..sources.scratch import materialize
@@ -70,6 +73,12 @@ def lexical_candidates(s):
     return x.candidates(x.query_terms(sig.join(asked(s).select("doc_key"), "doc_key", "left_semi")), sig).select("query", "doc_key", F.round("score", 5).alias("score"))
 
 
+@query("pruned_candidates", f"WITH {FOUND} SELECT query, doc_key, round(score, 5) AS score FROM f")
+def pruned_candidates(s):
+    """The same by score bounds, without reading every posting."""
+    sig = materialize(signature(s))
+    queries = x.query_terms(sig.join(asked(s).select("doc_key"), "doc_key", "left_semi"))
+    return bounds.top_k(queries, bounds.build(sig), x.CANDIDATES)[0].select("query", "doc_key", F.round("score", 5).alias("score"))
 
 
 @query("similarity", f"""WITH {FOUND}, fv AS (SELECT split_part(doc_key, chr(9), 1) AS doc_key, split_part(doc_key, chr(9), 2)::INT AS field, feature, weight FROM {normalised('''(SELECT concat(doc_key, chr(9), field) AS doc_key, feature, FALSE AS in_title, weight FROM (SELECT doc_key, field, feature, ln(1 + (n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * (1 + ln(tf)) AS weight,
@@ -193,3 +202,39 @@ def hybrid_recommend(s):
     return shown(d.hybrid(of(0), of(1)))
 
 
+def weighed_after(s, changed: str):
+    """Weights of all documents when those that ``changed`` names have come since the epoch began."""
+    from ..operators.epochs import Epochs, weights
+    from ..sources.scratch import shared_dir
+
+    counted = materialize(x.counts(s.v_corpus))
+    old = s.v_corpus.where(f"not ({changed})")
+    epochs = Epochs(s.spark, f"{shared_dir(s.spark)}/epochs-{uuid.uuid4().hex}")
+    epochs.rebuild(old, counted.join(old.select("doc_key"), "doc_key", "left_semi"), lambda: 0)
+    n = s.v_corpus.where(changed).count()
+    if epochs.due(n):
+        epochs.rebuild(s.v_corpus, counted, lambda: n)
+    rows = weights(counted, epochs.current())
+    return rows.groupBy("doc_key").agg(F.count("*").alias("features"), F.round(F.sum("weight"), 4).alias("total"), F.round(F.max("weight"), 5).alias("top"))
+
+
+def frozen_sql(changed: str) -> str:
+    """Statistics of the old documents, or of all if as many changed as make an epoch due."""
+    return f"""WITH {COUNTS}, new AS (SELECT count(*) FILTER (WHERE {changed}) AS n, count(*) FILTER (WHERE NOT ({changed})) AS old FROM v_corpus), due AS (SELECT n >= least(500, greatest(50, ceil(old / 20.0))) AS due FROM new),
+      base AS (SELECT doc_key FROM v_corpus, due WHERE due OR NOT ({changed})), cb AS (SELECT c.* FROM c JOIN base USING (doc_key)), df AS (SELECT feature, count(DISTINCT doc_key) AS df FROM cb GROUP BY feature), nd AS (SELECT count(*) AS n_docs FROM base),
+      av AS (SELECT f.field, CASE WHEN coalesce(sum(tf), 0) > 0 THEN sum(tf) / (SELECT n_docs FROM nd)::DOUBLE ELSE 1 END AS avg FROM (SELECT unnest([0, 1, 2]) AS field) f LEFT JOIN cb ON cb.field = f.field GROUP BY f.field), ln AS (SELECT doc_key, field, sum(tf) AS len FROM c GROUP BY ALL),
+      g AS (SELECT doc_key, feature, sum([4.0::DOUBLE, 2.0, 1.0][field + 1] * tf / (1 - [0.3::DOUBLE, 0.6, 0.75][field + 1] + [0.3::DOUBLE, 0.6, 0.75][field + 1] * len / avg)) AS x FROM c JOIN ln USING (doc_key, field) JOIN av USING (field) GROUP BY ALL),
+      wt AS (SELECT doc_key, ln(1 + (n_docs - coalesce(df, 0) + 0.5::DOUBLE) / (coalesce(df, 0) + 0.5::DOUBLE)) * x * 2.2 / (x + 1.2) AS weight FROM g LEFT JOIN df USING (feature), nd)
+      SELECT doc_key, count(*) AS features, round(sum(weight), 4) AS total, round(max(weight), 5) AS top FROM wt GROUP BY doc_key"""
+
+
+@query("frozen_weights", frozen_sql("doc_id % 40 = 3"))
+def frozen_weights(s):
+    """2.5 % of the documents are new: the epoch stands."""
+    return weighed_after(s, "doc_id % 40 = 3")
+
+
+@query("rebuilt_weights", frozen_sql("doc_id % 10 = 3"))
+def rebuilt_weights(s):
+    """A tenth is new: all statistics change at once."""
+    return weighed_after(s, "doc_id % 10 = 3")
