@@ -27,7 +27,7 @@ columns are not read.
 
 from __future__ import annotations
 
-import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,17 +35,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe_automaton import byte_letters
+from .bpe_automaton import BYTE_LEVEL, byte_letters
 from .common import materialize, small_batches, table
 
 #: Pairs that go to all tasks.
 COMMON = 1 << 20
 #: Bytes of text that are aligned at once, a text at least.
-BYTES = 1 << 20
+BYTES = 1 << 18
 #: An id of B fits in so many bits.
 BITS = 20
 ALIGNED = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, pairs array<long>, times array<int>"
-SUMS = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, n_best long, count_sum long, pairs array<long>, times array<int>"
+SUMS = "row long, n_best long, count_sum long, pairs array<long>, times array<int>"
 
 
 class Bits:
@@ -85,47 +85,53 @@ class Bits:
 
 
 class Encoders:
-    """Both tokenizers, opened in each task's Python from the bytes of their files."""
+    """Both tokenizers, opened in each task's Python from the bytes of their files.
+    A's merges have to be in the order of the ids they make, as in byte-level
+    files they are: then ids are ranks, for which there is a quicker library."""
 
     def __init__(self, a: bytes, b: bytes):
         import sentencepiece
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        self.a = Tokenizer.from_str(a.decode())
-        self.a.encode_special_tokens = True
-        self.b = sentencepiece.SentencePieceProcessor(model_proto=b)
+        model = json.loads(a)["model"]
         of = {c: i for i, c in enumerate(byte_letters())}
-        names = {i: s for s, i in self.a.get_vocab(with_added_tokens=True).items()}
-        self.bytes_a = [bytes(of[c] for c in names[i]) if all(c in of for c in names.get(i, "")) and i in names else names.get(i, "").encode() for i in range(max(names) + 1)]
+        ranks = {bytes(of[c] for c in s): i for s, i in model["vocab"].items()}
+        merges = [tuple(m.split(" ", 1)) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        if len(ranks) != len(model["vocab"]) or [model["vocab"][x + y] for x, y in merges] != [*range(256, 256 + len(merges))]:
+            raise ValueError("A's ids are not the order of its merges")
+        self.a = tiktoken.Encoding("a", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
+        self.b = sentencepiece.SentencePieceProcessor(model_proto=b)
+        self.bytes_a = [b""] * (max(ranks.values()) + 1)
+        for x, i in ranks.items():
+            self.bytes_a[i] = x
         self.bytes_b = [bytes([int(self.b.id_to_piece(i)[3:5], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace("▁", " ").encode() for i in range(self.b.get_piece_size())]
         self.len_a, self.len_b = (np.array([len(x) for x in y], np.int64) for y in (self.bytes_a, self.bytes_b))
         if len(self.bytes_b) >= 1 << BITS or len(self.bytes_a) >= 1 << 62 - BITS:
             raise ValueError("ids are too large for a packed pair")
-        self.in_a, self.in_b = [f"{i}" for i in range(len(self.bytes_a))], [f"{i}" for i in range(len(self.bytes_b))]
-
-    def encode(self, texts: list[str | None]) -> tuple[list[list[int]], list[list[int]]]:
-        """The ids by A and B of each text, none where the bytes differ."""
-        full = [t for t in texts if t]
-        a = iter([x.ids for x in self.a.encode_batch_fast([f" {t}" for t in full], add_special_tokens=False)])
-        b = iter(self.b.encode(full, num_threads=1) if full else [])
-        out_a, out_b = [], []
-        for t in texts:
-            x, y = (next(a), next(b)) if t else ([], [])
-            if t:
-                raw = f" {t}".encode()
-                if b"".join([self.bytes_a[i] for i in x]) != raw or b"".join([self.bytes_b[i] for i in y]) != raw:
-                    x, y = [], []
-            out_a.append(x)
-            out_b.append(y)
-        return out_a, out_b
+        #: What stands for a token that isn't, and that is, the last of its side of a group: A's, then B's.
+        self.said = [f"{i}{c}" for i in range(len(self.bytes_a)) for c in ",|"] + [f"{i}{c}" for i in range(len(self.bytes_b)) for c in ",;"]
+
+    def encode(self, text: str | None) -> tuple[list[int], list[int]]:
+        """The ids by A and B, none where the bytes differ."""
+        if not text:
+            return [], []
+        raw = f" {text}"
+        a, b = self.a.encode_ordinary(raw), self.b.encode(text, num_threads=1)
+        raw = raw.encode()
+        same = b"".join([self.bytes_a[i] for i in a]) == raw and b"".join([self.bytes_b[i] for i in b]) == raw
+        return (a, b) if same else ([], [])
 
 
 def aligned_batch(e: Encoders, texts: list[str | None]) -> dict[str, list]:
     """The columns of ALIGNED from n_a on, for each text."""
-    ids_a, ids_b = e.encode(texts)
-    n_a, n_b = np.array([*map(len, ids_a)]), np.array([*map(len, ids_b)])
-    a = np.fromiter((i for x in ids_a for i in x), np.int64, n_a.sum())
-    b = np.fromiter((i for x in ids_b for i in x), np.int64, n_b.sum())
+    n_a, n_b, parts_a, parts_b = [], [], [], []
+    for t in texts:
+        x, y = e.encode(t)
+        n_a.append(len(x))
+        n_b.append(len(y))
+        parts_a.append(np.array(x, np.int64))
+        parts_b.append(np.array(y, np.int64))
+    a, b = np.concatenate(parts_a), np.concatenate(parts_b)
     ends_a, ends_b = np.cumsum(e.len_a[a]), np.cumsum(e.len_b[b])
     size = int(ends_a[-1]) if len(a) else 0
     # bit i: a token ends after byte i
@@ -134,20 +140,23 @@ def aligned_batch(e: Encoders, texts: list[str | None]) -> dict[str, list]:
     last = links.select()
     first = np.r_[0, last[:-1] + 1] if len(last) else last
     pair = a[bits_a.rank(first)] << BITS | b[bits_b.rank(first)]
-    stop = np.cumsum(np.bincount(np.repeat(np.arange(len(texts)), n_a), e.len_a[a], len(texts))).astype(np.int64)  # each text's end, a cut of both
+    token_to = np.cumsum(n_a)
+    stop = np.r_[0, ends_a][token_to]  # each text's end, a cut of both
     group_to, link_to = cuts.rank(stop), links.rank(stop)
     cut = cuts.select() + 1
-    upto_a, upto_b = bits_a.rank(cut), bits_b.rank(cut)
-    out = {"n_a": n_a, "n_b": n_b, "n_groups": np.diff(group_to, prepend=0), "n_links": np.diff(link_to, prepend=0), "groups": [], "pairs": [], "times": []}
-    in_a, in_b = [e.in_a[i] for i in a.tolist()], [e.in_b[i] for i in b.tolist()]
-    p, q, upto_a, upto_b = 0, 0, upto_a.tolist(), upto_b.tolist()
+    upto_a, upto_b = bits_a.rank(cut), bits_b.rank(cut)  # tokens up to each group's end
+    # tokens in the order of writing: a group's of A, then its of B
+    final_a, final_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+    final_a[upto_a - 1], final_b[upto_b - 1] = 1, 1
+    group_a, group_b = np.cumsum(final_a) - final_a, np.cumsum(final_b) - final_b
+    order = np.empty(len(a) + len(b), np.int64)
+    order[np.arange(len(a)) + np.r_[0, upto_b][group_a]] = 2 * a + final_a
+    order[np.arange(len(b)) + np.r_[upto_a, 0][group_b]] = 2 * (len(e.bytes_a) + b) + final_b
+    out = {"n_a": np.array(n_a), "n_b": np.array(n_b), "n_groups": np.diff(group_to, prepend=0), "n_links": np.diff(link_to, prepend=0), "groups": [], "pairs": [], "times": []}
+    said_to = token_to + np.cumsum(n_b)
     g = k = 0
-    for to, link in zip(group_to.tolist(), link_to.tolist()):
-        said = []
-        for x, y in zip(upto_a[g:to], upto_b[g:to]):
-            said.append(f"{in_a[p] if x - p == 1 else ','.join(in_a[p:x])}|{in_b[q] if y - q == 1 else ','.join(in_b[q:y])}")
-            p, q = x, y
-        out["groups"].append(";".join(said))
+    for to, link in zip(said_to.tolist(), link_to.tolist()):
+        out["groups"].append("".join(map(e.said.__getitem__, order[g:to].tolist()))[:-1])
         own, times = np.unique(pair[k:link], return_counts=True)
         out["pairs"].append(own)
         out["times"].append(times)
@@ -208,9 +217,15 @@ def common_pairs(counts: DataFrame, most: int) -> int:
     return 1 << e
 
 
+def digested(aligned: DataFrame) -> DataFrame:
+    """aligned with groups_sha256 in place of groups ('' without tokens)."""
+    return aligned.withColumn("groups", F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))).withColumnRenamed("groups", "groups_sha256")
+
+
 def totals(aligned: DataFrame, common: int = COMMON) -> DataFrame:
-    """Of each row of ``aligned``: its counts, groups_sha256, n_best (links that are
-    the most frequent of B's id in the corpus) and count_sum (over its links)."""
+    """Of each row of ``aligned``, which is read three times: n_best (links that are
+    the most frequent of B's id in the corpus) and count_sum (over its links),
+    beside all columns but pairs and times."""
     spark = aligned.sparkSession
     counts = materialize(pair_counts(aligned))
     least = common_pairs(counts, common)
@@ -231,16 +246,13 @@ def totals(aligned: DataFrame, common: int = COMMON) -> DataFrame:
             np.add.at(total, row, np.abs(n) * times)
             rest = pa.array(np.r_[0, np.cumsum(np.bincount(row, ~hit, len(size)))].astype(np.int32))
             more = [pa.ListArray.from_arrays(rest, pa.array(y[~hit], k)) for y, k in ((pairs, pa.int64()), (times, pa.int32()))]
-            sha = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in x.column("groups").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[x.column(c) for c in ("row", "doc_id", "n_a", "n_b", "n_groups", "n_links")], pa.array(sha, pa.string()), pa.array(best), pa.array(total), *more], names=[c.split()[0] for c in SUMS.split(", ")])
+            yield pa.RecordBatch.from_arrays([x.column("row"), pa.array(best), pa.array(total), *more], names=[c.split()[0] for c in SUMS.split(", ")])
 
-    found = materialize(aligned.mapInArrow(run, SUMS))
+    found = materialize(aligned.select("row", "pairs", "times").mapInArrow(run, SUMS))
     rest = found.where(F.size("pairs") > 0).select("row", F.explode(F.arrays_zip("pairs", "times")).alias("x")).select("row", F.col("x.pairs").alias("pair"), F.col("x.times").cast("long").alias("k"))
-    rare = rest.join(counts.where(F.col("n") < least), "pair")
-    own = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256")
-    rare = rare.select("row", *[F.lit(None).cast(found.schema[c].dataType).alias(c) for c in own], F.when(F.col("best"), F.col("k")).otherwise(0).alias("n_best"), (F.col("k") * F.col("n")).alias("count_sum"))
-    both = found.select("row", *own, "n_best", "count_sum").union(rare)
-    return both.groupBy("row").agg(*[F.max(c).alias(c) for c in own], F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum")).drop("row")
+    rare = rest.join(counts.where(F.col("n") < least), "pair").select("row", F.when(F.col("best"), F.col("k")).otherwise(0).alias("n_best"), (F.col("k") * F.col("n")).alias("count_sum"))
+    sums = found.select("row", "n_best", "count_sum").union(rare).groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
+    return aligned.drop("pairs", "times").join(sums, "row").drop("row")
 
 
 def query(spark: SparkSession, sf_dir: str, a: str | None = None, b: str | None = None) -> DataFrame:
@@ -251,5 +263,5 @@ def query(spark: SparkSession, sf_dir: str, a: str | None = None, b: str | None
     for path in (a or public_tokenizers.path("byte_bpe_50k.json"), b or public_tokenizers.path("piece_bpe_32k.model")):
         with open(path, "rb") as f:
             files.append(f.read())
-    aligned = materialize(align(table(spark, sf_dir, "documents").select("doc_id", "text"), *files))
+    aligned = materialize(digested(align(table(spark, sf_dir, "documents").select("doc_id", "text"), *files)))
     return totals(aligned).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
