@@ -79,7 +79,7 @@ def blocks(nodes: DataFrame) -> DataFrame:
         runs = F.sequence(F.lit(0), F.floor((F.size(below) - 1) / FAN).cast("int"))
         above = F.transform(runs, lambda i: F.sha2(F.array_join(F.slice(below, i * FAN + 1, FAN), ""), 256))
         # a group within one block ends as soon as one node is left
-        found = found.withColumn(f"__{k + 1}", F.when((F.col("n") <= BLOCK) & (F.size(below) == 1), F.array().cast("array<string>")).otherwise(above))
+        found = found.withColumn(f"__{k + 1}", F.when((F.col("n") <= BLOCK) & (F.size(below) <= 1), F.array().cast("array<string>")).otherwise(above))
     tops = F.filter(F.array(*[F.col(f"__{k}") for k in range(LEVELS + 1)]), lambda x: F.size(x) > 0)
     return found.select("g", "block", "n", "rows", tops.alias("levels"), F.get(F.element_at(tops, -1), F.lit(0)).alias("top"))
 
