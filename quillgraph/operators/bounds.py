@@ -64,26 +64,30 @@ def plan(queries: DataFrame, index: PostingIndex, k: int) -> DataFrame:
     return rows.join(features, ["query", "feature"]).drop("top")
 
 
-def read(planned: DataFrame, index: PostingIndex) -> DataFrame:
+def read(planned: DataFrame, index: PostingIndex, without: DataFrame | None) -> DataFrame:
     """query, doc_key, feature and part of the postings in the planned blocks."""
     asked = planned.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("query", "feature", "block", "chunk", "query_weight")
     found = asked.join(index.postings, ["feature", "block", "chunk"]).where("query != doc_key")
+    if without is not None:
+        found = found.join(without, ["query", "doc_key"], "left_anti")
     return found.select("query", "doc_key", "feature", (F.col("query_weight") * F.col("weight")).alias("part"))
 
 
-def top_k(queries: DataFrame, index: PostingIndex, k: int) -> tuple[DataFrame, DataFrame]:
+def top_k(queries: DataFrame, index: PostingIndex, k: int, without: DataFrame | None = None, digits: int | None = None) -> tuple[DataFrame, DataFrame]:
     """query, doc_key and score, the k best of each query (query, feature,
-    query_weight) with ties by key; and its plan: the blocks with ``read``."""
+    query_weight) with ties by key, among others than those in ``without`` (query,
+    doc_key); and its plan: the blocks with ``read``. Scores that agree to
+    ``digits`` count as ties, if given."""
     planned = materialize(plan(queries, index, k))
-    best = Window.partitionBy("query").orderBy(F.desc("score"), "doc_key")
-    seeds = read(planned.where("seed"), index).groupBy("query", "doc_key").agg(F.sum("part").alias("score"))
-    floors = seeds.withColumn("place", F.row_number().over(best)).where(F.col("place") == k).select("query", (F.col("score") * (1 - SLACK)).alias("floor"))
+    best = Window.partitionBy("query").orderBy(F.desc("score") if digits is None else F.round("score", digits).desc(), "doc_key")
+    seeds = read(planned.where("seed"), index, without).groupBy("query", "doc_key").agg(F.sum("part").alias("score"))
+    floors = seeds.withColumn("place", F.row_number().over(best)).where(F.col("place") == k).select("query", (F.col("score") * (1 - SLACK) - (0.0 if digits is None else 10.0**-digits)).alias("floor"))
     told = planned.join(floors, "query", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)))
     told = materialize(told.withColumn("read", F.col("bound") + F.col("rest") >= F.col("floor")))
     # of each feature the greatest bound that isn't read
     unread = told.where("not read").groupBy("query", "feature").agg(F.max("bound").alias("unread"))
     open_ = unread.groupBy("query").agg(F.sum("unread").alias("open"))
-    parts = read(told.where("read"), index).join(unread, ["query", "feature"], "left")
+    parts = read(told.where("read"), index, without).join(unread, ["query", "feature"], "left")
     # a document has one posting of a feature: where it was read, nothing of that feature is open any more
     sums = parts.groupBy("query", "doc_key").agg(F.sum("part").alias("part"), F.coalesce(F.sum("unread"), F.lit(0.0)).alias("closed"))
     sums = sums.join(told.groupBy("query").agg(F.max("floor").alias("floor")), "query").join(open_, "query", "left").withColumn("open", F.coalesce("open", F.lit(0.0)))

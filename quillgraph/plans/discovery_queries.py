@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.text import DISCOVERY_STOP_WORDS
 from ..operators import discovery as d
 from ..operators import notes as n
+from ..sources.scratch import materialize
 from .registry import query
 
 #: A note's searched text, and its pairs of characters.
@@ -39,18 +40,45 @@ def gram_idf_candidates(s):
     return d.gram_candidates(index(s), asked_grams(s)).select("query", "card_id", F.round("weight", 6).alias("weight"))
 
 
-@query("note_candidates")
+def candidates_sql(excluded: str, bonus: str) -> str:
+    return f"""WITH RECURSIVE {GRAMS}, {KEYS.replace("SELECT id AS query, term FROM (SELECT id, term, row_number()", "SELECT id AS query, term, weight FROM (SELECT id, term, sum(w) AS weight, row_number()")}, ex AS ({excluded}), ask AS (SELECT id AS query FROM tx WHERE doc_id % 100 = 0),
+  ok AS (SELECT query, v_notes.id AS card_id FROM ask, v_notes WHERE v_notes.id NOT IN (SELECT card_id FROM v_unavailable) AND NOT EXISTS (SELECT 1 FROM ex WHERE ex.query = ask.query AND ex.card_id = v_notes.id)),
+  nb AS (SELECT source_id AS query, target_id AS card_id FROM v_links WHERE target_id IS NOT NULL UNION SELECT target_id, source_id FROM v_links WHERE target_id IS NOT NULL UNION SELECT card_id, parent_id FROM v_parents WHERE parent_id IS NOT NULL UNION SELECT l.source_id, p.parent_id FROM v_links l JOIN v_parents p ON p.card_id = l.target_id WHERE p.parent_id IS NOT NULL),
+  nr AS (SELECT * FROM (SELECT query, card_id, 0 AS kind, row_number() OVER (PARTITION BY query ORDER BY card_id) AS k FROM nb JOIN ok USING (query, card_id)) WHERE k <= 30),
+  f AS (SELECT term, count(*) AS n FROM g GROUP BY term), gs AS (SELECT q.query, g.card_id, sum(1.0::DOUBLE / n) AS weight FROM q JOIN f USING (term) JOIN g USING (term) GROUP BY ALL),
+  gr AS (SELECT * FROM (SELECT query, card_id, 1 AS kind, row_number() OVER (PARTITION BY query ORDER BY round(weight, 9) DESC, card_id) AS k FROM gs JOIN ok USING (query, card_id)) WHERE k <= 100),
+  ot AS (SELECT * FROM nr UNION ALL SELECT * FROM gr), tg AS (SELECT DISTINCT card_id, tag FROM v_tags), ow AS (SELECT * FROM (SELECT card_id AS query, tag, row_number() OVER (PARTITION BY card_id ORDER BY tag) AS nth FROM tg WHERE card_id IN (SELECT query FROM ask)) WHERE nth <= 6),
+  t0 AS (SELECT ow.query, tg.card_id, count(*) AS n, min(nth) AS nth FROM ow JOIN tg USING (tag) JOIN ok ON ok.query = ow.query AND ok.card_id = tg.card_id GROUP BY ow.query, tg.card_id),
+  t1 AS (SELECT query, card_id, n, row_number() OVER (PARTITION BY query ORDER BY nth, card_id) AS k FROM t0), t2 AS (SELECT * FROM t1 WHERE k <= 80 OR EXISTS (SELECT 1 FROM ot WHERE ot.query = t1.query AND ot.card_id = t1.card_id)),
+  al AS (SELECT query, card_id, min(kind * 1000000 + k) AS o FROM (SELECT * FROM ot UNION ALL SELECT query, card_id, 2, k FROM t2) GROUP BY ALL), sd AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY o) AS place FROM al),
+  fd AS (SELECT sd.query, sd.card_id, CASE WHEN o < 1000000 THEN 1 ELSE 0 END AS related, coalesce(n, 0) AS tag_matches, title, title_folded, lower(body) AS text FROM sd JOIN v_notes ON v_notes.id = sd.card_id LEFT JOIN t2 ON t2.query = sd.query AND t2.card_id = sd.card_id WHERE place <= 180),
+  hi AS (SELECT * FROM (SELECT fd.query, card_id, term, weight, CAST(contains(title_folded, term) AS INT) AS t, CAST(contains(text, term) AS INT) AS b FROM fd JOIN kt USING (query)) WHERE t + b > 0), fq AS (SELECT query, term, count(*) AS n FROM hi GROUP BY ALL),
+  co AS (SELECT query, card_id, sum((3 * t + b) * weight / sqrt(n)) AS content FROM hi JOIN fq USING (query, term) GROUP BY ALL),
+  sc AS (SELECT fd.query, fd.card_id, title, coalesce(content, 0) + 2 * least(tag_matches, 3) + 2 * related + {bonus} AS score FROM fd LEFT JOIN co USING (query, card_id))
+  SELECT query, card_id, round(score, 6) AS score, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, title, card_id) AS INT) AS place FROM sc WHERE score > 0 OR query NOT IN (SELECT query FROM kt)) WHERE place <= 12"""
+
+
+def paragraphs(s):
+    """What is being written in every second asked note."""
+    return s.v_notes.where("doc_id % 200 = 0").select("id", F.concat(F.lit("growing "), "title").alias("paragraph"))
+
+
+def proposed(s, excluded, parents=None):
+    terms = materialize(d.key_terms(asked(s), paragraphs=paragraphs(s)))
+    grams = terms.select("query", F.explode(n.bigrams("term")).alias("term")).distinct()
+    found = d.seeds(asked(s), s.v_links, s.v_parents, s.v_tags, index(s), grams, s.v_unavailable.select("card_id"), excluded)
+    return d.ranked(found, s.v_notes, terms, parents=parents).select("query", "card_id", F.round("score", 6).alias("score"), "place")
+
+
+@query("note_candidates", candidates_sql("SELECT id AS query, id AS card_id FROM tx", "0").replace("FROM tx WHERE doc_id % 100 = 0),", "FROM tx WHERE doc_id % 100 = 0 UNION ALL SELECT id, 5, 'growing ' || title FROM tx WHERE doc_id % 200 = 0),", 1))
 def note_candidates(s):
-    found = d.seeds(asked(s), s.v_links, s.v_parents, s.v_tags, index(s), asked_grams(s))
-    return d.ranked(n.active(found, s.v_unavailable, "card_id"), s.v_notes, d.key_terms(asked(s)))
+    return proposed(s, d.exclusions(asked(s)))
 
 
-@query("parent_candidates")
+@query("parent_candidates", candidates_sql("SELECT id AS query, id AS card_id FROM tx WHERE doc_id % 100 = 0 UNION SELECT ex.query, p.card_id FROM ex JOIN v_parents p ON p.parent_id = ex.card_id", "CASE WHEN content > 0 AND fd.card_id IN (SELECT parent_id FROM v_parents WHERE parent_id IS NOT NULL) THEN 2 ELSE 0 END").replace("FROM tx WHERE doc_id % 100 = 0),", "FROM tx WHERE doc_id % 100 = 0 UNION ALL SELECT id, 5, 'growing ' || title FROM tx WHERE doc_id % 200 = 0),", 1))
 def parent_candidates(s):
     """Without the asked notes themselves and what is below them."""
-    found = d.seeds(asked(s), s.v_links, s.v_parents, s.v_tags, index(s), asked_grams(s))
-    possible = d.as_parents(n.active(found, s.v_unavailable, "card_id"), s.v_parents, asked(s))
-    return d.ranked(possible, s.v_notes, d.key_terms(asked(s)))
+    return proposed(s, d.exclusions(asked(s), s.v_parents), s.v_parents)
 
 
 @query("graph_group")
