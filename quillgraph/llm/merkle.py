@@ -114,10 +114,10 @@ def top_tree(roots: list[tuple[str, int, str]]) -> list[tuple[str, int, list[tup
     return out
 
 
-def tree(nodes: DataFrame, top: int = TOP) -> DataFrame:
-    """nodes (g: group, a string; k: its order in the group; node: its digest; more)
-    without k, and with path, the siblings on its way to the group's last node (an
-    array of left and right sides), and root, that node."""
+def climbed(nodes: DataFrame, top: int = TOP) -> DataFrame:
+    """The nodes (g: group, a string; k: its order in the group; node: its digest;
+    more) in blocks: g, rows, levels, suffix (the siblings from the block's top on,
+    an array of left and right sides) and root, the group's last node."""
     spark = nodes.sparkSession
     rounds, level = [], numbered(nodes).drop("k")
     while True:
@@ -128,12 +128,21 @@ def tree(nodes: DataFrame, top: int = TOP) -> DataFrame:
     found = top_tree(sorted((r.g, r.pos, r.node) for r in level.select("g", "pos", "node").collect())) if left else []
     suffix = F.broadcast(spark.createDataFrame(found, f"g string, block long, suffix {SIDES}, last string"))
     for k in reversed(range(len(rounds))):
-        x = rounds[k].join(suffix, ["g", "block"], "left")
-        x = x.select("g", "levels", F.coalesce("suffix", F.array().cast(SIDES)).alias("suffix"), F.coalesce("last", "top").alias("root"), F.posexplode("rows").alias("at", "row"))
-        x = x.withColumn("path", F.concat(sides_within(F.col("levels"), F.col("at")), F.col("suffix")))
+        x = rounds[k].join(suffix, ["g", "block"], "left").select("g", "levels", "rows", F.coalesce("suffix", F.array().cast(SIDES)).alias("suffix"), F.coalesce("last", "top").alias("root"))
         if k:
-            suffix = x.select("g", F.col("row.pos").alias("block"), F.col("path").alias("suffix"), F.col("root").alias("last"))
-    return x.select("g", "row.*", "path", "root").drop("pos")
+            suffix = single(x).select("g", F.col("row.pos").alias("block"), F.col("path").alias("suffix"), F.col("root").alias("last"))
+    return x
+
+
+def single(x: DataFrame) -> DataFrame:
+    """climbed()'s blocks as rows: g, row, path (all siblings on the way to the root) and root."""
+    x = x.select("g", "levels", "suffix", "root", F.posexplode("rows").alias("at", "row"))
+    return x.select("g", "row", F.concat(sides_within(F.col("levels"), F.col("at")), F.col("suffix")).alias("path"), "root")
+
+
+def tree(nodes: DataFrame, top: int = TOP) -> DataFrame:
+    """nodes without k, and with path and root, as in single()."""
+    return single(climbed(nodes, top)).select("g", "row.*", "path", "root").drop("pos")
 
 
 def manifest(docs: DataFrame, tampered: Column | None = None, top: int = TOP) -> DataFrame:
@@ -146,11 +155,13 @@ def manifest(docs: DataFrame, tampered: Column | None = None, top: int = TOP) ->
         F.when(F.col("source").isNull(), "").otherwise(F.concat(F.lit("="), "source")).alias("g"),
         F.col("doc_id").alias("k"), leaf(fields).alias("node"), "doc_id", F.when(change.isNotNull(), leaf([*fields[:-1], change])).alias("own"),
     )
-    rows = tree(thin, top).select("g", "doc_id", F.col("node").alias("leaf"), F.coalesce("own", "node").alias("own"), "path", F.col("root").alias("subroot"))
-    subroots = rows.select("g", "subroot").distinct().select(F.lit("").alias("g"), F.col("g").alias("k"), F.col("subroot").alias("node"), F.col("g").alias("source"))
-    above = tree(subroots, top).select(F.col("source").alias("g"), F.col("path").alias("above"), "root")
-    out = rows.join(above, "g").withColumn("path", F.concat("path", "above"))
-    return out.select("doc_id", F.when(F.col("g") != "", F.substring("g", 2, 1 << 30)).alias("source"), "leaf", "own", "subroot", "root", "path")
+    found = climbed(thin, top)
+    subroots = found.select("g", "root").distinct().select(F.lit("").alias("g"), F.col("g").alias("k"), F.col("root").alias("node"), F.col("g").alias("source"))
+    above = tree(subroots, top).select(F.col("source").alias("g"), F.col("path").alias("above"), F.col("root").alias("last"))
+    # blocks, not rows, meet what is above their source
+    found = found.join(above, "g").select("g", "levels", "rows", F.concat("suffix", "above").alias("suffix"), F.struct("root", "last").alias("root"))
+    source = F.when(F.col("g") != "", F.substring("g", 2, 1 << 30)).alias("source")
+    return single(found).select("row.doc_id", source, F.col("row.node").alias("leaf"), F.coalesce("row.own", "row.node").alias("own"), F.col("root.root").alias("subroot"), F.col("root.last").alias("root"), "path")
 
 
 def folded(leaf: Column, path: Column) -> Column:
