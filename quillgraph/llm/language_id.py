@@ -5,9 +5,15 @@ character n-grams of one to four letters. A known word scores by its own log
 frequency. An unseen word scores by its longest known n-grams: four letters,
 and if none of these is known three, then two, then one.
 
+What is learned comes from a bounded sample of distinct texts of each language;
+copies don't count in it, so a language of few texts in many copies is learned
+from all of them. Everything in the sample is kept.
+
 Cases: a text that is null or has no letter gets ``und`` and score 0, as does
-every text if there is nothing to learn from. Ties go to the language that
-sorts first. Repeated rows are each predicted. Other columns are ignored.
+every text if there is nothing to learn from. A language whose sample has no
+letter is never predicted. Ties go to the language that sorts first. Repeated
+rows are each predicted. Columns of the documents that are called as the new ones
+stay, with underscores in front.
 """
 
 from __future__ import annotations
@@ -16,7 +22,7 @@ from collections import Counter
 
 import numpy as np
 import regex
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import appended, by_batch, filtered, id_remainder, small_batches, table
@@ -39,24 +45,18 @@ class Model:
     sample lacks. Item i adds gain[j] for language lang[j], start[i] <= j <
     start[i + 1], so the model grows with the items that languages have."""
 
-    def __init__(self, langs: list[str], rows: list[tuple[int, str, int, int]]):
-        """rows: kind, item, number of the language and count."""
-        self.langs = langs
-        rows.sort()
-        totals = np.zeros((LONGEST + 1, len(langs)))
+    def __init__(self, langs: list[str], kind: np.ndarray, items: list[str], lang: np.ndarray, n: np.ndarray):
+        """Rows in the order of kind and item: kind, item, the language's number and count."""
+        self.langs, self.lang = langs, lang
+        totals = np.bincount(kind * max(len(langs), 1) + lang, n, (LONGEST + 1) * max(len(langs), 1)).reshape(LONGEST + 1, -1)
+        new = np.array([i == 0 or items[i] != items[i - 1] for i in range(len(items))], bool)
+        new[1:] |= kind[1:] != kind[:-1]
+        start = np.flatnonzero(new)
+        self.kind, self.start, self.size = kind[start], start, np.diff(np.r_[start, len(items)])
         self.items: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
-        kinds, start, before = [], [], None
-        for j, (kind, item, lang, n) in enumerate(rows):
-            totals[kind, lang] += n
-            if (kind, item) != before:
-                before = (kind, item)
-                self.items[kind][item] = len(start)
-                kinds.append(kind)
-                start.append(j)
-        self.kind, self.start = np.array(kinds, np.int64), np.array([*start, len(rows)], np.int64)
-        self.size = np.diff(self.start)
-        self.lang = np.array([r[2] for r in rows], np.int64)
-        self.gain = np.log(np.array([r[3] for r in rows], float) + HALF) - np.log(HALF)
+        for i, (k, at) in enumerate(zip(self.kind.tolist(), start.tolist())):
+            self.items[k][items[at]] = i
+        self.gain = np.log(n + HALF) - np.log(HALF)
         distinct = np.array([len(x) for x in self.items], float)
         self.base = np.log(HALF) - np.log(totals + HALF * distinct[:, None] + 1)
 
@@ -69,18 +69,14 @@ class Model:
         return gains + np.bincount(self.kind[ids], weights, LONGEST + 1) @ self.base
 
 
-def fit(train: DataFrame, text: str = "text", lang: str = "lang", docs_per_lang: int = 2_000, words_per_lang: int = 20_000, grams_per_lang: int = 20_000) -> Model:
-    """Learns every language from a sample of at most about docs_per_lang
-    distinct texts of each, and keeps of each language its words_per_lang most
-    frequent words and grams_per_lang n-grams of those that its sample has
-    twice, whatever the other languages hold."""
+def fit(train: DataFrame, text: str = "text", lang: str = "lang", docs_per_lang: int = 1_000) -> Model:
+    """Learns every language from a sample of about docs_per_lang distinct texts of
+    each at most, the only bound there is; of all words and n-grams in it."""
     train = train.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
-    sizes = train.groupBy("lang").agg(F.count("*").alias("rows"))
-    langs = sorted(r["lang"] for r in sizes.select("lang").collect())
-    at = {k: i for i, k in enumerate(langs)}
-    u = F.pmod(F.xxhash64("text"), F.lit(1_000_003)) / 1_000_003
-    # one row for a language: small
-    sample = train.join(F.broadcast(sizes), "lang").where(u * F.col("rows") < docs_per_lang).select("lang", "text").dropDuplicates()
+    # the sample draws texts, so texts are counted, not rows: by sketches, a row for each language
+    sizes = train.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text"), 0.02).alias("texts"))
+    u = F.xxhash64("text").bitwiseAND((1 << 52) - 1) / float(1 << 52)
+    sample = train.join(F.broadcast(sizes), "lang").where(u * F.col("texts") < docs_per_lang).select("lang", "text").dropDuplicates()
 
     def count(cols):
         by = {}
@@ -101,10 +97,12 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", docs_per_lang:
                 out["n"] += items.values()
         return out
 
-    counts = by_batch(sample, "lang string, kind int, item string, n long", count).groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")).where("n >= 2")
-    place = F.row_number().over(Window.partitionBy("lang", F.col("kind") > 0).orderBy(F.desc("n"), "kind", "item"))
-    kept = counts.withColumn("place", place).where(F.col("place") <= F.when(F.col("kind") == 0, words_per_lang).otherwise(grams_per_lang))
-    return Model(langs, [(r["kind"], r["item"], at[r["lang"]], r["n"]) for r in kept.select("lang", "kind", "item", "n").collect()])
+    counts = by_batch(sample, "lang string, kind int, item string, n long", count).groupBy("kind", "item", "lang").agg(F.sum("n").alias("n"))
+    found = counts.orderBy("kind", "item", "lang").toArrow()
+    langs = sorted(set(found["lang"].to_pylist()))
+    at = {x: i for i, x in enumerate(langs)}
+    number = np.array([at[x] for x in found["lang"].to_pylist()], np.int64)
+    return Model(langs, found["kind"].to_numpy().astype(np.int64), found["item"].to_pylist(), number, found["n"].to_numpy().astype(float))
 
 
 class Scorer:
@@ -146,7 +144,13 @@ class Scorer:
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with lang_pred and score."""
+    """docs with lang_pred and score; columns of docs of these names get underscores in front."""
+    own = [c for c in docs.columns if c in ("lang_pred", "score")]
+    for c in own:
+        to = f"_{c}"
+        while to in docs.columns:
+            to = f"_{to}"
+        docs, text = docs.withColumnRenamed(c, to), to if text == c else text
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():

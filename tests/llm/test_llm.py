@@ -279,12 +279,36 @@ def test_very_many_languages(spark):
     """A rare language is learned, however many others and however long their texts."""
     rows = [(f"l{k:03}", f"word{chr(97 + k % 26)}{chr(97 + k // 26)}x tail{chr(97 + k % 26)}{chr(97 + k // 26)}y " * (40 if k else 2)) for k in range(260)]
     rows = [(x, t.replace("word", "w")) for x, t in rows]
-    model = language_id.fit(spark.createDataFrame(rows, "lang string, text string"), words_per_lang=2, grams_per_lang=50)
+    model = language_id.fit(spark.createDataFrame(rows, "lang string, text string"))
     assert len(model.langs) == 260
     score = language_id.Scorer(model).score
     assert all(score(t)[0] == x for x, t in rows[:5] + rows[-5:])
 
 
+def test_languages_of_copies(spark):
+    """Four languages of one sentence in thousands of copies, one of many texts; a sample far smaller than the rows."""
+    said = {"de": "der hund läuft schnell über die straße", "es": "el perro corre rápido por la calle", "fr": "le chien court vite dans la rue", "it": "il cane corre veloce per la strada"}
+    copies = spark.createDataFrame([*said.items()], "lang string, text string").crossJoin(spark.range(5_000)).select("lang", "text")
+    many = spark.range(5_000).select(F.lit("en").alias("lang"), F.concat(F.lit("the cat sat on mat number "), F.col("id").cast("string"), F.lit(" and the dog ran")).alias("text"))
+    mute = spark.createDataFrame([("xx", "12 34"), ("yy", "")], "lang string, text string")
+    model = language_id.fit(copies.union(many).union(mute), docs_per_lang=200)
+    assert model.langs == ["de", "en", "es", "fr", "it"]
+    score = language_id.Scorer(model).score
+    assert all(score(t)[0] == k for k, t in said.items())
+    assert score("the cat sat")[0] == "en" and score("the cat sat")[1] > 0.9
+    assert score("die straße")[0] == "de" and score("qqqq")[0] in model.langs
+
+
+def test_language_beside_columns_of_its_own_names(spark):
+    docs = awkward(spark)
+    assert {"score", "lang_pred"} <= {*docs.columns}
+    got = language_id.identify(docs, language_id.fit(docs))
+    assert len({*got.columns}) == len(got.columns) == len(docs.columns) + 2
+    assert got.where("_score = 'clash' and _lang_pred = 'clash' and score >= 0").count() == docs.count()
+    same = spark.createDataFrame([("b", "aa bb"), ("a", "aa bb")], "lang string, text string")  # a tie goes to the first
+    assert language_id.Scorer(language_id.fit(same)).score("aa")[0] == "a"
+
+
 # ---- 5 mixing
 
 
