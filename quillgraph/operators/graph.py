@@ -52,22 +52,17 @@ def descendants(parents: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def cycles(parents: DataFrame) -> DataFrame:
-    """id of the nodes that are their own ancestors.
-
-    Nodes whose parent is missing, the top, or already known to lead there are
-    taken off again and again; what stays leads into a cycle, and the nodes of it
-    that nothing else of it hangs below are taken off in turn."""
-    left = materialize(parents.where("parent_id is not null").select("card_id", "parent_id"))
-    n = left.count()
-    for up in (True, False):
-        while n:
-            other = left.select(F.col("card_id" if up else "parent_id").alias("parent_id" if up else "card_id")).distinct()
-            left = materialize(left.join(other, "parent_id" if up else "card_id", "left_semi").select("card_id", "parent_id"))
-            m = left.count()
-            if m == n:
-                break
-            n = m
-    return left.select(F.col("card_id").alias("id"))
+    """id of the nodes that are their own ancestors; a node has one parent.
+
+    A table of jumps, first to the parent, is squared until a jump is longer than
+    there are nodes. Who has no node so far up leads to the top and is gone;
+    where the others land is on a cycle, and each node of a cycle is landed on."""
+    jumps = materialize(parents.where("parent_id is not null").select("card_id", F.col("parent_id").alias("to")).distinct())
+    reach, n = 1, jumps.count()
+    while reach < n and not jumps.isEmpty():
+        further = jumps.select(F.col("card_id").alias("to"), F.col("to").alias("next"))
+        jumps, reach = materialize(jumps.join(further, "to").select("card_id", F.col("next").alias("to"))), 2 * reach
+    return jumps.select(F.col("to").alias("id")).distinct()
 
 
 def would_cycle(parents: DataFrame, moves: DataFrame) -> DataFrame:

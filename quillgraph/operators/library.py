@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialize
+from .order import running
+
 CITATION_KEY = r"(?m)^Citation Key:\s*(\S+)"
 MARKS = ("highlight", "underline")
 
@@ -111,16 +114,15 @@ def transitions(states: DataFrame, actions: DataFrame) -> DataFrame:
 def free_seconds(wanted: DataFrame, taken: DataFrame) -> DataFrame:
     """id and second: of rows (id, second) in the order of second and id, each the
     first second from its own on that is neither taken (second) nor given before.
-    Among free seconds only, that is a running maximum. One batch of new notes
-    has no key to be parted by."""
-    whole = Window.partitionBy(F.lit(0))
-    given = taken.select("second").distinct().withColumn("before", F.row_number().over(whole.orderBy("second")) - 1)
+    Among free seconds only, that is a running maximum. All that runs over whole
+    tables does so by ranges: see order."""
+    no_id = F.lit(None).cast(wanted.schema["id"].dataType).alias("id")
+    given = materialize(running(taken.select("second").distinct(), ["second"], n=("sum", "1L")).select("second", (F.col("n") - 1).alias("before")))
     # how many taken seconds lie before each wanted one
-    marks = wanted.select("id", "second").withColumn("kind", F.lit(0)).unionByName(given.select(F.lit(None).cast(wanted.schema["id"].dataType).alias("id"), "second", F.lit(1).alias("kind")))
-    upto = F.sum("kind").over(whole.orderBy("second", "kind").rowsBetween(Window.unboundedPreceding, 0))
-    rows = marks.withColumn("upto", upto).where("kind = 0").withColumn("n", F.row_number().over(whole.orderBy("second", "id")))
-    rows = rows.withColumn("free", F.max(F.col("second") - F.col("upto") - F.col("n")).over(whole.orderBy("n").rowsBetween(Window.unboundedPreceding, 0)) + F.col("n"))
+    marks = wanted.select("id", "second", F.lit(0).alias("kind")).union(given.select(no_id, "second", F.lit(1)))
+    rows = running(marks, ["second", "kind", "id"], upto=("sum", "kind"), n=("sum", "1L - kind")).where("kind = 0")
+    rows = running(rows.select("id", "second", "upto", "n"), ["n"], free=("max", "second - upto - n")).select("id", (F.col("free") + F.col("n")).alias("free"))
     # back: a taken second with b taken before it has second - b free ones before it
-    back = rows.select("id", "free", F.lit(0).alias("kind")).unionByName(given.select(F.lit(None).cast(wanted.schema["id"].dataType).alias("id"), (F.col("second") - F.col("before")).alias("free"), F.lit(1).alias("kind")))
-    passed = F.sum("kind").over(whole.orderBy("free", F.desc("kind")).rowsBetween(Window.unboundedPreceding, 0))
-    return back.withColumn("passed", passed).where("kind = 0").select("id", (F.col("free") + F.col("passed")).alias("second"))
+    back = rows.select("id", "free", F.lit(0).alias("kind")).union(given.select(no_id, (F.col("second") - F.col("before")).alias("free"), F.lit(1)))
+    passed = running(back, ["free", F.desc("kind")], passed=("sum", "kind"))
+    return passed.where("kind = 0").select("id", (F.col("free") + F.col("passed")).alias("second"))

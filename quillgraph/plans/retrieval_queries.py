@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions.text import STOP_WORDS
-from ..operators import bounds
+from ..operators import bounds, cells
 from ..operators import dense as d
 from ..operators import lexical as x
 from ..sources.scratch import materialize
@@ -121,12 +121,22 @@ def vectors(s):
     return s.embeddings.select(F.col("vec_id").alias("key"), F.col("label").alias("library"), F.col("embedding").alias("vector"))
 
 
-@query("dense_topk", f"""WITH {VECTORS} SELECT query, key, round(score, 6) AS score, place FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, key) AS place FROM (SELECT q.key AS query, v.key, least(1.0, list_cosine_similarity(q.v, v.v)) AS score FROM v q JOIN v USING (library) WHERE q.key % 100 = 0 AND v.key <> q.key) WHERE score > 0) WHERE place <= 10""")
+DENSE = f"""WITH {VECTORS} SELECT query, key, round(score, 6) AS score, place FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, key) AS place FROM (SELECT q.key AS query, v.key, least(1.0, list_cosine_similarity(q.v, v.v)) AS score FROM v q JOIN v USING (library) WHERE q.key % 100 = 0 AND v.key <> q.key) WHERE score > 0) WHERE place <= 10"""
+
+
+@query("dense_topk", DENSE)
 def dense_topk(s):
     v = vectors(s)
     return d.nearest(v, v.where("key % 100 = 0"), 10).select("query", "key", F.round("score", 6).alias("score"), F.col("place").cast("long").alias("place"))
 
 
+@query("dense_indexed", DENSE)
+def dense_indexed(s):
+    """The same through cells, without comparing all."""
+    v = vectors(s)
+    return cells.nearest(cells.build(v), v.where("key % 100 = 0"), 10)[0].select("query", "key", F.round("score", 6).alias("score"), F.col("place").cast("long").alias("place"))
+
+
 @query("semantic_preview", f"""WITH {VECTORS}, t AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, key) - 1 AS r, max(score) OVER (PARTITION BY query) AS best FROM (SELECT q.key AS query, v.key, list_cosine_similarity(q.v, v.v) AS score FROM v q JOIN v USING (library) WHERE q.key % 100 = 0 AND v.key <> q.key) WHERE score > 0)
   SELECT query, key, round((1.0 / (61 + r)) / (2 / 61.0::DOUBLE), 6) AS fused FROM t WHERE r < 100 AND score >= greatest(0.4, 0.7 * best)""")
 def semantic_preview(s):

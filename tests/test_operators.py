@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -171,6 +173,18 @@ def test_long_chains_and_cycles(spark):
     assert got == {("a", "b"): 1, ("a", "c"): 2, ("a", "a"): 3, ("b", "c"): 1, ("b", "a"): 2, ("b", "b"): 3, ("c", "a"): 1, ("c", "b"): 2, ("c", "c"): 3, ("d", "a"): 1, ("d", "b"): 2, ("d", "c"): 3}
 
 
+def test_cycles_below_a_very_long_chain(spark, monkeypatch):
+    from quillgraph.operators import graph
+
+    rounds = []
+    monkeypatch.setattr(graph, "materialize", lambda df, f=graph.materialize: rounds.append(1) or f(df))
+    chain = spark.range(10_000).selectExpr("concat('n', id) AS card_id", "CASE WHEN id > 0 THEN concat('n', id - 1) END AS parent_id")
+    assert graph.cycles(chain).count() == 0 and len(rounds) <= 16
+    tail = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "c"), ("x", "y")], "card_id string, parent_id string").union(spark.range(700).selectExpr("concat('t', id) AS card_id", "CASE WHEN id > 0 THEN concat('t', id - 1) ELSE 'a' END AS parent_id"))
+    assert {r.id for r in graph.cycles(chain.union(tail)).collect()} == {"a", "b", "c"}
+    assert graph.cycles(chain.limit(0)).count() == 0
+
+
 def test_deleted_in_a_row(spark):
     n = spark.createDataFrame([(x,) for x in "abcde"], "id string")
     parents = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("d", "c"), ("e", "d")], "card_id string, parent_id string")
@@ -194,6 +208,56 @@ def test_free_seconds(spark):
     assert {r.id: r.second for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_free_seconds_over_ranges(spark, seed):
+    from quillgraph.operators import library
+
+    rng = random.Random(seed)
+    taken = {rng.randrange(400) for _ in range(250)}
+    wanted = [(i, rng.choice([7, 50, 51, rng.randrange(500)])) for i in range(300)]
+    given, want = set(taken), {}
+    for i, t in sorted(wanted, key=lambda x: (x[1], x[0])):
+        while t in given:
+            t += 1
+        given.add(t)
+        want[i] = t
+    got = library.free_seconds(spark.createDataFrame(wanted, "id int, second long"), spark.createDataFrame([(t,) for t in taken], "second long"))
+    assert {r.id: r.second for r in got.collect()} == want
+    assert library.free_seconds(spark.createDataFrame(wanted, "id int, second long").limit(0), spark.createDataFrame([(1,)], "second long")).count() == 0
+    nothing = library.free_seconds(spark.createDataFrame([(1, 5), (2, 5)], "id int, second long"), spark.createDataFrame([], "second long"))
+    assert {r.id: r.second for r in nothing.collect()} == {1: 5, 2: 6}
+
+
+def test_running_values(spark):
+    from quillgraph.operators.order import running
+
+    rng = random.Random(1)
+    rows = [(i, rng.randrange(-5, 9)) for i in range(500)]
+    got = {r.i: (r.s, r.m) for r in running(spark.createDataFrame(rows, "i int, x long").repartition(7), ["i"], s=("sum", "x"), m=("max", "x")).collect()}
+    assert got == {i: (sum(x for _, x in rows[: i + 1]), max(x for _, x in rows[: i + 1])) for i in range(500)}
+
+
+@pytest.mark.parametrize("k", [1, 7, 100])
+def test_nearest_through_cells(spark, k):
+    """The same as comparing all, over clusters, copies, ties and vectors without length; and fewer are compared."""
+    import numpy as np
+
+    from quillgraph.operators import cells, dense
+
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(12, 16))
+    rows = [(i, "ab"[i % 7 == 0], (centres[i % 12] + rng.normal(size=16) * 0.15).astype("float32").tolist()) for i in range(1_500)]
+    rows += [(2_000 + i, "a", rows[0][2]) for i in range(40)] + [(3_000, "a", [0.0] * 16), (3_001, "a", None), (3_002, None, rows[1][2]), (3_003, "c", rows[2][2])]
+    v = spark.createDataFrame(rows, "key long, library string, vector array<float>")
+    q = v.where("key % 50 = 0 or key >= 3000")
+    want = {(r.query, r.key): (round(r.score, 9), r.place) for r in dense.nearest(v, q, k).collect()}
+    found, told = cells.nearest(cells.build(v), q, k)
+    assert {(r.query, r.key): (round(r.score, 9), r.place) for r in found.collect()} == want
+    x = told.groupBy("read").agg({"n": "sum"}).collect()
+    share = {r["read"]: r["sum(n)"] for r in x}
+    assert k == 100 or share[True] < 0.5 * sum(share.values())
+
+
 def test_vector_pairs(spark):
     import numpy as np
 
