@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -158,23 +159,60 @@ def weak_flags(corpus: DataFrame, counted: DataFrame, least: int = 25) -> DataFr
     return corpus.select("doc_key", "body").join(n, "doc_key", "left").select("doc_key", ((F.trim("body") == "") | (F.coalesce("n", F.lit(0)) < least)).alias("weak"))
 
 
+def tables_of(simhash: str, bits: int) -> Column:
+    """Keys of a simhash, one a table. 64 bits fall into bits + 3 blocks, and each
+    choice of three of them is a table, so a key has about 32 bits for three bits
+    of difference; two hashes with no more than ``bits`` different bits agree in
+    three blocks at least, and so in a table."""
+    n = bits + 3
+    ends = [64 * i // n for i in range(n + 1)]
+    part = lambda i: F.shiftleft(F.shiftrightunsigned(simhash, ends[i]), 64 - (ends[i + 1] - ends[i]))
+    # left-aligned blocks, packed one behind the other
+    keys = []
+    for k, chosen in enumerate(combinations(range(n), 3)):
+        at, key = 0, F.lit(0).cast("long")
+        for i in chosen:
+            key = key.bitwiseOR(F.shiftrightunsigned(part(i), at))
+            at += ends[i + 1] - ends[i]
+        keys.append(F.struct(F.lit(k).alias("table"), key.alias("key")))
+    return F.array(*keys)
+
+
+#: Hashes of one key that a task compares with as many others.
+CROWD = 512
+
+
+def near_hashes(hashes: DataFrame, bits: int = 3) -> DataFrame:
+    """a < b of different simhashes (simhash) of which no more than ``bits`` bits
+    differ, each pair once. A hash is looked at only in tables where another
+    shares its key; a key of very many is cut into squares of CROWD."""
+    rows = hashes.select("simhash").distinct().select("simhash", F.explode(tables_of("simhash", bits)).alias("t")).select("simhash", "t.table", "t.key")
+    rows = materialize(rows)
+    shared = rows.groupBy("table", "key").agg(F.count("*").alias("n")).where("n > 1").withColumn("squares", F.ceil(F.col("n") / CROWD).cast("int")).drop("n")
+    rows = materialize(rows.join(shared, ["table", "key"]).withColumn("own", F.pmod(F.xxhash64("simhash"), F.col("squares")).cast("int")))
+    # each goes to the squares of its row and of its column
+    one = rows.select("table", "key", F.col("simhash").alias("a"), F.col("own").alias("i"), F.explode(F.sequence(F.lit(0), F.col("squares") - 1)).alias("j"))
+    two = rows.select("table", "key", F.col("simhash").alias("b"), F.col("own").alias("j"), F.explode(F.sequence(F.lit(0), F.col("squares") - 1)).alias("i"))
+    met = one.join(two, ["table", "key", "i", "j"]).where(F.col("a") < F.col("b")).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits)
+    return met.select("a", "b").distinct()
+
+
 def near_duplicates(hashes: DataFrame, signature: DataFrame, weak: DataFrame, least: float = 0.95, bits: int = 3, length: float = 100) -> tuple[DataFrame, DataFrame]:
     """Near duplicates among documents that are long enough and not weak, whose
     simhashes differ in few bits and whose signatures have a cosine of least or
     more. Documents of the same simhash and signature are one class before
     anything is compared: returns pairs doc_key < other of class representatives
     with their cosine, and doc_key and copy_of, the representative of each
-    document. Pairs meet by one of bits + 1 bands of the simhash, of which one has
-    to be equal."""
+    document."""
     own = signature.groupBy("doc_key").agg(F.md5(F.to_json(F.array_sort(F.collect_list(F.struct("feature", "weight")))).cast("binary")).alias("digest"))  # a signature has 256 features at most
     sound = hashes.where(F.col("length") >= length).join(weak.where("weak").select("doc_key"), "doc_key", "left_anti").join(own, "doc_key")
     least_key = sound.groupBy("simhash", "digest").agg(F.min("doc_key").alias("copy_of"))
     members = materialize(sound.join(least_key, ["simhash", "digest"]).select("doc_key", "copy_of", "simhash"))
-    width = 64 // (bits + 1)
-    bands = F.array(*[F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("simhash", k * width).bitwiseAND(F.lit((1 << width) - 1)).alias("part")) for k in range(bits + 1)])
-    rows = members.where("doc_key = copy_of").select("doc_key", "simhash", F.explode(bands).alias("b")).select("doc_key", "simhash", "b.*")
-    other = rows.select(F.col("doc_key").alias("other"), F.col("simhash").alias("simhash2"), "band", "part")
-    near = rows.join(other, ["band", "part"]).where((F.col("doc_key") < F.col("other")) & (F.bit_count(F.col("simhash").bitwiseXOR(F.col("simhash2"))) <= bits)).select("doc_key", "other").distinct()
+    heads = members.where("doc_key = copy_of").select("doc_key", "simhash")
+    pairs = near_hashes(heads, bits)
+    pairs = pairs.union(heads.groupBy("simhash").agg(F.count("*").alias("n")).where("n > 1").select(F.col("simhash").alias("a"), F.col("simhash").alias("b")))
+    rows = pairs.join(heads.select(F.col("doc_key").alias("x"), F.col("simhash").alias("a")), "a").join(heads.select(F.col("doc_key").alias("y"), F.col("simhash").alias("b")), "b").where((F.col("a") != F.col("b")) | (F.col("x") < F.col("y")))
+    near = rows.select(F.least("x", "y").alias("doc_key"), F.greatest("x", "y").alias("other"))
     cos = cosines(near.select(F.col("doc_key").alias("query"), F.col("other").alias("doc_key")), signature, "cosine").where(F.col("cosine") >= least)
     return cos.select(F.col("query").alias("doc_key"), F.col("doc_key").alias("other"), "cosine"), members.select("doc_key", "copy_of")
 

@@ -355,3 +355,25 @@ def test_scopes(spark):
         paths.remove(own := paths[0])
         scratch.materialize(spark.range(4))
     assert {f"file://{p}" for p in set(glob.glob(f"{root}/*")) - before} == {own} and kept.count() == 3
+
+
+@pytest.mark.parametrize("crowd", [512, 5])
+def test_near_hashes_against_all_pairs(spark, monkeypatch, crowd):
+    """Hashes up to four bits apart, among them a crowd that shares its keys; keys are of some 32 bits."""
+    monkeypatch.setattr(lexical, "CROWD", crowd)
+    rng = random.Random(4)
+    signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
+    hashes = {rng.getrandbits(64) for _ in range(300)}
+    for h in list(hashes)[:60]:
+        for n in range(5):
+            x = h
+            for i in rng.sample(range(64), n):
+                x ^= 1 << i
+            hashes.add(x)
+    hashes |= {(1 << 40) + i for i in range(40)} | {0, (1 << 64) - 1, (1 << 63)}
+    df = spark.createDataFrame([(signed(x),) for x in hashes], "simhash long")
+    want = {tuple(sorted((signed(x), signed(y)))) for x in hashes for y in hashes if x < y and (x ^ y).bit_count() <= 3}
+    got = [(r.a, r.b) for r in lexical.near_hashes(df.union(df)).collect()]
+    assert set(got) == want and len(got) == len(want) > 100
+    keys = df.select(F.explode(lexical.tables_of("simhash", 3)).alias("t")).select("t.*")
+    assert keys.select("table").distinct().count() == 20
