@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import tagging as t
+from ..operators import cells, suggest
 from ..operators import dense as d
 from ..operators import lexical as x
 from ..operators import tags as g
+from ..sources.scratch import materialize
 from .registry import query
 from .retrieval_queries import COUNTS
 
@@ -218,3 +220,27 @@ def merged_tag_groups(s):
     names = s.v_tags.select(F.col("tag").alias("name")).distinct()
     pairs = g.duplicate_pairs(names)
     return g.merged_groups(g.duplicate_groups(names, pairs), pairs, d.vector_pairs(tag_vectors(s).withColumn("library", F.lit(0))))
+
+
+#: The catalogue: all tags, and the first two words of every tenth title.
+NAMES = "SELECT tag AS name FROM v_tags UNION SELECT concat(split_part(title_folded, ' ', 1), ' ', split_part(title_folded, ' ', 2)) FROM v_notes WHERE doc_id % 10 = 0"
+NORMAL = "trim(regexp_replace(" + KEY.format("regexp_replace({0}, '<[^>]*>', ' ', 'g')") + ", '[^\\p{{L}}\\p{{N}}+#]+', ' ', 'g'))"
+TIMES = "((length('  ' || replace({0}, ' ', '  ') || '  ') - length(replace('  ' || replace({0}, ' ', '  ') || '  ', ' ' || replace(key, ' ', '  ') || ' ', ''))) // (length(replace(key, ' ', '  ')) + 2))"
+
+
+@query("tag_matches", f"""WITH n AS (SELECT DISTINCT {NORMAL.format('name')} AS key FROM ({NAMES})), x AS (SELECT doc_key, {', '.join(f'{NORMAL.format(c)} AS {c}' for c in ('title', 'abstract', 'body'))} FROM v_corpus),
+  m AS (SELECT doc_key, key, {', '.join(f'CAST({TIMES.format(c)} AS INT) AS in_{c}' for c in ('title', 'abstract', 'body'))} FROM x, n WHERE key <> '') SELECT * FROM m WHERE in_title + in_abstract + in_body > 0""")
+def tag_matches(s):
+    pairs = s.v_notes.where("doc_id % 10 = 0").select(F.concat(F.split_part("title_folded", F.lit(" "), F.lit(1)), F.lit(" "), F.split_part("title_folded", F.lit(" "), F.lit(2))).alias("name"))
+    return suggest.matches(s.v_corpus, s.v_tags.select(F.col("tag").alias("name")).union(pairs).distinct()).drop("in_focus")
+
+
+@query("suggested_tags")
+def suggested_tags(s):
+    """For every hundredth document, by its text, its nearest neighbours by vector and the vectors of tags."""
+    vectors = s.v_notes.join(s.embeddings, F.col("doc_id") == F.col("vec_id")).select(F.col("id").alias("key"), "library", F.col("embedding").alias("vector"), "doc_id")
+    found = cells.nearest(cells.build(vectors), vectors.where("doc_id % 100 = 0"), 20)[0].select("query", F.col("key").alias("card_id"), "score")
+    texts = s.v_corpus.where("doc_id % 100 = 0").select(F.lpad(F.col("doc_id").cast("string"), 14, "0").alias("doc_key"), "title", "abstract", "body")
+    of_tags = tag_vectors(s)
+    near = d.vector_pairs(of_tags.withColumn("library", F.lit(0)), suggest.CLOSE)
+    return suggest.suggest(texts, s.v_tags, materialize(found), vectors.select("key", "vector"), of_tags, near)
