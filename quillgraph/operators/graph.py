@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import materialize
@@ -82,8 +82,9 @@ def inherited_tags(parents: DataFrame, tags: DataFrame, available: DataFrame) ->
 
 
 def levels(parents: DataFrame) -> DataFrame:
-    """id, root and depth below the top."""
-    top = parents.where("parent_id is null").select(F.col("card_id").alias("id"))
+    """id, root and depth below the top; a node at the top without anything below it is no tree."""
+    have = parents.where("parent_id is not null").select(F.col("parent_id").alias("card_id")).distinct()
+    top = parents.where("parent_id is null").join(have, "card_id", "left_semi").select(F.col("card_id").alias("id"))
     return descendants(parents, top).select("id", "root", "depth")
 
 
@@ -204,3 +205,10 @@ def group_anchors(groups: DataFrame) -> DataFrame:
     rows = groups.select("group").distinct().withColumn("k", F.row_number().over(whole.orderBy("group")) - 1).withColumn("n", F.count("*").over(whole))
     angle, size = 2 * F.pi() * F.col("k") / F.col("n"), F.greatest(F.lit(180.0), 18 * F.sqrt("n"))
     return rows.select("group", (size * F.cos(angle)).alias("x"), (size * F.sin(angle)).alias("y"))
+
+
+def label_order(nodes: DataFrame, size: int) -> DataFrame:
+    """The ``size`` nodes (id, kind, radius) whose labels are placed first, with place: by radius, cards first, then by id."""
+    order = [F.desc("radius"), F.desc(F.col("kind") == "card"), F.asc("id")]
+    first = nodes.orderBy(*order).limit(size)  # a bounded heap in each task
+    return first.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .library import creator_year, year
+
 #: Order in which a reference is looked up; the first that finds one note wins.
 ADDRESS, ID, ALIAS, CITATION, HISTORIC, TITLE, FOLDED = range(7)
 
@@ -65,6 +67,18 @@ def with_references(rows: DataFrame, public: DataFrame) -> DataFrame:
     return rows.join(public.select("id", "reference"), "id", "left").withColumn("reference", F.coalesce("reference", "id"))
 
 
+def labels(notes: DataFrame, items: DataFrame) -> DataFrame:
+    """id and label of notes (id, title, custom_key, item_key, source: whether it
+    stands for its item): its own key, else its item's (item_key, creator, date,
+    citation_key) creator and year if there are both, or citation key, else its
+    id or, where it stands for no item, its title."""
+    rows = notes.join(items.select("item_key", "creator", "date", "citation_key"), "item_key", "left")
+    full = lambda c: F.nullif(F.trim(c), F.lit(""))
+    both = F.when(full("creator").isNotNull() & year("date").isNotNull(), creator_year(F.col("creator"), F.col("date")))
+    named = F.when(F.col("source"), F.col("id")).otherwise(F.coalesce(full("title"), F.col("id")))
+    return rows.select("id", F.coalesce(full("custom_key"), both, full("citation_key"), named).alias("label"))
+
+
 def validated_keys(wanted: DataFrame, reserved: DataFrame) -> DataFrame:
     """wanted (key) with verdict: empty, invalid, exists or free."""
     taken = reserved.select("key").where("key is not null").distinct().withColumn("taken", F.lit(True))

@@ -54,9 +54,18 @@ def inherited_tags(s):
     return g.inherited_tags(s.v_parents, s.v_tags, free)
 
 
-@query("tree_depth", "WITH RECURSIVE r(id, root, depth) AS (SELECT card_id, card_id, 0 FROM v_parents WHERE parent_id IS NULL UNION ALL SELECT card_id, root, depth + 1 FROM r JOIN v_parents ON parent_id = r.id) SELECT * FROM r")
+@query("tree_depth", "WITH RECURSIVE p AS (SELECT card_id, CASE WHEN CAST(card_id AS BIGINT) % 50 <> 7 THEN parent_id END AS parent_id FROM v_parents), r(id, root, depth) AS (SELECT card_id, card_id, 0 FROM p WHERE parent_id IS NULL AND card_id IN (SELECT parent_id FROM p) UNION ALL SELECT p.card_id, root, depth + 1 FROM r JOIN p ON parent_id = r.id) SELECT * FROM r")
 def tree_depth(s):
-    return g.levels(s.v_parents)
+    """Every fiftieth note is at the top too; those with nothing below them are left out."""
+    return g.levels(s.v_parents.withColumn("parent_id", F.when(F.col("card_id").cast("long") % 50 != 7, F.col("parent_id"))))
+
+
+@query("label_order", """WITH n AS (SELECT id, CASE WHEN doc_id % 6 = 0 THEN 'unresolved' ELSE 'card' END AS kind, (SELECT count(*) FROM v_links WHERE source_id = id OR target_id = id) AS radius FROM v_notes)
+  SELECT id, kind, radius, CAST(row_number() OVER (ORDER BY radius DESC, kind = 'card' DESC, id) AS INT) AS place FROM n QUALIFY place <= 40""")
+def label_order(s):
+    ends = s.v_links.select(F.explode(F.array_distinct(F.array("source_id", "target_id"))).alias("id")).where("id is not null").groupBy("id").agg(F.count("*").alias("radius"))
+    rows = s.v_notes.select("id", F.when(F.col("doc_id") % 6 == 0, "unresolved").otherwise("card").alias("kind")).join(ends, "id", "left")
+    return g.label_order(rows.withColumn("radius", F.coalesce("radius", F.lit(0))), 40)
 
 
 @query("mean_depth", "WITH RECURSIVE r(id, depth) AS (SELECT card_id, 0 FROM v_parents WHERE parent_id IS NULL UNION ALL SELECT card_id, depth + 1 FROM r JOIN v_parents ON parent_id = r.id) SELECT round(avg(depth), 6) AS mean_depth, max(depth) AS max_depth FROM r")

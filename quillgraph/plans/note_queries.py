@@ -273,6 +273,17 @@ def with_references(s):
     return r.with_references(own.select("id", "title"), public)
 
 
+ITEMS = "SELECT s_name AS creator, concat('S', cast(s_suppkey AS varchar(20))) AS item_key, CASE WHEN s_suppkey % 3 > 0 THEN concat('In ', cast(1990 + s_suppkey % 30 AS varchar(20)), '-05') END AS date, CASE WHEN s_suppkey % 2 = 0 THEN concat('key', cast(s_suppkey AS varchar(20))) END AS citation_key FROM supplier"
+
+
+@query("note_labels", f"""WITH i AS ({ITEMS}), z AS (SELECT id, title, custom_key, source_note = 1 AS source, CASE WHEN doc_id % 3 > 0 THEN concat('S', doc_id % 20) END AS item_key FROM v_notes)
+  SELECT id, coalesce(nullif(trim(custom_key), ''), CASE WHEN regexp_matches(date, '[0-9]{{4}}') THEN creator || ' ' || regexp_extract(date, '[0-9]{{4}}') END, citation_key, CASE WHEN source THEN id ELSE coalesce(nullif(trim(title), ''), id) END) AS label FROM z LEFT JOIN i USING (item_key)""")
+def note_labels(s):
+    items = s.spark.sql(ITEMS.replace("varchar(20)", "string").replace("FROM supplier", "FROM {x}"), x=s.supplier)
+    notes = s.v_notes.select("id", "title", "custom_key", (F.col("source_note") == 1).alias("source"), F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("S"), (F.col("doc_id") % 20).cast("string"))).alias("item_key"))
+    return r.labels(notes, items)
+
+
 @query("key_validation", "SELECT id, custom_key, CASE WHEN custom_key IS NULL OR custom_key = '' THEN 'empty' WHEN regexp_matches(concat(custom_key, CASE WHEN doc_id % 30 = 0 THEN ' x' ELSE '' END), '[\\s\\[\\]|]') THEN 'invalid' ELSE 'exists' END AS verdict FROM v_notes")
 def key_validation(s):
     own = s.v_notes

@@ -85,6 +85,16 @@ def math_spans(s):
     return s.v_notes.select("id", text.alias("text")).lateralJoin(m.MathSpans(F.col("text").outer())).select("id", "start", "end", "latex", "display")
 
 
+@query("markdown_links")
+def markdown_links(s):
+    """Links, images and references beside [[..]], over whole texts."""
+    from ..functions.links import markdown_links as found
+
+    more = F.concat(F.lit("\n\nsee [the [long] paper](https://example.org/"), F.col("doc_id").cast("string"), F.lit(' "Its title"), ![plot](assets/p.png), [more][r] and `[code](x)`\n\n[r]: https://example.org/r'))
+    rows = s.v_linktext.select("id", F.explode(found(F.concat("text", more))).alias("l"))
+    return rows.select("id", "l.*")
+
+
 @query("html_to_md")
 def html_to_md(s):
     return s.pages.select("page_id", m.markdown_of("html").alias("markdown"))
