@@ -137,18 +137,28 @@ def dense_indexed(s):
     return cells.nearest(cells.build(v), v.where("key % 100 = 0"), 10)[0].select("query", "key", F.round("score", 6).alias("score"), F.col("place").cast("long").alias("place"))
 
 
-@query("semantic_preview", f"""WITH {VECTORS}, t AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, key) - 1 AS r, max(score) OVER (PARTITION BY query) AS best FROM (SELECT q.key AS query, v.key, list_cosine_similarity(q.v, v.v) AS score FROM v q JOIN v USING (library) WHERE q.key % 100 = 0 AND v.key <> q.key) WHERE score > 0)
+#: Beside the vectors a near copy of each twentieth, so that there are close pairs.
+PLANTED = "v AS (SELECT vec_id AS key, label AS library, list_transform(embedding, lambda e: e::DOUBLE) AS v FROM embeddings UNION ALL SELECT 1000000 + vec_id, label, list_transform(embedding, lambda e, i: e::DOUBLE * (1 + i % 3 * 0.25::DOUBLE)) FROM embeddings WHERE vec_id % 20 = 0)"
+
+
+def planted(s):
+    near = F.transform(F.col("embedding"), lambda e, i: e.cast("double") * (1 + (i + 1) % 3 * 0.25))
+    copies = s.embeddings.where("vec_id % 20 = 0").select((F.col("vec_id") + 1_000_000).alias("key"), F.col("label").alias("library"), near.alias("vector"))
+    return vectors(s).withColumn("vector", F.transform("vector", lambda e: e.cast("double"))).union(copies)
+
+
+@query("semantic_preview", f"""WITH {PLANTED}, t AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, key) - 1 AS r, max(score) OVER (PARTITION BY query) AS best FROM (SELECT q.key AS query, v.key, list_cosine_similarity(q.v, v.v) AS score FROM v q JOIN v USING (library) WHERE q.key % 100 = 0 AND v.key <> q.key) WHERE score > 0)
   SELECT query, key, round((1.0 / (61 + r)) / (2 / 61.0::DOUBLE), 6) AS fused FROM t WHERE r < 100 AND score >= greatest(0.4, 0.7 * best)""")
 def semantic_preview(s):
-    v = vectors(s)
+    v = planted(s)
     found = d.nearest(v, v.where("key % 100 = 0"), 100).select("query", F.col("key").alias("doc_key"), "score")
     ranked = d.relevant(found, "semantic").select("query", F.lit(1).alias("channel"), "doc_key", "score")
     return d.fused(ranked, 2, 100).select("query", F.col("doc_key").alias("key"), F.round("fused", 6).alias("fused"))
 
 
-@query("vector_pairs", f"WITH {VECTORS} SELECT a.key AS a, b.key AS b, round(list_cosine_similarity(a.v, b.v), 5) AS score FROM v a JOIN v b ON a.library = b.library AND a.key < b.key AND list_cosine_similarity(a.v, b.v) >= 0.5")
+@query("vector_pairs", f"WITH {PLANTED} SELECT a.key AS a, b.key AS b, round(list_cosine_similarity(a.v, b.v), 5) AS score FROM v a JOIN v b ON a.library = b.library AND a.key < b.key AND list_cosine_similarity(a.v, b.v) >= 0.5")
 def vector_pairs(s):
-    return d.vector_pairs(vectors(s), 0.5).select("a", "b", F.round("score", 5).alias("score"))
+    return d.vector_pairs(planted(s), 0.5).select("a", "b", F.round("score", 5).alias("score"))
 
 
 @query("vector_norms", f"WITH {VECTORS} SELECT key, round(sqrt(list_dot_product(v, v)), 5) AS norm FROM v")
