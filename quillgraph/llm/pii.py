@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 
 import pandas as pd
@@ -43,7 +43,6 @@ IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 NON_DIGIT = re.compile(r"[^0-9]")
-UNMARKED = regex.compile(r"[\p{L}\p{M}]")
 
 
 def luhn(digits: str) -> bool:
@@ -85,41 +84,25 @@ def named(text: str, start: int, kind: int, end: int) -> str:
     return f"{KINDS[kind]}:{text[start:end].lower() if kind < 2 else NON_DIGIT.sub('', text[start:end])}"
 
 
-def before(text: str, end: int, reach: int) -> list[tuple[int, int]]:
-    """The last reach terms that end by end, the nearest first. Looks back from
-    ever farther, at places where a run of letters begins."""
-    width = 16 * reach
-    while True:
-        lo = max(0, end - width)
-        while lo > 0 and (text[lo - 1].isalpha() or UNMARKED.match(text[lo])):
-            lo -= 1
-        found = [m.span() for m in TERMS.finditer(text, lo, end)]
-        if lo == 0 or len(found) >= reach:
-            return found[::-1][:reach]
-        width *= 4
-
-
-def after(text: str, start: int, reach: int) -> list[tuple[int, int]]:
-    out = []
-    for m in TERMS.finditer(text, start):
-        out.append(m.span())
-        if len(out) == reach:
-            break
-    return out
-
-
 def around(text: str, spans: list[tuple[int, int, int]], reach: int) -> list[tuple[str, str, int, int]]:
-    """(entity, term, start, end) of the terms near each span, apart from what lies in a span."""
+    """(entity, term, start, end) of the terms near each span, apart from what
+    lies in a span. The text's terms are found once; a span looks its own up."""
     out, starts = [], [s for s, _, _ in spans]
     reached, furthest = [], 0
     for _, _, e in spans:
         furthest = max(furthest, e)
         reached.append(furthest)
+    terms = [m.span() for m in TERMS.finditer(text)]
+    begins, ends = [a for a, _ in terms], [b for _, b in terms]
+    cut = lambda a, b: [m.span() for m in TERMS.finditer(text, a, b)]  # noqa: E731  of a term that a span cuts
     for start, kind, end in spans:
         entity = named(text, start, kind, end)
-        for a, b in before(text, start, reach) + after(text, end, reach):
-            i = bisect_left(starts, b) - 1  # the last span that begins before the term's end
-            if i < 0 or reached[i] <= a:
+        i, j = bisect_right(ends, start), bisect_left(begins, end)
+        left = terms[max(0, i - reach) : i] + (cut(begins[i], start) if i < len(terms) and begins[i] < start else [])
+        right = (cut(end, ends[j - 1]) if j and ends[j - 1] > end else []) + terms[j : j + reach]
+        for a, b in left[-reach:][::-1] + right[:reach]:
+            k = bisect_left(starts, b) - 1  # the last span that begins before the term's end
+            if k < 0 or reached[k] <= a:
                 out.append((entity, text[a:b].lower(), a, b))
     return out
 

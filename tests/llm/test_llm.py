@@ -214,7 +214,18 @@ def test_disclosure_against_a_recount(spark):
 
 def test_terms_without_spaces():
     assert [m[0] for m in pii.TERMS.finditer("張偉 Jo हिन्दी a")] == ["張偉", "Jo", "हिन्दी"]
-    assert pii.before("張偉先生 +1", 5, 3) == [(2, 4), (0, 2)] and pii.before("x" * 3000 + " ab ", 3004, 2) == [(3001, 3003), (0, 3000)]
+    places = lambda text, span, reach: [(a, b) for _, _, a, b in pii.around(text, [span], reach)]
+    assert places("張偉先生 +1", (5, 3, 7), 3) == [(2, 4), (0, 2)] and places("x" * 3000 + " ab +1", (3004, 3, 3006), 2) == [(3001, 3003), (0, 3000)]
+    assert places("éèa@b.coéè x", (2, 0, 8), 2) == [(0, 2), (8, 10)]  # terms that the span cuts
+
+
+def test_very_many_spans_in_one_text():
+    import time
+
+    text = " ".join(f"+49 123 456 {i:05}" for i in range(20_000))
+    began = time.time()
+    spans = pii.base_spans(text)
+    assert len(spans) == 20_000 and pii.around(text, spans, 5) == [] and time.time() - began < 20
 
 
 # ---- 3 n-gram join
