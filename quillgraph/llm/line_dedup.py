@@ -2,7 +2,7 @@
 
 Lines are what stands between newlines; blank ones (white space only) are
 passed over and always stay. Three lines in a row make a window, hashed to 128
-bits. A window that occurs more than once, anywhere, keeps its first
+bits (two hashes of 64). All of it is DataFrame functions, without a Python worker. A window that occurs more than once, anywhere, keeps its first
 occurrence, by doc_id and place; the lines of every later one are marked.
 Marks of overlapping windows merge, and marked lines go.
 
@@ -14,60 +14,51 @@ doc_id sorts first. Other columns of the documents pass through.
 
 from __future__ import annotations
 
-import pandas as pd
-import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import by_batch, small_batches, table
+from .common import small_batches, table
 
 LINES = 3
 NO_ID = -(2**63)
 
 
+def once(value: Column, body) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def spoken(line: Column) -> Column:
+    """Whether a line isn't blank."""
+    return line.rlike(r"(?U)[^\s\x1C-\x1F]")
+
+
 def windows(docs: DataFrame) -> DataFrame:
     """d, th (the row's own key), k (the window's first line, counting those that
     aren't blank), h1, h2."""
 
-    def f(cols):
-        out = {k: [] for k in ("d", "th", "k", "h1", "h2")}
-        for d, th, text in zip(cols["d"], cols["th"], cols["text"]):
-            lines = [x for x in text.split("\n") if x and not x.isspace()]
-            n = len(lines) - LINES + 1
-            for k in range(n):
-                h = xxhash.xxh3_128_digest("\n".join(lines[k : k + LINES]))
-                out["h1"].append(int.from_bytes(h[:8], signed=True))
-                out["h2"].append(int.from_bytes(h[8:], signed=True))
-            if n > 0:
-                out["d"] += [d] * n
-                out["th"] += [th] * n
-                out["k"] += range(n)
-        return out
-
-    rows = docs.where("text is not null").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), F.xxhash64("text").alias("th"), "text")
-    return by_batch(rows, "d long, th long, k int, h1 long, h2 long", f)
-
-
-@F.pandas_udf(T.StringType())
-def without(text: pd.Series, marked: pd.Series) -> pd.Series:
-    """The text without the lines of the marked windows."""
-    out = []
-    for t, m in zip(text, marked):
-        if t is not None and m is not None and len(m):
-            gone = {k + i for k in m for i in range(LINES)}
-            kept, at, some = [], 0, False
-            for x in t.split("\n"):
-                if not x or x.isspace():
-                    kept.append(x)
-                    continue
-                if at not in gone:
-                    kept.append(x)
-                    some = True
-                at += 1
-            t = "\n".join(kept) if some else ""
-        out.append(t)
-    return pd.Series(out, dtype=object)
+    def of(lines: Column) -> Column:
+        said = lambda i: [F.get(lines, i + j) for j in range(LINES)]
+        window = lambda i: F.struct(i.cast("int").alias("k"), *[F.xxhash64(F.lit(h), *said(i)).alias(f"h{h}") for h in (1, 2)])
+        return F.when(F.size(lines) >= LINES, F.transform(F.sequence(F.lit(0), F.size(lines) - LINES), window))
+
+    found = once(F.filter(F.split("text", "\n"), spoken), of)
+    rows = docs.where("text is not null").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), F.xxhash64("text").alias("th"), F.explode(found).alias("w"))
+    return rows.select("d", "th", "w.*")
+
+
+def without(text: Column, marked: Column) -> Column:
+    """The text without the lines of the marked windows; its places are looked up in hash sets, so the time is linear."""
+
+    def of(lines: Column) -> Column:
+        every = F.sequence(F.lit(0), F.size(lines) - 1)
+        return once(F.filter(every, lambda i: spoken(F.get(lines, i))), lambda at: once(F.flatten(F.transform(marked, lambda k: F.slice(at, k + 1, LINES))), lambda gone: rest(lines, every, at, gone)))
+
+    def rest(lines: Column, every: Column, at: Column, gone: Column) -> Column:
+        kept = F.array_join(F.transform(F.array_except(every, gone), lambda i: F.get(lines, i)), "\n")
+        return F.when(F.size(F.array_except(at, gone)) > 0, kept).otherwise("")
+
+    return once(F.split(text, "\n"), of)
 
 
 def deduped(docs: DataFrame) -> DataFrame:
@@ -78,7 +69,7 @@ def deduped(docs: DataFrame) -> DataFrame:
     later = found.join(first, ["h1", "h2"]).where(F.struct("d", "th", "k") > F.col("first"))
     marks = later.groupBy(F.col("d").alias("__d"), F.col("th").alias("__th")).agg(F.collect_set("k").alias("__marked"))
     key = (F.coalesce(docs["doc_id"], F.lit(NO_ID)) == F.col("__d")) & (F.xxhash64(docs["text"]) == F.col("__th"))
-    return docs.join(marks, key, "left").drop("__d", "__th").withColumn("__kept", F.when(F.col("__marked").isNull(), F.col("text")).otherwise(without("text", "__marked")))
+    return docs.join(marks, key, "left").drop("__d", "__th").withColumn("__kept", F.when(F.col("__marked").isNull(), F.col("text")).otherwise(without(F.col("text"), F.col("__marked"))))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
