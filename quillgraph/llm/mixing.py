@@ -136,7 +136,7 @@ def mix(docs: DataFrame, share: float = 1.5, block: int = 128, per_shard: int =
     and the mix itself (rank, shard, slot, block)."""
     rows, dealt = packed(docs, share, block, per_shard, seed)
     times = dealt.groupBy("rank", "block").agg(F.count("*").alias("times"))
-    found = rows.join(times, ["rank", "block"], "left")
+    found = rows.join(times.hint("merge"), ["rank", "block"], "left")  # as many as blocks: see emitted()
     out = found.groupBy("rank", "bucket", "rn", "doc_id", "source", "size", "source_size", "target").agg(F.coalesce(F.sum(F.col("words") * F.col("times")), F.lit(0)).cast("long").alias("taken"))
     return out.select("doc_id", "source", "size", "source_size", "target", "taken"), dealt
 
@@ -155,15 +155,16 @@ def emitted(docs: DataFrame, share: float = 1.5, block: int = 128, per_shard: in
     first = F.greatest(F.col("lo"), F.col("block") * block)
     rows = rows.select("__row", "size", "target", "rank", "block", "words", (first - F.col("lo")).alias("from"), (first - F.col("block") * block).alias("place"))
     piece = F.struct(F.col("words").alias("taken"), "shard", "slot", "block", "place", "from")
-    # the pieces go to the texts, so that each text moves once
-    parts = rows.join(dealt, ["rank", "block"], "left").groupBy(F.col("__row").alias("__r")).agg(F.max("size").alias("size"), F.max("target").alias("target"), F.collect_list(F.when(F.col("slot").isNotNull(), piece)).alias("__pieces"))
+    # the slots grow with the table, but Spark takes them for as small as the sources they are made from: never broadcast.
+    # The pieces go to the texts, so that each text moves once
+    parts = rows.join(dealt.hint("merge"), ["rank", "block"], "left").groupBy(F.col("__row").alias("__r")).agg(F.max("size").alias("size"), F.max("target").alias("target"), F.collect_list(F.when(F.col("slot").isNotNull(), piece)).alias("__pieces"))
     parts = parts.where((F.size("__pieces") > 0) | (F.col("size") == 0))
     names = ("taken", "shard", "slot", "block", "place")
     tokens = F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))
     # a list of one list: a text is cut into words once, not once for each piece
     cut = F.transform(F.array(tokens), lambda t: F.transform("__pieces", lambda p: F.struct(F.array_join(F.slice(t, (p["from"] + 1).cast("int"), p["taken"].cast("int")), "").alias("text"), *[p[n].alias(n) for n in names])))
     whole = F.array(F.struct(F.col("text"), F.lit(0).cast("long").alias("taken"), *[F.lit(None).cast("long").alias(n) for n in names[1:]]))
-    found = docs.join(parts, F.col("__row") == F.col("__r")).withColumn("__piece", F.explode(F.when(F.col("size") == 0, whole).otherwise(F.get(cut, F.lit(0)))))
+    found = docs.join(parts.hint("merge"), F.col("__row") == F.col("__r")).withColumn("__piece", F.explode(F.when(F.col("size") == 0, whole).otherwise(F.get(cut, F.lit(0)))))
     made = {"text": F.col("__piece.text").alias("text")}
     if "n_chars" in docs.columns:
         made["n_chars"] = F.when(F.col("size") == 0, F.col("n_chars")).otherwise(F.length("__piece.text")).cast(docs.schema["n_chars"].dataType).alias("n_chars")

@@ -323,6 +323,16 @@ def test_language_beside_columns_of_its_own_names(spark):
 # ---- 5 mixing
 
 
+def test_mix_never_broadcasts_its_slots(spark, sf_dir):
+    """They grow with the table, however small Spark takes them for."""
+    docs = common.table(spark, sf_dir, "documents")
+    for made in (mixing.emitted(docs), mixing.mix(docs)[0]):
+        made.collect()
+        plan = made._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]  # what ran
+        joins = re.findall(r"(\w+)\(?\d*\)? +\[rank#\w+, block#\w+\]", plan) + re.findall(r"(\w+Join)\b[^\n]*\[rank#\w+, block#\w+\]", plan)
+        assert "SortMergeJoin" in joins and "BroadcastHashJoin" not in joins, joins
+
+
 def test_mix(spark, sf_dir):
     got = mixing.query(spark, sf_dir).toPandas()
     again = mixing.query(spark, sf_dir).toPandas()
