@@ -10,23 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.scratch import materialize, scope, shared_dir  # noqa: F401
+from ..sources.tables import BATCH, small_batches  # noqa: F401
 
 #: A word is a run without the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-#: Rows and bytes that a task's Python gets at once; the defaults are too much for long texts.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 500, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Sets the session's Arrow batches to BATCH, unless they are smaller."""
-    for key, most in BATCH.items():
-        now = int(spark.conf.get(key).rstrip("b"))
-        if not 0 < now <= most:
-            spark.conf.set(key, str(most))
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the folder, read with small_batches()."""
     small_batches(spark)

@@ -14,9 +14,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.scratch import materialize
 from ..sources.versions import Conflict, Versions
-from .lexical import LENGTH_SHARES, WEIGHTS, by_field, document_frequencies, field_averages
+from .lexical import by_document, document_frequencies, field_averages, saturated
 from .upkeep import epoch_due
 
 
@@ -66,16 +65,10 @@ class Epochs:
 
 
 def weights(counted: DataFrame, epoch: Epoch) -> DataFrame:
-    """doc_key, feature, weight and in_title of documents (counted: doc_key, field,
-    feature, tf) by the epoch's statistics; a feature that it hasn't seen counts
+    """doc_key, feature, weight and in_title of documents (counted, by document
+    or by field) by the epoch's statistics; a feature that it hasn't seen counts
     as one in no document. Nothing of other documents is read."""
-    counted = materialize(counted)
-    lengths = counted.groupBy("doc_key", "field").agg(F.sum("tf").alias("len"))
-    rows = counted.join(lengths, ["doc_key", "field"]).crossJoin(F.broadcast(epoch.averages))  # one row
-    average = F.when(F.col("field") == 0, F.col("avg0")).when(F.col("field") == 1, F.col("avg1")).otherwise(F.col("avg2"))
-    share = by_field(LENGTH_SHARES)
-    part = by_field(WEIGHTS) * F.col("tf") / (1 - share + share * F.col("len") / average)
-    merged = rows.groupBy("doc_key", "feature", "n_docs").agg(F.sum(part).alias("x"), F.min("field").alias("first"))
     df = F.coalesce("df", F.lit(0))
     idf = F.ln(1 + (F.greatest(F.col("n_docs") - df, F.lit(0)) + 0.5) / (df + 0.5))
-    return merged.join(epoch.frequencies, "feature", "left").select("doc_key", "feature", (idf * F.col("x") * 2.2 / (F.col("x") + 1.2)).alias("weight"), (F.col("first") == 0).alias("in_title"))
+    rows = saturated(by_document(counted), epoch.averages).join(epoch.frequencies, "feature", "left")
+    return rows.select("doc_key", "feature", (idf * F.col("x") * 2.2 / (F.col("x") + 1.2)).alias("weight"), "in_title")

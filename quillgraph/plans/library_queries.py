@@ -116,7 +116,7 @@ def fresh_embeddings(s):
 
 @query("weak_flags", f"WITH {MODEL}, b AS (SELECT doc_key, count(DISTINCT feature) AS n FROM c GROUP BY doc_key) SELECT doc_key, trim(body) = '' OR coalesce(n, 0) < 25 AS weak FROM v_corpus LEFT JOIN b USING (doc_key)")
 def weak_flags(s):
-    return x.weak_flags(s.v_corpus, x.counts(s.v_corpus))
+    return x.weak_flags(s.v_corpus, x.counts_by_document(s.v_corpus))
 
 
 @query("resolved_rows", "WITH f AS (SELECT s.doc_key AS query, t.doc_key, l.doc_id % 10 / 10.0::DOUBLE AS score, t.title, t.doc_id FROM v_link_rows l JOIN v_corpus s ON s.doc_id = l.doc_id JOIN v_corpus t ON t.doc_id = l.target) SELECT query, doc_key, title, score FROM f WHERE doc_id % 9 <> 1 AND doc_id % 8 <> 3 AND doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")

@@ -377,3 +377,24 @@ def test_near_hashes_against_all_pairs(spark, monkeypatch, crowd):
     assert set(got) == want and len(got) == len(want) > 100
     keys = df.select(F.explode(lexical.tables_of("simhash", 3)).alias("t")).select("t.*")
     assert keys.select("table").distinct().count() == 20
+
+
+def test_features_are_counted_where_the_text_is(spark):
+    rows = [("a", "Deep nets", "deep nets of nets 12 the", "x1 deep nets"), ("b", "", "", ""), ("c", "No nets", "", "deep, nets"), (None, "lone word", "", "")]
+    corpus = spark.createDataFrame(rows, "doc_key string, title string, abstract string, body string")
+    docs = lexical.counts_by_document(corpus)
+    assert "Exchange" not in docs._jdf.queryExecution().executedPlan().toString()
+    got = {(r.doc_key, r.field, r.feature): r.tf for r in lexical.counts(corpus).collect()}
+    want = {
+        ("a", 0, "w:deep"): 1, ("a", 0, "w:nets"): 1, ("a", 0, "b:deep nets"): 1, ("a", 1, "w:deep"): 1, ("a", 1, "w:nets"): 2, ("a", 1, "b:deep nets"): 1,
+        ("a", 2, "w:x1"): 1, ("a", 2, "w:deep"): 1, ("a", 2, "w:nets"): 1, ("a", 2, "b:x1 deep"): 1, ("a", 2, "b:deep nets"): 1, ("c", 0, "w:nets"): 1,
+        ("c", 2, "w:deep"): 1, ("c", 2, "w:nets"): 1, ("c", 2, "b:deep nets"): 1, (None, 0, "w:lone"): 1, (None, 0, "w:word"): 1, (None, 0, "b:lone word"): 1,
+    }
+    assert got == want
+    df = {r.feature: r.df for r in lexical.document_frequencies(docs).collect()}
+    assert df["w:nets"] == 2 and df["w:lone"] == 0  # a document without a key isn't counted
+    # rows of one key are one document
+    both = lexical.counts_by_document(corpus.where("doc_key = 'a'").union(corpus.where("doc_key = 'a'")))
+    assert [(r.doc_key, r.len0, r.len1, r.len2) for r in both.collect()] == [("a", 6, 8, 10)]
+    assert {(r.field, r.feature): r.tf for r in lexical.by_field_of(both).collect()} == {k[1:]: 2 * v for k, v in want.items() if k[0] == "a"}
+    assert lexical.counts_by_document(corpus.limit(0)).count() == 0
