@@ -398,3 +398,50 @@ def test_features_are_counted_where_the_text_is(spark):
     assert [(r.doc_key, r.len0, r.len1, r.len2) for r in both.collect()] == [("a", 6, 8, 10)]
     assert {(r.field, r.feature): r.tf for r in lexical.by_field_of(both).collect()} == {k[1:]: 2 * v for k, v in want.items() if k[0] == "a"}
     assert lexical.counts_by_document(corpus.limit(0)).count() == 0
+
+
+def test_grams_are_searched_by_blocks(spark, monkeypatch):
+    import random
+
+    from quillgraph.operators import discovery as d
+
+    for name, value in (("ASKED_BLOCK", 4), ("NOTE_BLOCKS", (30, 30)), ("NOTES_AT_ONCE", 7), ("GRAMS_AT_ONCE", 5)):
+        monkeypatch.setattr(d, name, value)
+    r = random.Random(1)
+    texts = {f"n{i:03}": "".join(r.choice("abcde") for _ in range(r.choice([0, 1, 4, 9, 9]))) for i in range(120)}
+    texts |= {f"x{i}": texts["n004"] for i in range(12)}  # copies, which tie
+    held = {k: {t[i : i + 2] for i in range(len(t) - 1)} for k, t in texts.items()}
+    asked = {k: held[k] for k in sorted(held)[::9]}
+    hidden, excluded = {"n005", "x3"}, {(q, k) for q in asked for k in held if k < "n010"}
+    n = {g: sum(g in h for h in held.values()) for h in held.values() for g in h}
+    want = set()
+    for q, mine in asked.items():
+        found = [(-round(sum(1 / n[g] for g in mine & h), 9), k) for k, h in held.items() if mine & h and k != q and k not in hidden and (q, k) not in excluded]
+        want |= {(q, k, -x) for x, k in sorted(found)[:6]}
+    index = spark.createDataFrame([(g, k) for k, h in held.items() for g in h], "term string, card_id string")
+    notes = spark.createDataFrame(list(texts.items()), "id string, body string")
+    queries = spark.createDataFrame([(q, g) for q, h in asked.items() for g in h], "query string, term string")
+    without = spark.createDataFrame(list(excluded), "query string, card_id string")
+    for given in (index, d.grams_by_note(notes)):
+        rows = d.gram_candidates(given, queries, 6, spark.createDataFrame([(h,) for h in hidden], "card_id string"), without.unionAll(queries.selectExpr("query", "query")))
+        assert {(x.query, x.card_id, round(x.weight, 9)) for x in rows.collect()} == want
+
+
+def test_tag_seeds_read_the_first_of_each_tag_only(spark, monkeypatch):
+    import random
+
+    from quillgraph.operators import discovery as d
+
+    monkeypatch.setattr(d, "TAG_SEEDS", 3)
+    r = random.Random(2)
+    tags = {(f"n{i:02}", t) for i in range(60) for t in "abcdefgh" if r.random() < 0.3}
+    hidden, excluded = {"n03", "n04"}, {("n00", f"n{i:02}") for i in range(9)} | {("n01", "n01")}
+    want = set()
+    for q in ("n00", "n01"):
+        own = sorted(t for c, t in tags if c == q)[:6]
+        found = {c: [own.index(t) for x, t in tags if x == c and t in own] for c, _ in tags if c not in hidden and (q, c) not in excluded}
+        want |= {(q, c, 0, len(found[c])) for c in sorted((c for c in found if found[c]), key=lambda c: (min(found[c]), c))[:3]}
+    frame = lambda rows, schema: spark.createDataFrame(sorted(rows), schema)
+    none = spark.createDataFrame([], "source_id string, target_id string"), spark.createDataFrame([], "card_id string, parent_id string")
+    got = d.seeds(frame([("n00",), ("n01",)], "id string"), *none, frame(tags, "card_id string, tag string"), spark.createDataFrame([], "term string, card_id string"), spark.createDataFrame([], "query string, term string"), frame([(h,) for h in hidden], "card_id string"), frame(excluded, "query string, card_id string"))
+    assert {(x.query, x.card_id, x.related, x.tag_matches) for x in got.collect()} == want
