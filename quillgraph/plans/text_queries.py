@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import markup as m
 from ..functions import text as t
+from ..sources.scratch import materialize
 from .registry import query
 
 joined = lambda c: F.array_join(c, "|")
@@ -25,7 +26,15 @@ def tokens(s):
 
 @query("features")
 def features(s):
-    return t.clean(s.v_corpus.select("doc_key", "body"), "body", "body").select("doc_key", F.explode(t.features_of("body")).alias("feature")).groupBy("doc_key", "feature").agg(F.count("*").alias("tf"))
+    counted = t.clean(s.v_corpus.select("doc_key", "body"), "body", "body").select("doc_key", "body").mapInArrow(t.count_features, "doc_key string, feature string, tf long")
+    # a document's features are counted where its text is; only rows that share a key are added up
+    shared = materialize(s.v_corpus.groupBy("doc_key").agg(F.count("*").alias("n")).where("n > 1").select("doc_key"))
+    if shared.isEmpty():
+        return counted
+    same = F.col("doc_key").eqNullSafe(F.col("shared"))
+    shared = shared.withColumnRenamed("doc_key", "shared")
+    added = counted.join(shared, same, "left_semi").groupBy("doc_key", "feature").agg(F.sum("tf").alias("tf"))
+    return counted.join(shared, same, "left_anti").union(added)
 
 
 @query("stem")

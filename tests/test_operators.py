@@ -445,3 +445,23 @@ def test_tag_seeds_read_the_first_of_each_tag_only(spark, monkeypatch):
     none = spark.createDataFrame([], "source_id string, target_id string"), spark.createDataFrame([], "card_id string, parent_id string")
     got = d.seeds(frame([("n00",), ("n01",)], "id string"), *none, frame(tags, "card_id string, tag string"), spark.createDataFrame([], "term string, card_id string"), spark.createDataFrame([], "query string, term string"), frame([(h,) for h in hidden], "card_id string"), frame(excluded, "query string, card_id string"))
     assert {(x.query, x.card_id, x.related, x.tag_matches) for x in got.collect()} == want
+
+
+def test_features_are_counted_where_the_text_is(spark, tmp_path):
+    from collections import Counter
+
+    from quillgraph.functions import text as t
+    from quillgraph.plans import QUERIES
+
+    docs = [(1, "a\nb\nrunning dogs running dogs", "en", "s", 30), (2, "a\nb\nold dogs 图神经", "en", "s", 20), (3, None, "en", "s", 0)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    run = lambda rows, name: (spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}/documents.parquet"), QUERIES["features"](spark, f"{tmp_path}/{name}"))[1]
+    alone = run(docs, "one")
+    assert "Exchange" not in alone._jdf.queryExecution().executedPlan().toString()
+    told = lambda df: sorted((x.doc_key or "", x.feature, x.tf) for x in df.collect())
+    bodies = {i: (x or "").split("\n", 2)[-1] for i, x, *_ in docs}
+    want = {i: Counter(t.features(b)) for i, b in bodies.items()}
+    assert told(alone) == sorted((f"en/{i:014}", f, n) for i, c in want.items() for f, n in c.items())
+    both = run([*docs, docs[0], (4, docs[0][1], None, "s", 30), (5, docs[1][1], None, "s", 20)], "two")  # a key twice, and rows without one
+    null = want[1] + want[2]
+    assert told(both) == sorted([(f"en/{i:014}", f, n * (1 + (i == 1))) for i, c in want.items() for f, n in c.items()] + [("", f, n) for f, n in null.items()])
