@@ -161,6 +161,18 @@ def test_evidence(spark):
     assert got["c"].terms == ""
 
 
+def test_evidence_reads_a_text_once(spark):
+    from quillgraph.operators import discovery
+
+    t = spark.createDataFrame([("a", "Graphs learn. Graph of graphs; fast-running graph!\nFast"), ("b", None), ("c", "")], "doc_key string, text string")
+    rows = {r.doc_key: r for r in discovery.stems_of_sentences(t, 3).collect()}  # a row for each text, none for a word
+    assert len(rows) == 3 and rows["a"].stems == ["graph", "learn", "fast"] and rows["a"].surfaces == ["Graphs", "learn", "fast-running"]
+    assert rows["a"].said == ["Graphs learn.", "Graph of graphs; fast-running graph!", "Fast"] and rows["a"].has == [[1, 2], [1, 3], [3]] and rows["b"].stems == rows["c"].stems == []
+    same = spark.createDataFrame([("a", "b"), ("a", "b"), ("a", "a"), ("a", "z")], "query string, doc_key string")
+    got = {r.doc_key: r for r in discovery.evidence(same, t).collect()}
+    assert set(got) == {"a", "b", "z"} and got["a"].current == got["a"].match == "Graph of graphs; fast-running graph!" and got["b"].current == got["z"].terms == ""
+
+
 def test_long_chains_and_cycles(spark):
     from quillgraph.operators import graph
 
