@@ -151,6 +151,22 @@ def test_graph_groups(spark):
     assert discovery.graph_groups(n, t, ["Machine learning"]).first().group == "Machine learning"
 
 
+def test_graph_groups_read_a_text_once_and_only_for_a_choice(spark, monkeypatch, tmp_path):
+    from quillgraph.operators import discovery
+
+    def read(text, f=discovery.tokens, log=str(tmp_path / "read")):
+        with open(log, "a") as out:
+            out.write(f"{text}\n")
+        return f(text)
+
+    monkeypatch.setattr(discovery, "tokens", read)
+    n = spark.createDataFrame([("1", "one", "body of plants and fields"), ("2", "two", "body of one tag")], "id string, title string, body string")
+    t = spark.createDataFrame([("1", "fields"), ("1", "plants"), ("1", "water"), ("1", None), ("2", "alone"), ("3", "no note")], "card_id string, tag string")
+    assert {r.id: r.group for r in discovery.graph_groups(n, t, ["none"]).collect()} == {"1": "fields", "2": "alone"}
+    told = (tmp_path / "read").read_text().splitlines()
+    assert told.count("body of plants and fields") == 1 and "body of one tag" not in told
+
+
 def test_evidence(spark):
     from quillgraph.operators import discovery
 
