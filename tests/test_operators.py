@@ -213,6 +213,15 @@ def test_cycles_below_a_very_long_chain(spark, monkeypatch):
     assert graph.cycles(chain.limit(0)).count() == 0
 
 
+def test_cycles_of_a_tree_take_rounds_by_its_depth(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(graph, "materialize", lambda df, f=graph.materialize: rounds.append(1) or f(df))
+    tree = spark.range(9_000).selectExpr("concat('n', id) AS card_id", "CASE WHEN id > 0 THEN concat('n', id div 3) ELSE 'n2' END AS parent_id")
+    assert {r.id for r in graph.cycles(tree).collect()} == {"n0", "n2"} and len(rounds) <= 6
+    for n in (1, 2, 4):  # a chain up to a top is no cycle, however short
+        assert graph.cycles(spark.range(n).selectExpr("concat('c', id) AS card_id", "concat('c', id + 1) AS parent_id")).count() == 0
+
+
 def test_deleted_in_a_row(spark):
     n = spark.createDataFrame([(x,) for x in "abcde"], "id string")
     parents = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("d", "c"), ("e", "d")], "card_id string, parent_id string")
