@@ -530,3 +530,22 @@ def test_search_by_an_index_of_notes(spark):
         assert {r.id for r in notes.search(rows, query, index=index).collect()} == {r.id for r in notes.search(rows, query, index=notes.search_terms(text)).collect()} == {r.id for r in notes.search(rows, query).collect()}
     plan = notes.search(rows, "nation ation", index=index)._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and "Aggregate" not in plan  # no row for each pair of characters
+
+
+def logged(path):
+    """A function that notes each value it is called with."""
+
+    @F.udf("string")
+    def f(x):
+        with open(path, "a") as out:
+            out.write(f"{x}\n")
+        return x
+
+    return f
+
+
+def test_names_are_not_read_again_for_each_use(spark, tmp_path):
+    names = spark.createDataFrame([("Deep Learning",), ("deep-learning",), ("networks",), ("network",), ("alone",)], "n string").select(logged(str(tmp_path / "read"))("n").alias("name"))
+    groups = tags.duplicate_groups(names, tags.duplicate_pairs(names))
+    assert {(r.name, r.group) for r in groups.collect()} == {("Deep Learning", "Deep Learning"), ("deep-learning", "Deep Learning"), ("networks", "network"), ("network", "network")}
+    assert len((tmp_path / "read").read_text().splitlines()) <= 10
