@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialize
 from .library import creator_year, year
 
 #: Order in which a reference is looked up; the first that finds one note wins.
@@ -21,6 +22,7 @@ def unique(rows: DataFrame, key: str, target: str = "id") -> DataFrame:
 def resolve(refs: DataFrame, notes: DataFrame, alias: DataFrame, citations: DataFrame | None = None, historic: DataFrame | None = None, addresses: DataFrame | None = None) -> DataFrame:
     """ref, target and priority of each ref: by address (ref, id), id, alias (note_key, card_id),
     citation alias (alias, id), historic reference (ref, id), exact and folded title."""
+    refs = materialize(refs)  # read once for each way to find them
     plain = refs.where("not startswith(ref, '@')")
     found = [refs.join(notes.select(F.col("id").alias("ref"), F.col("id").alias("target")), "ref").withColumn("priority", F.lit(ID)), refs.join(alias.select(F.col("note_key").alias("ref"), F.col("card_id").alias("target")), "ref").withColumn("priority", F.lit(ALIAS))]
     if addresses is not None:

@@ -549,3 +549,12 @@ def test_names_are_not_read_again_for_each_use(spark, tmp_path):
     groups = tags.duplicate_groups(names, tags.duplicate_pairs(names))
     assert {(r.name, r.group) for r in groups.collect()} == {("Deep Learning", "Deep Learning"), ("deep-learning", "Deep Learning"), ("networks", "network"), ("network", "network")}
     assert len((tmp_path / "read").read_text().splitlines()) <= 10
+
+
+def test_references_are_read_once(spark, tmp_path):
+    from quillgraph.operators import refs as r
+
+    found = spark.createDataFrame([("1",), ("N2",), ("One",), ("two",), ("@x",)], "n string").select(logged(str(tmp_path / "refs"))("n").alias("ref"))
+    n = spark.createDataFrame([("1", "One", "one"), ("2", "Two", "two")], "id string, title string, title_folded string")
+    got = {x.ref: x.target for x in r.resolve(found, n, spark.createDataFrame([("N2", "2")], "note_key string, card_id string")).collect()}
+    assert got == {"1": "1", "N2": "2", "One": "1", "two": "2", "@x": None} and len((tmp_path / "refs").read_text().splitlines()) == 5
