@@ -558,3 +558,10 @@ def test_references_are_read_once(spark, tmp_path):
     n = spark.createDataFrame([("1", "One", "one"), ("2", "Two", "two")], "id string, title string, title_folded string")
     got = {x.ref: x.target for x in r.resolve(found, n, spark.createDataFrame([("N2", "2")], "note_key string, card_id string")).collect()}
     assert got == {"1": "1", "N2": "2", "One": "1", "two": "2", "@x": None} and len((tmp_path / "refs").read_text().splitlines()) == 5
+
+
+def test_a_vectors_length_is_computed_once(spark):
+    rows = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, None), (4, [float("nan"), 1.0]), (5, [None, 1.0]), (6, [float("inf"), 1.0]), (7, [])], "k long, v array<double>")
+    units = rows.select("k", dense.unit("v").alias("u"))
+    assert {r.k: r.u for r in units.collect()} == {1: [0.6, 0.8], 2: None, 3: None, 4: None, 5: None, 6: None, 7: None}
+    assert " transform(" not in units._jdf.queryExecution().optimizedPlan().toString()  # a function of each element would compute it again
