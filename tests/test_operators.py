@@ -565,3 +565,12 @@ def test_a_vectors_length_is_computed_once(spark):
     units = rows.select("k", dense.unit("v").alias("u"))
     assert {r.k: r.u for r in units.collect()} == {1: [0.6, 0.8], 2: None, 3: None, 4: None, 5: None, 6: None, 7: None}
     assert " transform(" not in units._jdf.queryExecution().optimizedPlan().toString()  # a function of each element would compute it again
+
+
+def test_similarities_read_fields_and_pairs_once(spark, tmp_path):
+    v = spark.createDataFrame([("a", 0, "w:x", 1.0), ("b", 0, "w:x", 1.0), ("a", 1, "w:y", 1.0), ("b", 1, "w:z", 1.0)], "k string, field int, feature string, weight double")
+    fields = v.select(logged(str(tmp_path / "fields"))("k").alias("doc_key"), "field", "feature", "weight")
+    pairs = spark.createDataFrame([("a",)], "q string").select(logged(str(tmp_path / "pairs"))("q").alias("query"), F.lit("b").alias("doc_key"))
+    whole = spark.createDataFrame([("a", "w:x", 1.0), ("b", "w:x", 1.0)], "doc_key string, feature string, weight double")
+    assert round(lexical.similarities(pairs, fields, whole).first().similarity, 9) == 0.7
+    assert len((tmp_path / "fields").read_text().splitlines()) == 4 and len((tmp_path / "pairs").read_text().splitlines()) == 1
