@@ -98,7 +98,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """
     links = links.where("a is not null and b is not null and a != b")
     edges = materialize(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    state = None
+    told = lambda rows: rows.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    state = told(edges)
     for _ in range(rounds):
         both = edges.union(edges.select("b", "a"))
         least = both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -106,7 +107,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         least = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
         small = large.join(least, F.col("a") == F.col("u")).select(F.when(F.col("b") == F.col("m"), F.col("u")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         edges = materialize(small)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        now = told(edges)
         if now == state:
             break
         state = now

@@ -33,7 +33,6 @@ are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -329,16 +328,21 @@ def near_documents(docs: DataFrame, percent: int = 80, hot_share: float = 0.001,
     texts = materialize(texts_of(docs, shared.select("c").distinct().join(classes.select("c", "x"), "c")))
     # rows that share a doc_id are one document
     ids = members.where("doc_id is not null and n > 0").join(classes.select("c", "r"), "c").where("doc_id != r").select(F.col("doc_id").alias("ra"), F.col("r").alias("rb")).distinct()
-    links = [ids]
-    comps = None
+    links, comps = ids, None
     for distances in ([1], [2, 4, 16], None):
         if comps is None:
             found = neighbours(shared, percent, distances, apart=False)
         else:
             own = shared.join(comps, F.col("r") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "r")).drop("node", "component")
             found = neighbours(own, percent, distances, apart=True) if distances else still_apart(own, classes, percent)
-        links.append(materialize(verified(found, classes, texts, percent)))
-        comps = materialize(components(reduce(DataFrame.union, links).select(F.col("ra").alias("a"), F.col("rb").alias("b"))))
+        new = materialize(verified(found, classes, texts, percent))
+        if comps is None:
+            links = links.union(new)
+        elif new.isEmpty():
+            continue
+        else:  # what is linked so far is a star already, so few rounds are left
+            links = comps.select("node", "component").union(new)
+        comps = materialize(components(links.toDF("a", "b")))
     named = members.join(classes.select("c", "r"), "c", "left").join(comps, F.col("r") == F.col("node"), "left")
     component = F.coalesce("component", "r", "doc_id")
     return named.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(component < NAMELESS, component).alias("component_id"))

@@ -244,6 +244,16 @@ def test_ngram_join(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == jaccard_components(docs)
 
 
+def test_ngram_join_goes_on_from_what_is_linked(spark, monkeypatch):
+    """Components are made anew only if there are new links, and from stars instead of all links."""
+    words = [f"w{i}" for i in range(200)]
+    docs = spark.createDataFrame([(k, " ".join(words[: 190 + k])) for k in range(8)], "doc_id long, text string")
+    asked, real = [], ngram_join.components
+    monkeypatch.setattr(ngram_join, "components", lambda links: asked.append(links.count()) or real(links))
+    assert {r.component_id for r in ngram_join.near_documents(docs).collect()} == {0}
+    assert len(asked) == 1
+
+
 def test_ngram_join_of_awkward_rows(spark):
     docs = awkward(spark)
     got = ngram_join.near_documents(docs).collect()
