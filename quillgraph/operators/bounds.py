@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import materialize
+from .lexical import tied
 
 #: Postings that a query reads for its floor, in multiples of k.
 SEEDS = 4
@@ -79,7 +80,7 @@ def top_k(queries: DataFrame, index: PostingIndex, k: int, without: DataFrame |
     doc_key); and its plan: the blocks with ``read``. Scores that agree to
     ``digits`` count as ties, if given."""
     planned = materialize(plan(queries, index, k))
-    best = Window.partitionBy("query").orderBy(F.desc("score") if digits is None else F.round("score", digits).desc(), "doc_key")
+    best = Window.partitionBy("query").orderBy((tied("score") if digits is None else F.round("score", digits)).desc(), "doc_key")
     seeds = read(planned.where("seed"), index, without).groupBy("query", "doc_key").agg(F.sum("part").alias("score"))
     floors = seeds.withColumn("place", F.row_number().over(best)).where(F.col("place") == k).select("query", (F.col("score") * (1 - SLACK) - (0.0 if digits is None else 10.0**-digits)).alias("floor"))
     told = planned.join(floors, "query", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)))

@@ -24,14 +24,16 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import materialize
 from . import bounds
+from .lexical import tied
 
 SLACK = 1e-9
 
 
 def floors(queries: DataFrame, lists: DataFrame, k: int) -> DataFrame:
-    """query and floor of all queries: the k-th score of its list (query, key, score), 0 if there is none."""
-    full = lists.groupBy("query").agg(F.count("*").alias("n"), F.min("score").alias("last")).where(F.col("n") >= k).select("query", "last")
-    return queries.select("query").distinct().join(full, "query", "left").select("query", F.coalesce("last", F.lit(0.0)).alias("floor"))
+    """query, floor and last of all queries: the k-th score of its list (query, key, score) and its key, 0 and null if there is none."""
+    last = F.max(F.struct(-tied("score"), "key"))["key"]
+    full = lists.groupBy("query").agg(F.count("*").alias("n"), F.min("score").alias("floor"), last.alias("last")).where(F.col("n") >= k).select("query", "floor", "last")
+    return queries.select("query").distinct().join(full, "query", "left").select("query", F.coalesce("floor", F.lit(0.0)).alias("floor"), "last")
 
 
 def entered(queries: DataFrame, floor: DataFrame, norm: float = 1.0) -> DataFrame:
@@ -58,12 +60,14 @@ def maintained(lists: DataFrame, queries: DataFrame, vectors: DataFrame, changed
     lost = lists.join(touched, "key", "left_semi").select("query").distinct()
     kept = lists.join(touched, "key", "left_anti").select("query", "key", "score")
     rows = materialize(kept.union(hits(queries, floor, changed, norm)))
-    # a list that lost a member is whole if as many as it had places stand above its old floor; one that wasn't full knew everybody
-    above = rows.join(floor, "query").where("score >= floor").groupBy("query").agg(F.count("*").alias("n"))
+    # a list that lost a member is whole if as many as it had places stand no further back than its old last one, whose
+    # score documents that it doesn't know may have too; one that wasn't full knew everybody
+    ahead = (tied("score") > tied("floor")) | ((tied("score") == tied("floor")) & (F.col("key") <= F.col("last")))
+    above = rows.join(floor, "query").where(ahead).groupBy("query").agg(F.count("*").alias("n"))
     dirty = lost.join(floor.where("floor > 0"), "query").join(above, "query", "left").where(F.coalesce("n", F.lit(0)) < k).select("query")
     dirty = materialize(dirty)
     again = bounds.top_k(queries.join(dirty, "query", "left_semi"), bounds.build(vectors), k)[0].select("query", F.col("doc_key").alias("key"), "score") if dirty.count() else None
     sound = rows.join(dirty, "query", "left_anti")
-    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "key"))
+    place = F.row_number().over(Window.partitionBy("query").orderBy(tied("score").desc(), "key"))
     sound = sound.withColumn("place", place).where(F.col("place") <= k).drop("place")
     return sound if again is None else sound.union(again)

@@ -574,3 +574,26 @@ def test_similarities_read_fields_and_pairs_once(spark, tmp_path):
     whole = spark.createDataFrame([("a", "w:x", 1.0), ("b", "w:x", 1.0)], "doc_key string, feature string, weight double")
     assert round(lexical.similarities(pairs, fields, whole).first().similarity, 9) == 0.7
     assert len((tmp_path / "fields").read_text().splitlines()) == 4 and len((tmp_path / "pairs").read_text().splitlines()) == 1
+
+
+def test_equal_sums_are_ordered_by_key(spark):
+    """The same numbers added in another order differ in their last bits."""
+    from quillgraph.operators import bounds, lexical
+
+    up, down = (0.1, 0.2, 0.3), (0.3, 0.2, 0.1)
+    rows = [(key, f"f{k}", w) for key, ws in (("a", down), ("b", up), ("c", up), ("d", down)) for k, w in enumerate(ws)]
+    vectors = spark.createDataFrame(rows, "doc_key string, feature string, weight double")
+    queries = spark.createDataFrame([("q", f"f{k}", 1.0) for k in range(3)], "query string, feature string, query_weight double")
+    assert {r.doc_key for r in lexical.candidates(queries, vectors, 2).collect()} == {"a", "b"}
+    assert {r.doc_key for r in bounds.top_k(queries, bounds.build(vectors), 2)[0].collect()} == {"a", "b"}
+
+
+def test_kept_lists_take_unknown_documents_before_new_ones_of_the_same_score(spark):
+    from quillgraph.operators import reverse
+
+    vectors = lambda rows: spark.createDataFrame([(key, "f", w) for key, w in rows], "doc_key string, feature string, weight double")
+    queries = spark.createDataFrame([("q", "f", 1.0)], "query string, feature string, query_weight double")
+    lists = spark.createDataFrame([("q", "a", 0.9), ("q", "b", 0.5)], "query string, key string, score double")
+    gone = spark.createDataFrame([("a",)], "key string")
+    got = reverse.maintained(lists, queries, vectors([("b", 0.5), ("c", 0.5), ("d", 0.5)]), vectors([("d", 0.5)]), gone, 2)
+    assert {r.key for r in got.collect()} == {"b", "c"}
