@@ -597,3 +597,18 @@ def test_kept_lists_take_unknown_documents_before_new_ones_of_the_same_score(spa
     gone = spark.createDataFrame([("a",)], "key string")
     got = reverse.maintained(lists, queries, vectors([("b", 0.5), ("c", 0.5), ("d", 0.5)]), vectors([("d", 0.5)]), gone, 2)
     assert {r.key for r in got.collect()} == {"b", "c"}
+
+
+@pytest.mark.parametrize("name", ["merge3", "clean_text"])
+def test_a_task_gets_few_texts_at_once(spark, sf_dir, name):
+    """Spark's own batches are 10,000 rows."""
+    from quillgraph import plans
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "10000")
+        sizes = plans.QUERIES[name](spark, sf_dir).sparkSession.conf.get(key)
+        assert int(sizes) <= 500
+    finally:
+        spark.conf.set(key, before)
