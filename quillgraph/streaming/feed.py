@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -47,17 +48,35 @@ def step(state: tuple[int, str, int] | None, at: int, op: str, priority: int) ->
         return at, op, priority
     if later(at, op, state):
         return at, op, priority if state[1] == DONE else max(priority, state[2])
-    if at == state[0] and op == state[1] and state[1] != DONE and priority > state[2]:
-        return at, op, priority  # the same change, asked for more urgently
+    if at == state[0] and state[1] != DONE and priority > state[2]:
+        return at, state[1], priority  # asked for more urgently
     return state
 
 
+def counting(x: pd.DataFrame) -> pd.DataFrame:
+    """Of a card's changes (at, op, priority), in order of time, those that its state
+    can depend on: the last ``done``, and of what is later the last at all and those
+    more urgent than everything after them, no more than there are priorities."""
+    x = x.sort_values(["at", "op"], ascending=[True, False], kind="stable")
+    done = x[x["op"] == DONE].tail(1)
+    left = x[x["op"] != DONE]
+    if len(done):
+        left = left[left["at"] > done["at"].iloc[0]]
+    if len(left):
+        urgent = left["priority"].to_numpy()
+        after = np.append(np.maximum.accumulate(urgent[::-1])[::-1][1:], np.iinfo(np.int64).min)
+        removed = ((left["at"] == left["at"].iloc[-1]) & (left["op"] == REMOVE) & ~left.duplicated(["at", "op"])).to_numpy()
+        left = left[(urgent > after) | removed]
+    return pd.concat([done, left])
+
+
 def latest(key: tuple[str], parts: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
     state = before = tuple(kept.get) if kept.exists else None
-    for x in parts:
-        x = x.sort_values(["at", "op"], ascending=[True, False], kind="stable")
-        for at, op, priority in zip(x["at"], x["op"], x["priority"]):
-            state = step(state, int(at), op, int(priority))
+    rows = None
+    for x in parts:  # a card's changes of one batch come in parts of any order, so none counts before all are there
+        rows = counting(x if rows is None else pd.concat([rows, x]))
+    for at, op, priority in zip(rows["at"], rows["op"], rows["priority"]) if rows is not None else ():
+        state = step(state, int(at), op, int(priority))
     if state != before:
         kept.update(state)
         yield pd.DataFrame({"card_id": [key[0]], "at": [state[0]], "op": [state[1]], "priority": [state[2]]})
@@ -66,7 +85,6 @@ def latest(key: tuple[str], parts: Iterator[pd.DataFrame], kept: GroupState) ->
 def work(stream: DataFrame) -> DataFrame:
     """card_id, at, op (remove, index, done) and priority whenever a card's last change that counts became another. Changes without a card or a time don't count."""
     rows = stream.where("card_id is not null and at is not null").select("card_id", F.col("at").cast("long").alias("at"), meaning("op").alias("op"), F.coalesce(F.col("priority").cast("int"), F.lit(0)).alias("priority"))
-    # of a card's equal changes in a batch one goes on, so a card that changes all the time is no burden
     return rows.groupBy("card_id").applyInPandasWithState(latest, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
 
 

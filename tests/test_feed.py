@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pandas as pd
 import pytest
 
 from quillgraph.streaming import feed
@@ -54,3 +55,36 @@ def test_the_order_within_a_batch_does_not_matter(spark, seed):
         for c, op, at, p in rows:
             got[c] = feed.step(got.get(c), at, {"trash": "remove", "delete": "remove"}.get(op, "index"), p)
         assert {c: (op, at) for c, (at, op, _) in got.items()} == want
+
+
+def test_a_card_of_many_changes_is_that_of_all_in_order(spark, tmp_path):
+    """A card's changes of a batch come to its task in parts (of 500 rows, by the session); the order in a file is not that of time."""
+    rng = random.Random(7)
+    rows = [(c, rng.choice(["modify", "delete", "modify", "done"] if c == "b" else ["modify", "delete"]), rng.randrange(400), rng.choice([0, 0, 0, 1, 2, 3])) for c in "abc" for _ in range(1500)]
+    rows += [("a", "done", 396, 0), ("c", "modify", 400, 5), ("c", "delete", 400, 1), ("d", "delete", 3, 0), ("d", "modify", 3, 2)]
+    rng.shuffle(rows)
+    put(spark, tmp_path / "in", rows)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        got = run(spark, tmp_path)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = {(r.card_id, r.op, r.at, r.priority) for r in feed.queue_of(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert set(got) == want and ("c", "remove", 400, 5) in want and ("d", "remove", 3, 2) in want
+
+
+def test_parts_of_any_size_leave_the_same_state():
+    rng = random.Random(3)
+    for _ in range(100):
+        rows = [(rng.randrange(9), rng.choice(["remove", "index", "index", "done"]), rng.randrange(4)) for _ in range(rng.randrange(1, 25))]
+        state = None
+        for at, op, p in sorted(sorted(rows, key=lambda r: r[1], reverse=True), key=lambda r: r[0]):
+            state = feed.step(state, at, op, p)
+        kept, found = None, None
+        for i in range(0, len(rows), 4):
+            part = pd.DataFrame(rows[i : i + 4], columns=["at", "op", "priority"])
+            kept = feed.counting(part if kept is None else pd.concat([kept, part]))
+        for at, op, p in kept.itertuples(index=False):
+            found = feed.step(found, at, op, p)
+        assert found == state and len(kept) <= 6
