@@ -14,7 +14,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import without_shuffles
 from ..sources.versions import Conflict, Versions
+from . import weighing
 from .lexical import by_document, document_frequencies, field_averages, saturated
 from .upkeep import epoch_due
 
@@ -44,14 +46,16 @@ class Epochs:
         now = self.current()
         return epoch_due(now.n_docs if now else 0, changes, now is not None)
 
-    def rebuild(self, corpus: DataFrame, counted: DataFrame, revision: Callable[[], int]) -> Epoch | None:
+    def rebuild(self, corpus: DataFrame, counted: DataFrame | weighing.Statistics, revision: Callable[[], int]) -> Epoch | None:
         """Makes an epoch of the corpus as it is and publishes it; None if the data's
-        revision moved meanwhile or another epoch came first."""
+        revision moved meanwhile or another epoch came first. counted: its counts, or
+        their Statistics."""
         began, (number, _) = revision(), self.versions.latest()
         to = self.versions.aside()
-        averages = field_averages(corpus, counted)
-        averages.write.parquet(f"{to}/averages")
-        document_frequencies(counted).write.parquet(f"{to}/frequencies")
+        known = isinstance(counted, weighing.Statistics)
+        with without_shuffles(self.spark):
+            (counted.averages if known else field_averages(corpus, counted)).write.parquet(f"{to}/averages")
+            (counted.frequencies if known else document_frequencies(counted)).write.parquet(f"{to}/frequencies")
         if revision() != began:
             self.versions.drop(to)
             return None
@@ -72,3 +76,9 @@ def weights(counted: DataFrame, epoch: Epoch) -> DataFrame:
     idf = F.ln(1 + (F.greatest(F.col("n_docs") - df, F.lit(0)) + 0.5) / (df + 0.5))
     rows = saturated(by_document(counted), epoch.averages).join(epoch.frequencies, "feature", "left")
     return rows.select("doc_key", "feature", (idf * F.col("x") * 2.2 / (F.col("x") + 1.2)).alias("weight"), "in_title")
+
+
+def totals(corpus: weighing.Corpus, blocks: DataFrame, epoch: Epoch) -> DataFrame:
+    """weighing.TOTALS of the documents' weights by the epoch's statistics; blocks: those of the corpus."""
+    row = epoch.averages.first()
+    return corpus.weighed(corpus.answers(blocks, epoch.frequencies), [row.avg0, row.avg1, row.avg2], row.n_docs, weighing.totals_of, weighing.TOTALS)

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions.text import STOP_WORDS
-from ..operators import bounds, cells
+from ..operators import bounds, cells, weighing
 from ..operators import dense as d
 from ..operators import lexical as x
 from ..sources.scratch import materialize
@@ -45,7 +45,7 @@ def asked(s):
 
 def signature(s):
     """Written once, as searches read it for their queries and for all documents."""
-    return materialize(x.signatures(x.weights(s.v_corpus, materialize(x.counts_by_document(s.v_corpus)))))
+    return x.flat(materialize(x.signature_rows(s.v_corpus)))
 
 
 @query("df_table", f"WITH {MODEL} SELECT feature, df FROM df")
@@ -60,12 +60,12 @@ def field_averages(s):
 
 @query("bm25f_weights", f"WITH {WEIGHTS} SELECT doc_key, count(*) AS features, round(sum(weight), 4) AS total, round(max(weight), 5) AS top FROM wt GROUP BY doc_key")
 def bm25f_weights(s):
-    return x.weights(s.v_corpus, materialize(x.counts_by_document(s.v_corpus))).groupBy("doc_key").agg(F.count("*").alias("features"), F.round(F.sum("weight"), 4).alias("total"), F.round(F.max("weight"), 5).alias("top"))
+    return weighing.totals(s.v_corpus).select("doc_key", "features", F.round("total", 4).alias("total"), F.round("top", 5).alias("top"))
 
 
 @query("signature", f"WITH {SIGNATURE} SELECT doc_key, feature, round(weight, 5) AS weight FROM s")
 def signature_(s):
-    return signature(s).select("doc_key", "feature", F.round("weight", 5).alias("weight"))
+    return x.flat(x.signature_rows(s.v_corpus)).select("doc_key", "feature", F.round("weight", 5).alias("weight"))
 
 
 @query("lexical_candidates", f"WITH {FOUND} SELECT query, doc_key, round(score, 5) AS score FROM f")
@@ -104,9 +104,8 @@ def simhash(s):
 @query("near_duplicates")
 def near_duplicates(s):
     """Pairs of class representatives, and the members of each class under its representative."""
-    counted = materialize(x.counts_by_document(s.v_corpus))
-    sig = materialize(x.signatures(x.weights(s.v_corpus, counted)))
-    pairs, members = x.near_duplicates(x.simhashes(counted), sig, s.v_corpus.select("doc_key", "weak"))
+    rows = materialize(x.signature_rows(s.v_corpus))
+    pairs, members = x.near_duplicates(x.simhashes(x.counts_by_document(s.v_corpus)), rows, s.v_corpus.select("doc_key", "weak"))
     return pairs.withColumn("member", F.lit(False)).union(members.where("doc_key != copy_of").select("copy_of", "doc_key", F.lit(1.0), F.lit(True)))
 
 
@@ -225,18 +224,25 @@ def hybrid_recommend(s):
 
 def weighed_after(s, changed: str):
     """Weights of all documents when those that ``changed`` names have come since the epoch began."""
-    from ..operators.epochs import Epochs, weights
-    from ..sources.scratch import shared_dir
+    from ..operators.epochs import Epochs, totals
+    from ..sources.scratch import scope, shared_dir
 
-    counted = materialize(x.counts_by_document(s.v_corpus))
-    old = s.v_corpus.where(f"not ({changed})")
     epochs = Epochs(s.spark, f"{shared_dir(s.spark)}/epochs-{uuid.uuid4().hex}")
-    epochs.rebuild(old, counted.join(old.select("doc_key"), "doc_key", "left_semi"), lambda: 0)
-    n = s.v_corpus.where(changed).count()
-    if epochs.due(n):
-        epochs.rebuild(s.v_corpus, counted, lambda: n)
-    rows = weights(counted, epochs.current())
-    return rows.groupBy("doc_key").agg(F.count("*").alias("features"), F.round(F.sum("weight"), 4).alias("total"), F.round(F.max("weight"), 5).alias("top"))
+
+    def begun(corpus, what: str | None, revision: int):
+        c = weighing.Corpus(s.v_corpus, what)
+        blocks = materialize(c.blocks())
+        epochs.rebuild(corpus, weighing.Statistics(c, blocks), lambda: revision)
+        return c, blocks
+
+    with scope(s.spark) as written:
+        c, blocks = begun(s.v_corpus.where(f"not ({changed})"), f"not ({changed})", 0)
+        n = s.v_corpus.where(changed).count()
+        if not (due := epochs.due(n)):
+            written.clear()
+    if due:
+        c, blocks = begun(s.v_corpus, None, n)
+    return totals(c, blocks, epochs.current()).select("doc_key", "features", F.round("total", 4).alias("total"), F.round("top", 5).alias("top"))
 
 
 def frozen_sql(changed: str) -> str:
