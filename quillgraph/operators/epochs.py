@@ -55,7 +55,7 @@ class Epochs:
         known = isinstance(counted, weighing.Statistics)
         with without_shuffles(self.spark):
             (counted.averages if known else field_averages(corpus, counted)).write.parquet(f"{to}/averages")
-            (counted.frequencies if known else document_frequencies(counted)).write.parquet(f"{to}/frequencies")
+            (counted.frequencies if known else document_frequencies(counted)).write.option("compression", "zstd").parquet(f"{to}/frequencies")
         if revision() != began:
             self.versions.drop(to)
             return None
